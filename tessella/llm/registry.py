@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.session import table
 
-from . import quality
+from . import htmltext, packing, quality, warc
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,8 +15,35 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
 
 
+def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+
+
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return htmltext.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public vocabularies are on this machine; every executor has them too."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
+    "op5_warc": op5_warc,
+    "op8_html_extraction": op8_html_extraction,
+    "op10_best_fit_packing": op10_best_fit_packing,
+}
+
+
 def queries() -> dict:
-    return {"op1_quality_rules": op1_quality_rules}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
