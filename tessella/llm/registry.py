@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.session import table
 
-from . import htmltext, jaccard, packing, quality, warc
+from . import htmltext, jaccard, packing, quality, substrings, warc
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substrings.shared_passages(table(spark, folder, "documents")).select("doc_id", "start", "stop", "kept_in", "kept_start", "component_id")
+
+
 def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op5_warc": op5_warc,
+    "op6_substring_dedup": op6_substring_dedup,
     "op8_html_extraction": op8_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
