@@ -21,6 +21,7 @@ rows are pieces of their own; without documents the result is empty; other colum
 from __future__ import annotations
 
 import heapq
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -32,44 +33,76 @@ from pyspark.sql import types as T
 
 from tessella.session import materialise
 
+from . import textcore
+
 #: Distinct words whose ids a task keeps at a time.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 400_000
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[ord("a") : ord("z") + 1] = True
+_STOP = np.zeros(256, dtype=bool)
+_STOP[[ord(c) for c in ".,;:!?*#$%&|<>()[]{}/+=-\"_"]] = True
 
 
 class WordTokens:
     """Token ids of texts from a vocabulary that never joins text across ASCII white space.
 
-    A text is cut there and every distinct word goes through the tokenizer once; this is
-    exact as the vocabulary drops white space and starts anew after it.
+    A text is cut there, and between a small ASCII letter and a mark, where the vocabulary's
+    pattern always ends a match; every distinct piece goes through the tokenizer once. ASCII
+    capitals are made small first, as the vocabulary does itself.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.known) + len(words) > WORDS_KEPT:
-            self.known.clear()
-        # Copies, as views would keep the memory of whole batches.
-        for at in range(0, len(words), 10_000):
-            part = words[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, dtype="<u4")
-
-    def ids(self, text: str, closing: int) -> np.ndarray:
-        words = text.encode("utf-8", "replace").split()
-        parts = []
-        for at in range(0, len(words), 50_000):
-            some = words[at : at + 50_000]
-            if new := list({w for w in some if w not in self.known}):
-                self.learn(new)
-            if any(w not in self.known for w in some):  # the cache was cleared meanwhile
-                self.learn(list(set(some)))
-            parts.append(np.concatenate([self.known[w] for w in some]))
-        return np.concatenate([*parts, np.array([closing], dtype="<u4")])
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[bytes, int] = {}
+        self.starts, self.sizes, self.pool = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
+
+    def learn(self, words: list[bytes], together: int = 500) -> None:
+        """Encode words, many to a call, told apart by the offsets of their tokens."""
+        starts, sizes, pool = [self.starts], [self.sizes], [self.pool]
+        at = len(self.pool)
+        for k in range(0, len(words), together):
+            texts = [w.decode("utf-8", "replace") for w in words[k : k + together]]
+            encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
+            first = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+            owner = np.searchsorted(first, [o[0] for o in encoded.offsets], side="right") - 1
+            n = np.bincount(owner, minlength=len(texts))
+            starts.append(at + np.cumsum(n) - n)
+            sizes.append(n)
+            pool.append(np.array(encoded.ids, dtype="<u4"))
+            at += len(owner)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.starts, self.sizes, self.pool = np.concatenate(starts), np.concatenate(sizes), np.concatenate(pool)
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        split = [_spaced(t).split() for t in texts]
+        new = set().union(*split).difference(self.known)
+        if len(self.known) + len(new) > WORDS_KEPT:
+            self.forget()
+            new = set().union(*split)
+        if new:
+            self.learn(list(new))
+        out = []
+        for words in split:
+            at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+            sizes = self.sizes[at]
+            ends = np.cumsum(sizes)
+            out.append(self.pool[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
+        return out
+
+
+def _spaced(text: str) -> bytes:
+    """The UTF-8 of a text in small letters, a space put between letter and mark."""
+    data = np.frombuffer(text.encode("utf-8", "replace").lower(), dtype=np.uint8)
+    cuts = np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]]) + 1
+    return np.insert(data, cuts, 0x20).tobytes()
 
 
 def _pieces(path: str, capacity: int, closing: int, keep_ids: bool):
@@ -78,10 +111,11 @@ def _pieces(path: str, capacity: int, closing: int, keep_ids: bool):
 
         tokens, part = WordTokens(path), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, dtype=np.int64)
-        for batch in batches:
+        for batch in (part_ for whole in batches for part_ in textcore.slices(whole, "text", 1 << 20)):
             out: dict[str, list] = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", *["ids"] * keep_ids)}
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = tokens.ids(text.as_py() or "", closing)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.ids(texts), strict=True):
+                ids = np.append(ids, np.uint32(closing))
                 for piece, at in enumerate(range(0, len(ids), capacity)):
                     own = ids[at : at + capacity]
                     row = [doc, piece, at, len(own), zlib.crc32(own.tobytes()), part, int(seen[len(own)])]
