@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.session import table
 
-from . import htmltext, jaccard, packing, quality, substrings, warc
+from . import fingerprints, htmltext, jaccard, packing, quality, substrings, warc
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
 
 
+def op4_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.edit_distances(table(spark, folder, "documents"))
+
+
 def op5_warc(spark: SparkSession, folder: str) -> DataFrame:
     return warc.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
@@ -45,6 +49,7 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+    "op4_document_fingerprints": op4_document_fingerprints,
     "op5_warc": op5_warc,
     "op6_substring_dedup": op6_substring_dedup,
     "op8_html_extraction": op8_html_extraction,
