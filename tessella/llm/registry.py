@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.session import table
 
-from . import fingerprints, htmltext, jaccard, packing, quality, substrings, warc
+from . import fingerprints, htmltext, jaccard, packing, pieces, quality, substrings, warc
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.shared_passages(table(spark, folder, "documents")).select("doc_id", "start", "stop", "kept_in", "kept_start", "component_id")
 
 
+def op7_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.round_trip(table(spark, folder, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return htmltext.extract(table(spark, folder, "pages")).select("page_id", "url", "text", "n_chars")
 
@@ -52,6 +56,7 @@ QUERIES = {
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_warc": op5_warc,
     "op6_substring_dedup": op6_substring_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_html_extraction": op8_html_extraction,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
