@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.session import table
 
-from . import fingerprints, htmltext, jaccard, packing, pieces, quality, substrings, warc
+from . import chat, fingerprints, htmltext, jaccard, licenses, packing, pieces, quality, substrings, warc
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -15,6 +15,10 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.array_join("broken", ",").alias("broken"))
 
 
+def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.format_messages(table(spark, folder, "conversations"))
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.join(table(spark, folder, "documents"))
 
@@ -46,18 +50,24 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op9_license_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
     "op4_document_fingerprints": op4_document_fingerprints,
     "op5_warc": op5_warc,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_html_extraction": op8_html_extraction,
+    "op9_license_scans": op9_license_scans,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
@@ -67,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op9_license_scans": licenses.scan_sql()}
