@@ -170,9 +170,11 @@ def archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, level: in
     firsts = small.groupBy("sha1").agg(F.max("page_id").alias("winner"))
     # Rows of the winning page; of repeated ones the first by url carries the payload.
     nth = F.row_number().over(Window.partitionBy("sha1", "page_id").orderBy("url"))
-    winner_of = firsts.withColumnRenamed("sha1", "__sha1")
-    winning = shared.join(winner_of, (F.col("sha1") == F.col("__sha1")) & F.col("page_id").eqNullSafe(F.col("winner"))).withColumn("again", nth > 1)
-    winners = winning.select("page_id", "url", F.when(~F.col("again"), F.col("html")).alias("html"), "sha1", "size", F.when(F.col("again"), F.col("page_id")).alias("refers_to"), F.col("again").alias("revisit"))
+    known, unknown = firsts.where("winner is not null"), firsts.where("winner is null")
+    # Joined by plain equality so that the window needs no second shuffle of the html.
+    winning = shared.join(known.select("sha1", F.col("winner").alias("page_id")), ["sha1", "page_id"]).withColumn("again", nth > 1)
+    nameless = shared.where("page_id is null").join(unknown.select("sha1"), "sha1").withColumn("again", F.row_number().over(Window.partitionBy("sha1").orderBy("url")) > 1)
+    winners = winning.unionByName(nameless).select("page_id", "url", F.when(~F.col("again"), F.col("html")).alias("html"), "sha1", "size", F.when(F.col("again"), F.col("page_id")).alias("refers_to"), F.col("again").alias("revisit"))
     others = (
         small.join(firsts, "sha1").where(~F.col("page_id").eqNullSafe(F.col("winner")))
         .select("page_id", "url", F.lit(None).cast("string").alias("html"), "sha1", "size", F.col("winner").alias("refers_to"), F.lit(True).alias("revisit"))
