@@ -86,7 +86,9 @@ def with_counts(docs: DataFrame, text: str = "text") -> DataFrame:
             F.aggregate(F.transform(h, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(h, k + 1) - x, F.lit(3)))), F.lit(0), lambda a, b: a + b), F.lit(0)
         ).cast("long"),
     })
-    return out.drop("__words", "__sorted", "__lines", "__chars", "__hits")
+    # Counts pass through a generator, past which no filter moves: else Catalyst would put the
+    # whole expressions into each filter on them and evaluate them again for every mention.
+    return out.select(*base.columns, F.inline(F.array(F.struct(*COUNTS))))
 
 
 def score(rule: str) -> Column:
