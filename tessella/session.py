@@ -26,12 +26,15 @@ def local_session(cores: int = 8, name: str = "tessella", **extra: str) -> Spark
     return session
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the executors, once an application, so that tasks can import it."""
     context = spark.sparkContext
+    if spark.conf.get(ARROW_ROWS, "10000") == "10000":  # the default; whole texts come in fewer rows, so memory stays small
+        spark.conf.set(ARROW_ROWS, "1000")
     if context.applicationId not in _SHIPPED:
         package = Path(__file__).resolve().parent
         archive = Path(tempfile.mkdtemp(prefix="spark-")) / f"{package.name}.zip"
