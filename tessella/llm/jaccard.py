@@ -66,7 +66,7 @@ def _frequent(share: float):
             both = np.concatenate([hashes, new])
             hashes, back = np.unique(both, return_inverse=True)
             counts = np.bincount(back, weights=np.concatenate([counts, n]), minlength=len(hashes)).astype(np.int64)
-            keep = counts >= max(2, share / 2 * docs) if last or len(hashes) > 3_000_000 else slice(None)
+            keep = counts >= max(2, share / 2 * docs) if last or len(hashes) > 1_000_000 else slice(None)
             hashes, counts = hashes[keep], counts[keep]
 
         for whole in batches:
@@ -75,7 +75,7 @@ def _frequent(share: float):
                     waiting.append(s)
                     size += len(s)
                     docs += 1
-                    if size > 1_000_000:
+                    if size > 500_000:
                         merge(False)
         merge(True)
         yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["hash", "n"])
