@@ -40,6 +40,8 @@ WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Distinct words whose ids a task keeps, and characters of words that advance together.
 WORDS_KEPT = 300_000
 CHARACTERS = 400_000
+#: Leading bits of a hash by which substrings are sifted before the search.
+LEADING = 20
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -76,6 +78,13 @@ class PieceModel:
         self.keys = keys[order]
         self.checks = np.array([_hash(c, BASES[1]) for c in codes], dtype=U64)[order]
         self.scores, self.ids = scores[order], np.array(ids, dtype=np.int32)[order]
+        # Most substrings are no piece; their leading bits tell at one look.
+        self.starts_piece = np.zeros(1 << LEADING, dtype=bool)
+        self.starts_piece[(self.keys >> U64(64 - LEADING)).astype(np.int64)] = True
+        shown = [b"" if i in self.control else bytes([self.bytes_of[i]]) if i in self.bytes_of else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
+        self.shown_sizes = np.array([len(x) for x in shown], dtype=np.int64)
+        self.shown_starts = np.cumsum(self.shown_sizes) - self.shown_sizes
+        self.shown = np.frombuffer(b"".join(shown), dtype=np.uint8)
         self.known: dict[str, np.ndarray] = {}
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
@@ -110,11 +119,14 @@ class PieceModel:
             for width in range(min(end, self.longest), 0, -1):
                 start = end - width
                 key = prefix[0][:, end] - prefix[0][:, start] * powers[0][width]
-                at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                hit = np.flatnonzero(self.keys[at] == key)
+                maybe = np.flatnonzero(self.starts_piece[key >> U64(64 - LEADING)])
+                if not len(maybe):
+                    continue
+                at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
+                same = self.keys[at] == key[maybe]
+                hit, at = maybe[same], at[same]
                 if not len(hit):
                     continue
-                at = at[hit]
                 check = prefix[1][hit, end] - prefix[1][hit, start] * powers[1][width]
                 value = best[hit, start] + self.scores[at]
                 better = (self.checks[at] == check) & ((value > top[hit]) | (which[hit] < 0) & (width == 1))
@@ -168,13 +180,10 @@ class PieceModel:
         return [np.concatenate([none, *map(self.known.__getitem__, words)]) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
-        out = bytearray()
-        for i in ids.tolist():
-            if i in self.bytes_of:
-                out.append(self.bytes_of[i])
-            elif i not in self.control:
-                out += self.pieces[i].replace(SPACE, " ").encode()
-        text = out.decode("utf-8", "replace")
+        sizes = self.shown_sizes[ids]
+        ends = np.cumsum(sizes)
+        places = np.repeat(self.shown_starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+        text = self.shown[places].tobytes().decode("utf-8", "replace")
         return text[1:] if self.add_dummy_prefix and text.startswith(" ") else text
 
 
