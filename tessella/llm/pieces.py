@@ -103,43 +103,46 @@ class PieceModel:
         return out
 
     def _viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
+        """Best pieces of words of one length, a row of characters each; work arrays have a row per position."""
         n, length = codes.shape
-        prefix = [np.zeros((n, length + 1), dtype=U64) for _ in BASES]
-        powers = []
+        letters = np.ascontiguousarray(codes.T).astype(U64) + U64(1)
+        prefix = [np.zeros((length + 1, n), dtype=U64) for _ in BASES]
+        powers = [[U64(pow(base, k, 1 << 64)) for k in range(min(length, self.longest) + 1)] for base in BASES]
         for h, base in zip(prefix, BASES, strict=True):
             for j in range(length):
-                h[:, j + 1] = h[:, j] * U64(base) + codes[:, j].astype(U64) + U64(1)
-            powers.append([U64(pow(base, k, 1 << 64)) for k in range(min(length, self.longest) + 1)])
-        best = np.full((n, length + 1), -np.inf)
-        best[:, 0] = 0.0
-        back = np.ones((n, length + 1), dtype=np.int32)
-        piece = np.full((n, length + 1), -1, dtype=np.int32)
+                h[j + 1] = h[j] * U64(base) + letters[j]
+        best = np.full((length + 1, n), -np.inf)
+        best[0] = 0.0
+        back = np.ones((length + 1, n), dtype=np.int32)
+        piece = np.full((length + 1, n), -1, dtype=np.int32)
         for end in range(1, length + 1):
-            top, size, which = best[:, end - 1] + self.unknown, np.ones(n, dtype=np.int32), np.full(n, -1, dtype=np.int32)
+            top, size, which = best[end], back[end], piece[end]
+            top[:] = best[end - 1] + self.unknown
             for width in range(min(end, self.longest), 0, -1):
                 start = end - width
-                key = prefix[0][:, end] - prefix[0][:, start] * powers[0][width]
-                maybe = np.flatnonzero(self.starts_piece[key >> U64(64 - LEADING)])
+                key = prefix[0][end] - prefix[0][start] * powers[0][width]
+                maybe = self.starts_piece[(key >> U64(64 - LEADING)).view(np.int64)].nonzero()[0]
                 if not len(maybe):
                     continue
-                at = np.minimum(np.searchsorted(self.keys, key[maybe]), len(self.keys) - 1)
-                same = self.keys[at] == key[maybe]
+                key = key[maybe]
+                at = np.minimum(self.keys.searchsorted(key), len(self.keys) - 1)
+                same = self.keys[at] == key
                 hit, at = maybe[same], at[same]
                 if not len(hit):
                     continue
-                check = prefix[1][hit, end] - prefix[1][hit, start] * powers[1][width]
-                value = best[hit, start] + self.scores[at]
+                check = prefix[1][end][hit] - prefix[1][start][hit] * powers[1][width]
+                value = best[start][hit] + self.scores[at]
                 better = (self.checks[at] == check) & ((value > top[hit]) | (which[hit] < 0) & (width == 1))
                 rows = hit[better]
                 top[rows], size[rows], which[rows] = value[better], width, self.ids[at[better]]
-            best[:, end], back[:, end], piece[:, end] = top, size, which
         # All words walk back together.
-        where, steps = np.full(n, length), []
-        rows = np.arange(n)
-        while (where > 0).any():
-            live = where > 0
-            steps.append((rows[live], where[live] - back[rows[live], where[live]], piece[rows[live], where[live]]))
-            where = np.where(live, where - back[rows, where], where)
+        where, steps, live = np.full(n, length), [], np.arange(n)
+        while len(live):
+            now = where[live]
+            start = now - back[now, live]
+            steps.append((live, start, piece[now, live]))
+            where[live] = start
+            live = live[start > 0]
         owner = np.concatenate([s[0] for s in steps])
         start = np.concatenate([s[1] for s in steps])
         ids = np.concatenate([s[2] for s in steps])
@@ -156,7 +159,8 @@ class PieceModel:
                 last = u + 1
             ids = np.concatenate([*parts, ids[last:]])
             owner = np.repeat(owner, extra)
-        return np.split(ids.astype(np.int32), np.searchsorted(owner, np.arange(1, n)))
+        ids, bounds = ids.astype(np.int32), np.searchsorted(owner, np.arange(n + 1)).tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text; a word that several hold is encoded once."""
