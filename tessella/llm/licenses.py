@@ -21,6 +21,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.text import STOPWORDS
+
 # Equivalent spellings, and the wording of licences and notices.
 SPELLINGS = (
     ("licence", "license"), ("licences", "licenses"), ("licenced", "licensed"), ("licencing", "licensing"), ("sub-license", "sublicense"), ("sub-licensed", "sublicensed"), ("non-commercial", "noncommercial"),
@@ -90,6 +92,37 @@ def digest(text: Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+#: Known texts up to which words are looked for that every one of them holds one of.
+SIFTED_TEXTS = 5_000
+
+
+def sieve(known: DataFrame) -> list[str] | None:
+    """Strings of which any text with a known canonical form holds one, in small letters; None if there are too many known texts.
+
+    Canonical forms only drop characters and replace spellings, so a word of a form is in the
+    text itself, or one of the spellings that become it. Words are taken greedily, each the one
+    of most forms without a word so far.
+    """
+    forms = [r[0] for r in known.select(canonical(F.col("text"))).where("text is not null").distinct().limit(SIFTED_TEXTS + 1).collect()]
+    if len(forms) > SIFTED_TEXTS:
+        return None
+    phrases = {w for a, b in SPELLINGS for x in (a, b) if " " in x for w in x.split()} | {*STOPWORDS, "without", "work", "file", "version"}  # and words of any text
+    left = [{w for w in f.split() if w not in phrases} for f in forms if f]
+    chosen: list[str] = []
+    while left:
+        counts: dict[str, int] = {}
+        for words in left:
+            for w in words:
+                counts[w] = counts.get(w, 0) + 1
+        if not counts or any(not words for words in left):
+            return None
+        best = max(counts, key=lambda w: (counts[w] * min(len(w), 6), w))
+        chosen.append(best)
+        left = [words for words in left if best not in words]
+    strings = {x for w in chosen for x in [w, *[a for a, b in SPELLINGS if b == w]]}
+    return sorted(x for x in strings if not any(y != x and y in x for y in strings))
+
+
 #: Known texts up to which their digests are sent to every task; a larger table is joined by a shuffle.
 BROADCAST_TEXTS = 50_000
 
@@ -97,13 +130,16 @@ BROADCAST_TEXTS = 50_000
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(doc_id, license_id, kind, scope, n_places, first_line); lines count from 1, a whole text is line 0.
 
-    A short hash of each line is enough to look it up, so only matching lines leave the scan.
+    Only texts and lines that hold a string of the ``sieve`` are brought to the canonical form; no
+    other can match. Every whole text is searched for those strings.
     """
     known = known_texts(docs.sparkSession) if known is None else known
     digests = known.select("license_id", "kind", digest(F.col("text")).alias("digest")).where("digest is not null").groupBy("digest").agg(F.min_by(F.struct("license_id", "kind"), F.struct("license_id", "kind")).alias("k")).select("digest", "k.*")
     small = known.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text")))
-    units = docs.select("doc_id", F.posexplode(F.concat(F.array(F.struct(F.lit(0).alias("line"), F.col("text"))), lines)).alias("p", "u"))
+    strings = sieve(known)
+    may = (lambda c: reduce(lambda a, b: a | b, [F.contains(F.lower(c), F.lit(x)) for x in strings])) if strings else (lambda _: F.lit(True))
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda u: may(u["text"]))
+    units = docs.where(may(F.col("text"))).select("doc_id", F.posexplode(F.concat(F.array(F.struct(F.lit(0).alias("line"), F.col("text"))), lines)).alias("p", "u"))
     hits = units.select("doc_id", F.col("u.line").alias("line"), digest(F.col("u.text")).alias("digest")).join(F.broadcast(digests) if small else digests, "digest")
     # A document of one line is a whole text only.
     scope = F.when(F.col("line") == 0, F.lit("document")).otherwise(F.lit("line"))
