@@ -31,9 +31,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from . import textcore
 
@@ -48,6 +50,8 @@ CAPACITY = 160
 LOWEST, HIGHEST = 100, 990
 #: The usual entropy of prose in such windows.
 USUAL = 720
+#: Ranges of doc_id, at most; a task reads its ranges in order and row by row, so they may be large.
+MOST_RANGES = 20_000
 #: Bytes worked on at a time, so that the comparisons stay in the processor's cache.
 STRIP = 1 << 16
 
@@ -232,12 +236,17 @@ def edit_distances(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """EDITS of every document: its fingerprint against its edited text's and the next document's."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spark = own.sparkSession
-    ranges = ranges or max(2 * own.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or min(MOST_RANGES, max(2 * own.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
     # Range 0 has the greatest ids; null ids are in the last. Boundaries and heads are one row a range.
     cuts = own.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10000)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    place = F.coalesce(F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<long>"), lambda c: c > F.col("doc_id"))), F.lit(len(cuts))).cast("int")
-    placed = own.withColumn("place", F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(place))
+    rising = spark.sparkContext.broadcast(np.array(sorted(set(cuts)), dtype=np.int64))
+
+    @F.pandas_udf(IntegerType())
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(len(rising.value) - np.searchsorted(rising.value, ids.to_numpy(dtype=np.int64), side="right"), dtype="int32")
+
+    # Only ids go to Python; a null one counts as the least.
+    placed = own.withColumn("place", range_of(F.coalesce("doc_id", F.lit(-(1 << 63)))))
     order = F.struct(F.col("doc_id").isNotNull().alias("o"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.sha2("text", 256).alias("t"))
     heads = {r["place"]: (r["h"]["o"], r["h"]["d"], r["h"]["t"]) for r in placed.groupBy("place").agg(F.max(order).alias("h")).collect()}
     used = sorted(heads)
