@@ -3,37 +3,39 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries of a block; a block is what every task gets, whatever the number of queries.
+#: Vectors of a block; blocks of the corpus and of the queries meet pair by pair.
 BLOCK = 1024
 
 
-def _block_task(ids: np.ndarray, vectors: np.ndarray, k: int):
-    def unit(x: np.ndarray) -> np.ndarray:
-        n = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+def _blocks(rows: DataFrame, key: str, vector: str, size: int) -> DataFrame:
+    """Rows as blocks (ids, unit vectors as bytes, dimension), cut within the partitions as they come."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
+                x = np.stack([np.asarray(v, dtype=np.float64) for v in part.column(1).to_pylist()])
+                n = np.linalg.norm(x, axis=1, keepdims=True)
+                unit = np.divide(x, n, out=np.zeros_like(x), where=n > 0)
+                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([unit.tobytes()]), pa.array([x.shape[1]], pa.int32())], names=["ids", "unit", "width"])
+
+    return rows.where(F.col(vector).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, "ids array<long>, unit binary, width int")
 
-    queries = unit(vectors)
 
+def _pair_task(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_id, best = np.zeros((len(ids), 0), dtype=np.int64), np.zeros((len(ids), 0))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            own = np.asarray(batch.column(0))
-            table = np.stack([np.asarray(v, dtype=np.float64) for v in batch.column(1).to_pylist()])
-            scores = queries @ unit(table).T
-            every, every_id = np.concatenate([best, scores], axis=1), np.concatenate([best_id, np.broadcast_to(own, scores.shape)], axis=1)
-            order = np.lexsort((every_id, -np.round(every, 9)), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(every, order, 1), np.take_along_axis(every_id, order, 1)
-        if best.shape[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(best_id.ravel()), pa.array(best.ravel())], names=["query", "id", "score"])
+            for ids, unit, width, asked, questions in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own, query_ids = np.array(ids, dtype=np.int64), np.array(asked, dtype=np.int64)
+                scores = np.frombuffer(questions).reshape(-1, width) @ np.frombuffer(unit).reshape(-1, width).T
+                best = np.lexsort((np.broadcast_to(own, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(query_ids, best.shape[1])), pa.array(own[best].ravel()), pa.array(np.take_along_axis(scores, best, 1).ravel())], names=["query", "id", "score"])
 
     return run
 
@@ -41,23 +43,12 @@ def _block_task(ids: np.ndarray, vectors: np.ndarray, k: int):
 def cosine_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k: int = 8, block: int = BLOCK) -> DataFrame:
     """(query, id, score, rank) of the k most similar rows; a zero vector scores 0, ties go by id.
 
-    Query vectors go to the tasks block by block; every task keeps k rows a query.
+    Every block of the corpus meets every block of the queries as one matrix product, and k rows
+    a query leave a pair. Nothing passes through the driver; Spark broadcasts the query blocks
+    only if its own size check allows it.
     """
-    asked = queries.select(key, vector).orderBy(key).toLocalIterator(prefetchPartitions=True)
-    parts, waiting = [], []
-
-    def flush() -> None:
-        ids, vectors = np.array([r[0] for r in waiting], dtype=np.int64), np.array([r[1] for r in waiting], dtype=np.float64)
-        parts.append(corpus.select(F.col(key).cast("long"), vector).mapInArrow(_block_task(ids, vectors, k), "query long, id long, score double"))
-        waiting.clear()
-
-    for row in asked:
-        waiting.append(row)
-        if len(waiting) == block:
-            flush()
-    if waiting:
-        flush()
-    if not parts:
-        return corpus.sparkSession.createDataFrame([], "query long, id long, score double, rank int")
+    asked = _blocks(queries, key, vector, block).select(F.col("ids").alias("asked"), F.col("unit").alias("questions"))
+    pairs = _blocks(corpus, key, vector, block).join(asked, F.lit(True))
+    found = pairs.select("ids", "unit", "width", "asked", "questions").mapInArrow(_pair_task(k), "query long, id long, score double")
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
-    return reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
