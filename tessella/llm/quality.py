@@ -35,8 +35,9 @@ RULES = {
     "repeated_lines": ("n_dup_lines", "n_lines"),
     "repeated_words": ("n_repeat_words", "n_words"),
 }
-#: Scores are tested in steps of this many per mille.
+#: Scores are tested in steps of this many per mille, down to a floor: what ordinary text may have is never tested.
 STEP = 20
+FLOORS = {"symbols": 100, "capitals": 200, "marks": 100, "repeated_lines": 200, "repeated_words": 200}
 
 
 def _drop(text: Column, characters: str) -> Column:
@@ -135,7 +136,8 @@ def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str, alpha: float =
     )
     level = delta / (len(RULES) * strata)
     tested = dense.withColumn("passes", binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha / len(RULES)) <= level)
-    run = tested.withColumn("unbroken", F.min(F.col("passes").cast("int")).over(by.orderBy(F.desc("step"))))
+    floors = F.create_map(*[F.lit(x) for r in RULES for x in (r, FLOORS[r] // STEP + 1)])
+    run = tested.where(F.col("step") >= floors[F.col("rule")]).withColumn("unbroken", F.min(F.col("passes").cast("int")).over(by.orderBy(F.desc("step"))))
     chosen = run.where("unbroken = 1").groupBy("stratum", "rule").agg(F.min("step").alias("step"), F.max("n_good").alias("n_good"), F.max("n_rejected").alias("n_rejected"))
     return chosen.select("stratum", "rule", (F.col("step") * STEP - STEP + 1).alias("cutoff"), "n_good", "n_rejected")
 
