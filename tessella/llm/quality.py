@@ -173,3 +173,28 @@ def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha:
     chosen = cutoffs(with_counts(docs.select("doc_id", stratum, "text")).drop("text"), labels, stratum, alpha, delta)
     marked = docs.select(F.struct(*docs.columns).alias("__row"), F.col(stratum).alias("__by"), F.col("text"))
     return judge(with_counts(marked), chosen, "__by").where("kept").select("__row.*")
+
+
+def verdicts_sql(alpha: float = 0.05, delta: float = 0.05) -> str:
+    """The same verdicts in SQL over the views ``documents`` and ``labels``, by language."""
+    rate = alpha / len(RULES)
+    scores = " UNION ALL ".join(
+        f"SELECT doc_id, lang, base_failed, '{r}' AS rule, {FLOORS[r] // STEP + 1} AS floor, CASE WHEN {b} > 0 THEN least(1000, floor(1000 * {a} / {b})) ELSE 0 END AS score FROM counted" for r, (a, b) in RULES.items()
+    )
+    order = ", ".join(f"'{r}'" for r in RULES)
+    return f"""
+WITH split AS (SELECT doc_id, lang, coalesce(text, '') AS text, list_filter(string_split_regex(coalesce(text, ''), '[ \\t-\\r]+'), lambda x: x <> '') AS words, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \\t-\\r]')) AS lines FROM documents),
+windows AS (SELECT doc_id, unnest(range(1, len(words) - 1)) AS i, words FROM split WHERE len(words) >= 3),
+repeated AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, words[i], words[i + 1], words[i + 2]) AS n FROM windows) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM repeated) GROUP BY doc_id),
+sizes AS (SELECT doc_id, lang, len(words) AS n_words, length(regexp_replace(text, '[ \\t-\\r]', '', 'g')) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+ len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals, length(text) - length(regexp_replace(text, '[!?;:]', '', 'g')) AS n_marks FROM split),
+counted AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (SELECT s.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM sizes s LEFT JOIN covered USING (doc_id))),
+scores AS ({scores}),
+good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) >= 1),
+held AS (SELECT lang, rule, floor, ceil(score / {STEP}) AS step FROM scores WHERE NOT base_failed AND lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM good)),
+tried AS (SELECT lang, rule, s AS step, count(*) AS n, count(*) FILTER (held.step >= s) AS k FROM held, range(1, {1000 // STEP + 1}) r(s) WHERE s >= floor GROUP BY ALL),
+tested AS (SELECT lang, rule, step, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln({1 - rate!r}))) FROM range(0, k + 1) r(i)) <= {delta!r} / {len(RULES)} / (SELECT count(DISTINCT lang) FROM held) AS passes FROM tried),
+cutoffs AS (SELECT lang, rule, (min(step) - 1) * {STEP} + 1 AS cutoff FROM (SELECT *, bool_and(passes) OVER (PARTITION BY lang, rule ORDER BY step DESC) AS unbroken FROM tested) WHERE unbroken GROUP BY ALL),
+broken AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position([{order}], rule)) AS broken FROM scores JOIN cutoffs USING (lang, rule) WHERE score >= cutoff GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept, coalesce(broken, '') AS broken FROM counted LEFT JOIN broken USING (doc_id)"""

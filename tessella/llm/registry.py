@@ -79,4 +79,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op9_license_scans": licenses.scan_sql()}
+    return {"op1_quality_rules": quality.verdicts_sql(), "op9_license_scans": licenses.scan_sql()}
