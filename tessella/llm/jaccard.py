@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.session import materialise
+from tessella.session import discard, materialise
 
 from . import components, textcore
 
@@ -264,6 +264,8 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     left = sets.select(F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("bits").alias("ba"))
     right = sets.select(F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("bits").alias("bb"))
     close = materialise(pairs.join(left, "a").join(right, "b").mapInArrow(_prune_task(percent), "a long, b long"), "close")
+    for used in (keys, members):
+        discard(used)
     first = materialise(with_texts(close, docs).mapInArrow(_verify_task(percent), "a long, b long"), "links")
     parts = components.connected(first)
 
