@@ -1,17 +1,16 @@
-"""SentencePiece encoding and decoding as a batched numpy Viterbi.
+"""SentencePiece encoding and decoding of a merge (BPE) model, by batched numpy merging.
 
-The pieces and scores of a model file are taken as a unigram model: of all ways to cut a text
-into pieces, the one of the highest sum of scores. As no piece runs on from a character into
-white space after it, texts are cut there into words, and each distinct word of a batch is
-encoded once. Words of equal length advance together: for every end position and piece length
-a prefix hash gives the substring's hash, which is looked up among the sorted piece keys, and
-vectorised maxima store scores and backpointers. A hit is confirmed by a second hash. Characters
-without a piece fall back to their bytes, at the score of the unknown piece.
+Of the neighbouring symbols of a word, starting with its characters, the pair whose joined piece
+has the best score, the leftmost of equals, becomes one, until no pair is a piece: these are the
+ids that the model itself gives. As no piece runs on from a character into white space after it,
+texts are cut there into words, and each distinct word of a batch is encoded once. Words of equal
+length advance together, one merge a round, so that their rows stay of equal length; words of
+over HEAPED characters use a heap. Characters without a piece fall back to their bytes.
 
-The installed model was trained by merging pairs and its scores are the negative ranks of its
-merges; under them the best cut of this operator is that of the same model read as a unigram one,
-which is what it is tested against; the ids are not those of greedy merging. Decoding
-gives back every text exactly, save that malformed surrogates become "?".
+``encode_words`` reads the same scores as a unigram model's and finds the cut of the highest sum,
+by a batched Viterbi; that is another cut for most texts, so ``encode`` does not use it. Decoding
+gives back every text exactly, save that malformed surrogates become "?"; for that a space mark that
+a text itself holds becomes bytes, where the library takes it for a space.
 
 Defined cases: null or empty text has no ids and decodes to ""; repeated rows are encoded each;
 other columns pass through (columns named like the results are replaced).
@@ -19,6 +18,7 @@ other columns pass through (columns named like the results are replaced).
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -42,6 +42,8 @@ WORDS_KEPT = 300_000
 CHARACTERS = 400_000
 #: Leading bits of a hash by which substrings are sifted before the search.
 LEADING = 20
+#: Characters beyond which a word is merged by a heap.
+HEAPED = 48
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
@@ -78,6 +80,17 @@ class PieceModel:
         self.keys = keys[order]
         self.checks = np.array([_hash(c, BASES[1]) for c in codes], dtype=U64)[order]
         self.scores, self.ids = scores[order], np.array(ids, dtype=np.int32)[order]
+        # Every pair of pieces that joins to a piece, as left * n + right.
+        by_name = {self.pieces[i]: i for i in ids}
+        if any(c not in by_name for p in by_name for c in p):
+            raise ValueError("a character of a piece is no piece")
+        self.characters = {c: i for c, i in by_name.items() if len(c) == 1}
+        joined = [(by_name[p[:k]] * n + by_name[p[k:]], i, model.get_score(i)) for p, i in by_name.items() for k in range(1, len(p)) if p[:k] in by_name and p[k:] in by_name]
+        joined.sort()
+        self.pairs = np.array([j[0] for j in joined], dtype=np.int64)
+        self.joined = np.array([j[1] for j in joined], dtype=np.int64)
+        self.joined_scores = np.array([j[2] for j in joined], dtype=np.float64)
+        self.join_of = {j[0]: (-j[2], j[1]) for j in joined}
         # Most substrings are no piece; their leading bits tell at one look.
         self.starts_piece = np.zeros(1 << LEADING, dtype=bool)
         self.starts_piece[(self.keys >> U64(64 - LEADING)).astype(np.int64)] = True
@@ -87,6 +100,85 @@ class PieceModel:
         self.shown = np.frombuffer(b"".join(shown), dtype=np.uint8)
         self.known: dict[str, np.ndarray] = {}
 
+    def merge_words(self, words: list[str]) -> list[np.ndarray]:
+        """The model's ids of words, those of equal length together."""
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(words)
+        by_length: dict[int, list[int]] = {}
+        for k, w in enumerate(words):
+            by_length.setdefault(len(w), []).append(k)
+        for length, members in by_length.items():
+            if not length:
+                continue
+            codes = np.frombuffer("".join(words[k] for k in members).encode("utf-32-le", "replace"), dtype="<u4").astype(np.int64)
+            used, back = np.unique(codes, return_inverse=True)
+            # A character without a piece is negative and joins nothing.
+            symbols = np.array([self.characters.get(chr(c), -1 - c) for c in used.tolist()], dtype=np.int64)[back].reshape(len(members), length)
+            for k, ids in zip(members, self._heaped(symbols) if length > HEAPED else self._merged(symbols), strict=True):
+                out[k] = ids
+        return out
+
+    def _joins(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores (minus infinity if there is none) and pieces of pairs of symbols."""
+        key = np.where((left < 0) | (right < 0), -1, left * len(self.pieces) + right)
+        at = np.minimum(self.pairs.searchsorted(key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.joined_scores[at], -np.inf), self.joined[at]
+
+    def _merged(self, symbols: np.ndarray) -> list[np.ndarray]:
+        out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(symbols)
+        live = np.arange(len(symbols))
+        scores, pieces = self._joins(symbols[:, :-1], symbols[:, 1:])
+        while len(live):
+            width = symbols.shape[1]
+            k = scores.argmax(axis=1) if width > 1 else np.zeros(len(live), dtype=np.int64)
+            on = scores[np.arange(len(live)), k] > -np.inf if width > 1 else np.zeros(len(live), dtype=bool)
+            for row, ids in zip(live[~on].tolist(), symbols[~on], strict=True):
+                out[row] = self._with_bytes(ids)
+            live, symbols, scores, pieces, k = live[on], symbols[on], scores[on], pieces[on], k[on]
+            if not len(live):
+                break
+            rows, n = np.arange(len(live)), len(live)
+            symbols[rows, k] = pieces[rows, k]
+            symbols = symbols[np.arange(width) != (k + 1)[:, None]].reshape(n, width - 1)
+            stay = np.arange(width - 1) != k[:, None]
+            scores, pieces = scores[stay].reshape(n, width - 2), pieces[stay].reshape(n, width - 2)
+            for left in (k - 1, k):  # the pairs on either side of the joined symbol
+                some = np.flatnonzero((left >= 0) & (left < width - 2))
+                at = left[some]
+                scores[some, at], pieces[some, at] = self._joins(symbols[some, at], symbols[some, at + 1])
+        return out
+
+    def _heaped(self, rows: np.ndarray) -> list[np.ndarray]:
+        out, size = [], len(self.pieces)
+        for row in rows.tolist():
+            n = len(row)
+            after, before, heap = [*range(1, n), -1], list(range(-1, n - 1)), []
+
+            def offer(i: int, j: int) -> None:
+                if row[i] >= 0 and row[j] >= 0 and (found := self.join_of.get(row[i] * size + row[j])):
+                    heapq.heappush(heap, (found[0], i, j, row[i], row[j], found[1]))
+
+            for i in range(n - 1):
+                offer(i, i + 1)
+            gone = [False] * n
+            while heap:
+                _, i, j, left, right, piece = heapq.heappop(heap)
+                if gone[i] or gone[j] or row[i] != left or row[j] != right or after[i] != j:
+                    continue
+                row[i], gone[j], after[i] = piece, True, after[j]
+                if after[j] >= 0:
+                    before[after[j]] = i
+                    offer(i, after[j])
+                if before[i] >= 0:
+                    offer(before[i], i)
+            out.append(self._with_bytes(np.array([s for s, g in zip(row, gone, strict=True) if not g], dtype=np.int64)))
+        return out
+
+    def _with_bytes(self, symbols: np.ndarray) -> np.ndarray:
+        if symbols.min() >= 0:
+            return symbols.astype(np.int32)
+        parts = [[s] if s >= 0 else self.byte_ids[np.frombuffer(chr(-1 - s).encode("utf-8", "replace"), dtype=np.uint8)] for s in symbols.tolist()]
+        return np.concatenate(parts).astype(np.int32)
+
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """Ids of words, those of equal length together."""
         out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(words)
@@ -179,7 +271,7 @@ class PieceModel:
         listed = list(new - {LITERAL})
         for k in range(0, len(listed), 20_000):
             part = listed[k : k + 20_000]
-            self.known.update(zip(part, self.encode_words(part), strict=True))
+            self.known.update(zip(part, self.merge_words(part), strict=True))
         none = np.zeros(0, dtype=np.int32)
         return [np.concatenate([none, *map(self.known.__getitem__, words)]) for words in split]
 

@@ -92,6 +92,16 @@ def test_viterbi_finds_the_best_cut(model):
         assert total == pytest.approx(best_score(model, scores, word)), word
 
 
+def test_ids_are_the_models_own(spark, data, model):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rng = random.Random(5)
+    texts = [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").collect()] + ["  a  b ", "\tx\n\ny", "é😀 漢字", " ", "", "<s> </s> <unk>", "      x", "the" * 500]
+    texts += ["".join(rng.choice("thesinotrea.é漢Ж  ") for _ in range(n)) for n in (1, 2, 5, 9, 14, 47, 48, 49, 50, 300) for _ in range(40)]
+    texts += ["".join(rng.choice("thesinotrea.é漢Ж") for _ in range(n)) for n in (47, 48, 49, 300) for _ in range(40)]
+    for text, ids in zip(texts, model.encode(texts), strict=True):
+        assert ids.tolist() == library.encode(text), text
+
+
 def test_decoding_gives_the_text_back(spark, model):
     texts = [t for _, t in cases.corpus()] + ["  a  b ", "\tx\n\ny", "é😀 漢字 ▁x▁", " ", "▁", "<s> </s> <unk>"]
     for text, ids in zip(texts, model.encode([t or "" for t in texts]), strict=True):
