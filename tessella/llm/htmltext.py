@@ -4,13 +4,14 @@ A page is cut into text nodes, each with its path of tags from the root. Per pat
 the characters, the punctuation marks, the nodes and the characters inside links; the fused
 ratio is (characters per node) x (marks per node, plus one) x (share outside links). Ratios are
 smoothed over the paths in page order, and paths at or above a share of the greatest smoothed
-ratio are content paths. The main element is the deepest one that holds nearly all text of the
-content paths; inside it every block counts that is not boilerplate (so the heading and short
-paragraphs stay), outside it nothing. Where the main element is the body itself, only blocks
-on content paths and headings count.
+ratio are content paths. The main element is the lowest one that holds all text of the content
+paths, but none below an article or main element; inside it every block counts that is not
+boilerplate (so the heading and short paragraphs stay), outside it nothing. Where the main element is
+the body itself, only blocks on content paths and headings count.
 
 Elements that can hold no main text are left out before: menus, footers, sidebars, page
-headers, forms, notices, adverts, scripts, styles, reader comments, by tag, role or class.
+headers, forms, notices, adverts, scripts, styles, reader comments, by tag, role or class. A class or id says nothing of an element that holds nearly all
+text of the page (``cover``), such as a wrapper named after the page's fixed header.
 
 Defined cases: null or empty html gives an empty text; an unfinished tag at the end of a page is
 dropped, unclosed elements end with the page; a page without main text gives ""; repeated rows
@@ -51,28 +52,29 @@ KEPT_WHOLE = frozenset("html body main".split())
 
 
 class Limits:
-    """Share of the greatest ratio for a content path, and share of content text in the main element."""
+    """Share of the greatest ratio for a content path, and share of the text that no element named as boilerplate holds."""
 
     def __init__(self, threshold: float = 0.05, cover: float = 0.9):
         self.threshold, self.cover = threshold, cover
 
 
-def _boilerplate(tag: str, attributes: str, in_article: bool) -> bool:
+def _boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
+    """Whether an element is left out by tag, role or being hidden, and whether by class or id."""
     if tag in LEFT_OUT or (tag == "header" and not in_article):
-        return True
+        return True, False
     if not attributes or tag in KEPT_WHOLE:
-        return False
+        return False, False
+    named = False
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
-            if not CLASSES.isdisjoint(x.lower() for x in NAME_PART.findall(value)):
-                return True
+            named = named or not CLASSES.isdisjoint(x.lower() for x in NAME_PART.findall(value))
         elif name == "role":
             if value.strip().lower() in ROLES:
-                return True
+                return True, False
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return True, False
+    return False, named
 
 
 class Page:
@@ -80,7 +82,7 @@ class Page:
 
     def __init__(self, source: str):
         self.parent, self.tag, self.out, self.path, self.block_of = [-1], ["#"], [False], [0], [0]
-        self.article, self.linked = [False], [False]
+        self.article, self.linked, self.named = [False], [False], [False]
         self.texts: list[tuple[int, int, str]] = []
         self._paths: dict[tuple[int, str], int] = {}
         self.path_names = 1
@@ -142,7 +144,9 @@ class Page:
         self.tag.append(tag)
         self.article.append(self.article[parent] or tag in ("article", "main"))
         self.linked.append(self.linked[parent] or tag == "a")
-        self.out.append(self.out[parent] or _boilerplate(tag, attributes, self.article[parent]))
+        out, named = _boilerplate(tag, attributes, self.article[parent])
+        self.out.append(self.out[parent] or out)
+        self.named.append(named)
         key = (self.path[parent], tag)
         if key not in self._paths:
             self._paths[key] = self.path_names
@@ -154,6 +158,21 @@ class Page:
             self.texts.append((element, self._block, entities.unescape(raw) if "&" in raw else raw))
 
 
+def without_named(page: Page, cover: float) -> list[tuple[int, int, str]]:
+    """Texts outside the elements that a class or id names as boilerplate and that hold less than ``cover`` of all text."""
+    if not any(page.named):
+        return page.texts
+    held = [0] * len(page.tag)
+    for element, _, text in page.texts:
+        held[element] += len(text) - sum(map(str.isspace, text))
+    for e in range(len(held) - 1, 0, -1):
+        held[page.parent[e]] += held[e]
+    out = [False] * len(page.tag)
+    for e in range(1, len(out)):
+        out[e] = out[page.parent[e]] or (page.named[e] and held[e] < cover * held[0])
+    return [x for x in page.texts if not out[x[0]]]
+
+
 def content_paths(page: Page, limits: Limits) -> set[int]:
     """Paths whose smoothed fused ratio is high enough."""
     sums: dict[int, list[int]] = {}
@@ -177,6 +196,7 @@ def main_text(source: str, limits: Limits | None = None) -> str:
     """Blocks of the main text in page order, joined by blank lines."""
     limits = limits or Limits()
     page = Page(source)
+    page.texts = without_named(page, limits.cover)
     articles = any(page.article[e] and not t.isspace() for e, _, t in page.texts)
     if articles:
         page.texts = [x for x in page.texts if page.article[x[0]]]
@@ -189,7 +209,7 @@ def main_text(source: str, limits: Limits | None = None) -> str:
         weight[page.parent[e]] += weight[e]
     main = 0
     for e in range(1, len(weight)):  # parents come before their children
-        if page.parent[e] == main and weight[e] > 0 and weight[e] >= limits.cover * weight[0] and page.tag[e] not in INLINE and page.tag[e] not in HEADINGS and page.tag[e] != "p":
+        if page.parent[e] == main and not page.article[main] and weight[e] > 0 and weight[e] == weight[0] and page.tag[e] not in INLINE and page.tag[e] not in HEADINGS and page.tag[e] != "p":
             main = e
     inside = [False] * len(page.tag)
     for e in range(len(inside)):

@@ -87,3 +87,17 @@ def test_extract_keeps_rows_and_columns(spark):
     out = htmltext.extract(df)
     assert out.columns == ["page_id", "url", "text", "n_chars"]
     assert sorted(((str(r.page_id), r.text, r.n_chars) for r in out.collect())) == [("1", "Text.", 5), ("1", "Text.", 5), ("2", "deep, deep.", 11), ("None", "", 0)]
+
+
+LONG = "A long paragraph, with many words. " * 60
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    (f"<body><article><h1>Title</h1><p>Lead, short.</p><div class='body'><p>{LONG}</p></div><p>Closing.</p></article></body>", ["Title", "Lead, short.", LONG.strip(), "Closing."]),
+    (f"<article><section><h2>One</h2><p>{LONG}</p></section><section><h2>Two</h2><p>Brief, but here.</p></section></article>", ["One", LONG.strip(), "Two", "Brief, but here."]),
+    (f"<main><article><p>{LONG}</p></article><p>After it, a word.</p></main>", [LONG.strip(), "After it, a word."]),
+    (f"<body><div><h1>Head</h1><div><p>{LONG}</p></div><div><p>The end, at last.</p></div></div></body>", ["Head", LONG.strip(), "The end, at last."]),
+    (f"<body><div class='has-sidebar page-header-fixed'><p>{LONG}</p><div class='sidebar'>Links.</div></div></body>", [LONG.strip()]),
+])
+def test_main_text_of_nested_pages(source, text):
+    assert htmltext.main_text(source) == "\n\n".join(text)
