@@ -7,12 +7,15 @@ result is a message of role ``tool``, a JSON object with ``tool_call_id`` and ``
   result, of an id owns it; others are duplicates and stay unlinked.
 * A call comes after the results of the calls it depends on, and a result after its call. Where
   turns contradict that, ``order_turn`` moves on to the turn of what must come before, and
-  ``order_step`` counts the dependencies before it; both settle by rounds of joins. Calls that
-  still move after ``depth`` rounds are in a cycle and say so.
+  ``order_step`` counts the dependencies before it; both settle by rounds of joins. Conversations
+  where calls still move after ``depth`` rounds are settled call by call: a call without open
+  dependencies is ordered and frees those that wait for it. Calls that are never freed are in a
+  cycle, or depend on one, and say so.
 * Arguments are checked against a schema by tool: {"name": {"parameter": {"type", "required"}}}.
 * A message becomes one line of canonical JSON: sorted keys, no blanks, shortest numbers.
 
-One row goes out per message, so no conversation, however long, is gathered in one place;
+One row goes out per message, so no conversation, however long, is gathered in one place (but the
+calls, without texts, of one whose dependencies go deeper than ``depth``);
 (conv_id, order_turn, order_step, turn) sorts a conversation.
 
 Defined cases: null text is null content; null role stays null; malformed blocks stay in the
@@ -97,6 +100,35 @@ def _events_task(schemas: dict):
     return run
 
 
+ORDER = "conv_id long, id string, turn long, result_turn long, order_turn long, step int, cyclic boolean"
+
+
+def _sweep(calls: pa.Table) -> pa.Table:
+    """Orders the calls of one conversation, however deep their dependencies go."""
+    rows = {r["id"]: r for r in calls.to_pylist()}
+    waiting, open_ = {k: [] for k in rows}, {}
+    for k, r in rows.items():
+        depends = [d for d in r["depends"] or [] if d in rows]
+        open_[k] = len(depends)
+        for d in depends:
+            waiting[d].append(k)
+        r["order_turn"], r["step"], r["cyclic"] = r["turn"], 0, True
+    free = [k for k, n in open_.items() if not n]
+    while free:
+        r = rows[free.pop()]
+        r["cyclic"] = False
+        done = max((t for t in (r["order_turn"], r["result_turn"]) if t is not None), default=None)
+        for k in waiting[r["id"]]:
+            after = rows[k]
+            after["order_turn"] = max((t for t in (after["order_turn"], done) if t is not None), default=None)
+            after["step"] = max(after["step"], r["step"] + 1)
+            open_[k] -= 1
+            if not open_[k]:
+                free.append(k)
+    kinds = {"conv_id": pa.int64(), "id": pa.string(), "turn": pa.int64(), "result_turn": pa.int64(), "order_turn": pa.int64(), "step": pa.int32(), "cyclic": pa.bool_()}
+    return pa.table({name: pa.array([r[name] for r in rows.values()], kind) for name, kind in kinds.items()})
+
+
 def settle(linked: DataFrame, depends: DataFrame, depth: int) -> DataFrame:
     """(conv_id, id, turn, result_turn, order_turn, step, cyclic) of linked calls."""
     now = materialise(linked.select("conv_id", "id", "turn", "result_turn", F.col("turn").alias("order_turn"), F.lit(0).alias("step"), F.lit(False).alias("cyclic")), "order")
@@ -111,8 +143,11 @@ def settle(linked: DataFrame, depends: DataFrame, depth: int) -> DataFrame:
         )
         now = materialise(after, "order")
         if now.where("cyclic").isEmpty():
-            break
-    return now
+            return now
+    moving = now.where("cyclic").select("conv_id").distinct()
+    wanted = depends.groupBy("conv_id", "id").agg(F.collect_set("d").alias("depends"))
+    deep = now.join(moving, "conv_id", "left_semi").join(wanted, ["conv_id", "id"], "left").groupBy("conv_id").applyInArrow(_sweep, ORDER)
+    return materialise(now.join(moving, "conv_id", "left_anti").union(deep), "settled")
 
 
 def link(messages: DataFrame, schemas: dict | None = None, depth: int = 64) -> DataFrame:

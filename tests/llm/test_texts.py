@@ -154,6 +154,15 @@ def test_chat_linking(spark):
     assert chat.format_messages(df.limit(0)).count() == 0
 
 
+def test_long_chains_are_no_cycles(spark):
+    rows = [(1, 2 * k, "assistant", call(f"c{k}", depends_on=[f"c{k - 1}"] if k else [])) for k in range(12)] + [(1, 2 * k + 1, "tool", json.dumps({"tool_call_id": f"c{k}", "content": ""})) for k in range(12)]
+    rows += [(2, 0, "assistant", call("x", depends_on=["y"]) + call("y", depends_on=["x"]) + call("z", depends_on=["x"]) + call("free")), (2, 1, "tool", '{"tool_call_id": "free", "content": ""}')]
+    out = chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS, depth=3).collect()
+    calls = {c["id"]: (c["status"], c.get("result_turn")) for r in out for c in json.loads(r.message).get("tool_calls", [])}
+    assert calls == {f"c{k}": ("linked", 2 * k + 1) for k in range(12)} | dict.fromkeys("xyz", ("cyclic", None)) | {"free": ("linked", 1)}
+    assert {r.turn: (r.order_turn, r.order_step) for r in out if r.conv_id == 1 and r.turn % 2 == 0} == {2 * k: (2 * k, k) for k in range(12)}
+
+
 def test_messages_without_calls_are_plain(spark, data):
     rows = spark.read.parquet(f"{data}/conversations.parquet")
     found = {(r.conv_id, r.turn): r for r in chat.format_messages(rows).collect()}
