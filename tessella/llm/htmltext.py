@@ -1,17 +1,23 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each with its path of tags from the root. Per path are summed
-the characters, the punctuation marks, the nodes and the characters inside links; the fused
-ratio is (characters per node) x (marks per node, plus one) x (share outside links). Ratios are
-smoothed over the paths in page order, and paths at or above a share of the greatest smoothed
-ratio are content paths. The main element is the lowest one that holds all text of the content
-paths, but none below an article or main element; inside it every block counts that is not
-boilerplate (so the heading and short paragraphs stay), outside it nothing. Where the main element is
-the body itself, only blocks on content paths and headings count.
-
-Elements that can hold no main text are left out before: menus, footers, sidebars, page
-headers, forms, notices, adverts, scripts, styles, reader comments, by tag, role or class. A class or id says nothing of an element that holds nearly all
-text of the page (``cover``), such as a wrapper named after the page's fixed header.
+A page is cut into text nodes, each with its path of tags (and classes) from the root. Per path
+are summed the characters, the punctuation marks, the nodes and the characters inside links.
+Characters per node and marks per node are smoothed over neighbouring paths of one parent, in page
+order, then fused: (characters per node) x (marks per node, plus one) x (share outside links) x
+(what the path's names leave of it). Names only lower a ratio: to LOWERED of it under elements that
+a tag, role, class or id calls boilerplate (menus, footers, sidebars, page headers, forms, notices,
+adverts, reader comments), to OUTSIDE of it outside the article or main elements of a page that has text in them.
+
+Paths at or above ``threshold`` of the greatest ratio, and at least FLOOR, are content paths. The
+main element is the lowest one that holds all text of the content paths, but none below an article or
+main element. The paths inside it that no name lowers count as content too (so headings, captions and
+short paragraphs stay), as does a first heading before it. Where the main element is the body itself, that goes for
+headings, and for what lies between content and is not mostly links.
+
+A class or id names boilerplate if all parts of one of its words are boilerplate names or usual
+companions of them (``ad-box``, ``site-footer``), never with a word such as ``no`` or ``has``; it says nothing of
+an element around the first heading or the main element, and the weaker names and forms say nothing of
+one that holds nearly all text of the page (``cover``). Scripts, styles and what is hidden is no text.
 
 Defined cases: null or empty html gives an empty text; an unfinished tag at the end of a page is
 dropped, unclosed elements end with the page; a page without main text gives ""; repeated rows
@@ -33,59 +39,82 @@ from . import textcore
 
 MARKUP = re.compile(r"""<(?:!--|([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|([a-zA-Z][^\s/>]*+)([^>]*+)>|/([a-zA-Z][^\s/>]*+)[^>]*+>|[!?/][^>]*+>)""")
 ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 MARKS = re.compile(r"[.,;:!?…、。，！？]")
 
 # Names of HTML elements, roles, and usual class names of boilerplate.
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var wbr".split())
-LEFT_OUT = frozenset("head script style noscript template title textarea svg math iframe object canvas audio video nav footer aside form button select option dialog menu".split())
+UNSEEN = frozenset("head script style noscript template title textarea svg math iframe object canvas audio video".split())
+BOILERPLATE = frozenset("nav footer aside button select option dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar form".split())
-CLASSES = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs cookie cookies consent gdpr "
-    "notice notification banner popup modal overlay comment comments disqus replies respond share sharing social related recommended newsletter subscribe subscription signup login "
-    "pagination pager footer header masthead widget toolbar copyright disclaimer skip".split()
+STRONG = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies respond "
+    "cookie cookies consent gdpr footer newsletter pagination pager share sharing social".split()
 )
+WEAK = frozenset("promo promotion notice notification banner popup modal overlay related recommended subscribe subscription signup login header masthead logo widget toolbar copyright disclaimer skip".split())
+COMPANIONS = frozenset(
+    "site page global main top bottom left right upper lower primary secondary sub user reader blog post posts story stories entry article articles box bar list lists item items container wrapper wrap inner outer "
+    "area section block panel group content body text title row column col link links button buttons icon icons form thread tree count meta media unit slot zone rail fixed sticky floating large small mini mobile desktop to "
+    "more you may like also news tags inline module part holder frame responsive default new".split()
+)
+DENIALS = frozenset("no not non without has have with hide hidden is".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 KEPT_WHOLE = frozenset("html body main".split())
+#: What is left of the ratio of a path that a name calls boilerplate, and of one outside the article.
+LOWERED, OUTSIDE = 1e-9, 0.04
+#: The least ratio of a content path: one character a node.
+FLOOR = 1.0
 
 
 class Limits:
-    """Share of the greatest ratio for a content path, and share of the text that no element named as boilerplate holds."""
-
-    def __init__(self, threshold: float = 0.05, cover: float = 0.9):
-        self.threshold, self.cover = threshold, cover
-
-
-def _boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is left out by tag, role or being hidden, and whether by class or id."""
-    if tag in LEFT_OUT or (tag == "header" and not in_article):
-        return True, False
-    if not attributes or tag in KEPT_WHOLE:
-        return False, False
-    named = False
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
-        if name in ("class", "id"):
-            named = named or not CLASSES.isdisjoint(x.lower() for x in NAME_PART.findall(value))
-        elif name == "role":
-            if value.strip().lower() in ROLES:
-                return True, False
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True, False
-    return False, named
+    """Share of the greatest ratio for a content path, and share of the text that no form or weakly named element holds.
+
+    ``ratios`` and ``names`` switch off either part, to see what it does.
+    """
+
+    def __init__(self, threshold: float = 0.05, cover: float = 0.9, ratios: bool = True, names: bool = True):
+        self.threshold, self.cover, self.ratios, self.names = threshold, cover, ratios, names
+
+
+def named(value: str, in_article: bool) -> int:
+    """What a class or id says: 2 that the element is boilerplate, 1 that it may be, else 0."""
+    most = 0
+    for word in value.split():
+        parts = {x.lower() for x in NAME_PART.findall(word)}
+        if in_article:
+            parts -= {"header"} if len(parts) > 1 else set()
+        names = parts & (STRONG | WEAK)
+        if names and not parts & DENIALS and all(x in COMPANIONS or x in names or x.isdigit() for x in parts) and not (in_article and names == {"header"}):
+            most = max(most, 2 if names & STRONG else 1)
+    return most
+
+
+def _kind(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]:
+    """Whether an element is unseen, whether its tag or role calls it boilerplate, and what its class or id says of that."""
+    if tag in UNSEEN:
+        return True, False, 0
+    boilerplate, said = tag in BOILERPLATE or (tag == "header" and not in_article), int(tag == "form")
+    if attributes and tag not in KEPT_WHOLE:
+        for m in ATTRIBUTE.finditer(attributes):
+            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "")
+            if name in ("class", "id"):
+                said = max(said, named(value, in_article))
+            elif name == "role":
+                boilerplate = boilerplate or value.strip().lower() in ROLES
+            elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
+                return True, False, 0
+    return False, boilerplate, said
 
 
 class Page:
     """Elements, and text nodes as (element, block, characters), of one page in one sweep."""
 
     def __init__(self, source: str):
-        self.parent, self.tag, self.out, self.path, self.block_of = [-1], ["#"], [False], [0], [0]
-        self.article, self.linked, self.named = [False], [False], [False]
+        self.parent, self.tag, self.classes, self.unseen, self.boilerplate, self.said = [-1], ["#"], [""], [False], [False], [0]
+        self.article, self.linked = [False], [False]
         self.texts: list[tuple[int, int, str]] = []
-        self._paths: dict[tuple[int, str], int] = {}
-        self.path_names = 1
         self._block = 0
         stack, opened = [0], {}
 
@@ -140,87 +169,128 @@ class Page:
         return rest[: cut.start()] if cut else rest
 
     def _open(self, tag: str, attributes: str, parent: int) -> None:
+        unseen, boilerplate, said = _kind(tag, attributes, self.article[parent])
         self.parent.append(parent)
         self.tag.append(tag)
+        self.classes.append(attributes if "class" in attributes else "")
         self.article.append(self.article[parent] or tag in ("article", "main"))
         self.linked.append(self.linked[parent] or tag == "a")
-        out, named = _boilerplate(tag, attributes, self.article[parent])
-        self.out.append(self.out[parent] or out)
-        self.named.append(named)
-        key = (self.path[parent], tag)
-        if key not in self._paths:
-            self._paths[key] = self.path_names
-            self.path_names += 1
-        self.path.append(self._paths[key])
+        self.unseen.append(self.unseen[parent] or unseen)
+        self.boilerplate.append(boilerplate)
+        self.said.append(said)
 
     def _text(self, raw: str, element: int) -> None:
-        if raw and not self.out[element]:
+        if raw and not self.unseen[element]:
             self.texts.append((element, self._block, entities.unescape(raw) if "&" in raw else raw))
 
+    def inherited(self, own: list[bool]) -> list[bool]:
+        """Whether an element or one around it is marked; parents come before their children."""
+        out = own[:1]
+        for e in range(1, len(own)):
+            out.append(own[e] or out[self.parent[e]])
+        return out
 
-def without_named(page: Page, cover: float) -> list[tuple[int, int, str]]:
-    """Texts outside the elements that a class or id names as boilerplate and that hold less than ``cover`` of all text."""
-    if not any(page.named):
-        return page.texts
-    held = [0] * len(page.tag)
-    for element, _, text in page.texts:
-        held[element] += len(text) - sum(map(str.isspace, text))
-    for e in range(len(held) - 1, 0, -1):
-        held[page.parent[e]] += held[e]
-    out = [False] * len(page.tag)
-    for e in range(1, len(out)):
-        out[e] = out[page.parent[e]] or (page.named[e] and held[e] < cover * held[0])
-    return [x for x in page.texts if not out[x[0]]]
-
-
-def content_paths(page: Page, limits: Limits) -> set[int]:
-    """Paths whose smoothed fused ratio is high enough."""
-    sums: dict[int, list[int]] = {}
-    for element, _, text in page.texts:
-        n = len(text) - text.count(" ")
-        if n and not text.isspace():
-            s = sums.setdefault(page.path[element], [0, 0, 0, 0])
-            s[0] += n
-            s[1] += len(MARKS.findall(text))
-            s[2] += 1
-            s[3] += n * page.linked[element]
-    fused = [chars / nodes * (1 + marks / nodes) * (1 - linked / chars) for chars, marks, nodes, linked in sums.values()]
-    if not fused:
-        return set()
-    smooth = [0.5 * x + 0.25 * (fused[max(i - 1, 0)] + fused[min(i + 1, len(fused) - 1)]) for i, x in enumerate(fused)]
-    most = max(smooth)
-    return {p for p, x in zip(sums, smooth, strict=True) if x > 0 and x >= limits.threshold * most}
+    def held(self, own: list[int]) -> list[int]:
+        """Sums over all that an element holds."""
+        out = list(own)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
 
 
-def main_text(source: str, limits: Limits | None = None) -> str:
-    """Blocks of the main text in page order, joined by blank lines."""
-    limits = limits or Limits()
-    page = Page(source)
-    page.texts = without_named(page, limits.cover)
-    articles = any(page.article[e] and not t.isspace() for e, _, t in page.texts)
-    if articles:
-        page.texts = [x for x in page.texts if page.article[x[0]]]
-    paths = content_paths(page, limits)
+def lowered(page: Page, cover: float) -> list[bool]:
+    """Which elements are boilerplate by name, or inside one that is."""
+    size = [0] * len(page.tag)
+    for element, _, text in page.texts:
+        size[element] += len(text) - sum(map(str.isspace, text))
+    size = page.held(size)
+    around = page.held([int(t in ("h1", "main")) for t in page.tag])
+    own = [page.boilerplate[e] or (said > 0 and not around[e] and (said > 1 or size[e] < cover * size[0])) for e, said in enumerate(page.said)]
+    return page.inherited(own)
+
+
+def _smooth(values: list[float], parents: list[int]) -> list[float]:
+    """Half of each value and a quarter of its neighbours' under the same parent, or its own where there is none."""
+    out = []
+    for k, x in enumerate(values):
+        near = [values[j] if 0 <= j < len(values) and parents[j] == parents[k] else x for j in (k - 1, k + 1)]
+        out.append(0.5 * x + 0.25 * sum(near))
+    return out
+
+
+class Paths:
+    """Paths of a page's elements and their fused ratios."""
+
+    def __init__(self, page: Page, low: list[bool], limits: Limits):
+        ids: dict[tuple, int] = {}
+        self.of, self.parent = [0], [-1]
+        for e in range(1, len(page.tag)):
+            up = self.of[page.parent[e]]
+            k = ids.setdefault((up, page.tag[e], page.classes[e], low[e]), len(ids) + 1)
+            if k == len(self.parent):
+                self.parent.append(up)
+            self.of.append(k)
+        sums: dict[int, list] = {}
+        for element, _, text in page.texts:
+            n = len(text) - text.count(" ")
+            if n and not text.isspace():
+                s = sums.setdefault(self.of[element], [0, 0, 0, 0, element])
+                s[0] += n
+                s[1] += len(MARKS.findall(text))
+                s[2] += 1
+                s[3] += n * page.linked[element]
+        inside = any(page.article[s[4]] and not low[s[4]] for s in sums.values())
+        parents = [self.parent[p] for p in sums]
+        chars = _smooth([s[0] / s[2] for s in sums.values()], parents)
+        marks = _smooth([s[1] / s[2] for s in sums.values()], parents)
+        self.links = {p: s[3] / s[0] for p, s in sums.items()}
+        self.left = {p: (LOWERED if low[s[4]] else 1.0) * (OUTSIDE if inside and not page.article[s[4]] else 1.0) if limits.names else 1.0 for p, s in sums.items()}
+        self.ratio = {p: c * (1 + m) * (1 - self.links[p]) * self.left[p] for p, c, m in zip(sums, chars, marks, strict=True)}
+        least = max(limits.threshold * max(self.ratio.values(), default=0.0), FLOOR)
+        self.content = {p for p, x in self.ratio.items() if x >= least or not limits.ratios}
+
+
+def main_element(page: Page, paths: Paths) -> int:
+    """The lowest element that holds all text of the content paths, none below an article or main element."""
     weight = [0] * len(page.tag)
     for element, _, text in page.texts:
-        if page.path[element] in paths:
+        if paths.of[element] in paths.content:
             weight[element] += len(text)
-    for e in range(len(weight) - 1, 0, -1):
-        weight[page.parent[e]] += weight[e]
+    weight = page.held(weight)
     main = 0
     for e in range(1, len(weight)):  # parents come before their children
         if page.parent[e] == main and not page.article[main] and weight[e] > 0 and weight[e] == weight[0] and page.tag[e] not in INLINE and page.tag[e] not in HEADINGS and page.tag[e] != "p":
             main = e
-    inside = [False] * len(page.tag)
-    for e in range(len(inside)):
-        inside[e] = e == main or (e > 0 and inside[page.parent[e]])
-    whole = articles or page.tag[main] not in ("#", "html", "body")
-    heading = [False] * len(page.tag)
-    for e in range(1, len(heading)):
-        heading[e] = heading[page.parent[e]] or page.tag[e] in HEADINGS
+    return main
+
+
+def main_text(source: str, limits: Limits | None = None) -> str:
+    """Blocks of the main text in page order, joined by blank lines."""
+    limits = limits or Limits()
+    page = Page(source)
+    low = lowered(page, limits.cover) if limits.names else [False] * len(page.tag)
+    paths = Paths(page, low, limits)
+    if not paths.content:
+        return ""
+    main = main_element(page, paths)
+    inside = page.inherited([e == main for e in range(len(page.tag))])
+    heading = page.inherited([t in HEADINGS for t in page.tag])
+    first = page.inherited([t == "h1" for t in page.tag])
+    whole = page.article[main] or page.tag[main] not in ("#", "html", "body")
+    content = [k for k, (e, _, _) in enumerate(page.texts) if paths.of[e] in paths.content]
+    titled = any(first[e] and inside[e] and not low[e] and not t.isspace() for e, _, t in page.texts)
+
+    def counts(k: int, e: int) -> bool:
+        """Whether a text node that no name lowers belongs to the main text though its path's own ratio is small."""
+        if first[e] and not titled and k < content[0]:
+            return True
+        if not inside[e]:
+            return False
+        return whole or heading[e] or (content[0] < k < content[-1] and paths.links.get(paths.of[e], 0.0) < 0.5)
+
     blocks: dict[int, list[str]] = {}
-    for element, block, text in page.texts:
-        if inside[element] and (whole or page.path[element] in paths or heading[element]):
+    for k, (element, block, text) in enumerate(page.texts):
+        if paths.of[element] in paths.content or (not low[element] and counts(k, element)):
             blocks.setdefault(block, []).append(text)
     return "\n\n".join(filter(None, (" ".join("".join(b).split()) for b in blocks.values())))
 

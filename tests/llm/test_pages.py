@@ -4,6 +4,7 @@ import hashlib
 import io
 import json
 import zlib
+from html.parser import HTMLParser
 
 import pytest
 
@@ -101,3 +102,100 @@ LONG = "A long paragraph, with many words. " * 60
 ])
 def test_main_text_of_nested_pages(source, text):
     assert htmltext.main_text(source) == "\n\n".join(text)
+
+
+@pytest.mark.parametrize(("source", "text"), [
+    (f"<body><div class='content no-sidebar'><p>{LONG}</p></div></body>", [LONG.strip()]),
+    (f"<body><div class='post has-comments'><p>{LONG}</p><div class='comments'><p>A reader's word, said here.</p></div></div></body>", [LONG.strip()]),
+    (f"<body><form action='/'><nav><a href='/'>Home</a></nav><div><h2>Head</h2><p>{LONG}</p></div></form></body>", ["Head", LONG.strip()]),
+    (f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p><p class='related-note'>A note, to keep.</p></article>", ["Title", LONG.strip(), "A note, to keep."]),
+    (f"<body><div class='title'><h1>Title</h1></div><div class='text'><p>{LONG}</p></div><div class='site-footer'>All that, and more.</div></body>", ["Title", LONG.strip()]),
+    (f"<body><ul><li><a href='/a'>One</a><li><a href='/b'>Two</a></ul><h1>Title</h1><p>{LONG}</p><ul><li>Short</li></ul><p>{LONG}</p><div class='cookie-notice'>We use them, too.</div></body>", ["Title", LONG.strip(), "Short", LONG.strip()]),
+    ("<body><nav><a href='/'>Home</a></nav><div class='comment-list'><p>Only readers, here.</p></div><footer>End.</footer></body>", []),
+    (f"<body><div class='user-comments'><p>{LONG}</p></div><div><p>An article, and no long one.</p></div></body>", ["An article, and no long one."]),
+    (f"<main><p>{LONG}</p><p><a href='/x'>A link to read, alone</a></p></main><div><p>Beside it, in a box.</p></div>", [LONG.strip(), "A link to read, alone"]),
+])
+def test_names_only_lower_a_ratio(source, text):
+    assert htmltext.main_text(source) == "\n\n".join(text)
+
+
+class PlainPage(HTMLParser):
+    """Text by path of tags and classes, with every element closed as the pages of the table close them."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=True)
+        self.open, self.nodes = [], []
+        self.feed(source)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in htmltext.VOID:
+            return
+        if tag not in htmltext.INLINE and any(t == "p" for t, _ in self.open):
+            while self.open.pop()[0] != "p":
+                pass
+        self.open.append((tag, dict(attrs).get("class")))
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.open):
+            while self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        if data.strip() and not {"script", "style", "head", "title", "noscript", "template"} & {t for t, _ in self.open}:
+            self.nodes.append((tuple(self.open), data))
+
+
+def test_ratios_choose_the_paths_of_the_table(spark, data):
+    """Every page: the fused ratios by plain sums over a plain parser's nodes, and what they or the names change."""
+    changed = {"ratios": 0, "names": 0}
+    rows = [r.html or "" for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    for source in rows:
+        page = htmltext.Page(source)
+        low = htmltext.lowered(page, 0.9)
+        paths = htmltext.Paths(page, low, htmltext.Limits())
+        sums = {}
+        for path, text in PlainPage(source).nodes:
+            s = sums.setdefault(path, [0, 0, 0, 0])
+            n = len(text) - text.count(" ")
+            for k, x in enumerate((n, sum(c in ".,;:!?…、。，！？" for c in text), 1, n * any(t == "a" for t, _ in path))):
+                s[k] += x
+        plain, order = {}, list(sums)
+        article = any(any(t in ("article", "main") for t, _ in p) for p in order)
+        for k, p in enumerate(order):
+            near = [order[j] if 0 <= j < len(order) and order[j][:-1] == p[:-1] else p for j in (k - 1, k + 1)]
+            chars, marks = (0.5 * sums[p][i] / sums[p][2] + 0.25 * sum(sums[q][i] / sums[q][2] for q in near) for i in (0, 1))
+            named = any(t in htmltext.BOILERPLATE or t in ("header", "form") or (c and set(c.split("-")) & (htmltext.STRONG | htmltext.WEAK)) for t, c in p)
+            outside = article and not any(t in ("article", "main") for t, _ in p)
+            plain[p] = chars * (1 + marks) * (1 - sums[p][3] / sums[p][0]) * (htmltext.LOWERED if named else 1) * (htmltext.OUTSIDE if outside else 1)
+        assert sorted(paths.ratio.values()) == pytest.approx(sorted(plain.values())), source
+        text = htmltext.main_text(source)
+        assert text == "\n\n".join(filter(None, (" ".join(b.split()) for b in blocks(source))))
+        for switch in changed:
+            changed[switch] += text != htmltext.main_text(source, htmltext.Limits(**{switch: False}))
+    assert changed["ratios"] == len(rows) and changed["names"] > len(rows) / 2
+
+
+def blocks(source):
+    """Blocks of the article as a plain parser sees them: text between tags that are not inline."""
+
+    class Blocks(HTMLParser):
+        out, deep = [""], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.deep += tag == "article"
+            self.out = [*self.out, ""] if tag not in htmltext.INLINE else self.out
+            if tag == "br" and self.deep:
+                self.out[-1] += " "
+
+        def handle_endtag(self, tag):
+            self.deep -= tag == "article"
+            self.out = [*self.out, ""] if tag not in htmltext.INLINE else self.out
+
+        def handle_data(self, data):
+            if self.deep:
+                self.out[-1] += data
+
+    parser = Blocks(convert_charrefs=True)
+    parser.feed(source)
+    return parser.out
