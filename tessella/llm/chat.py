@@ -11,15 +11,18 @@ result is a message of role ``tool``, a JSON object with ``tool_call_id`` and ``
   where calls still move after ``depth`` rounds are settled call by call: a call without open
   dependencies is ordered and frees those that wait for it. Calls that are never freed are in a
   cycle, or depend on one, and say so.
-* Arguments are checked against a schema by tool: {"name": {"parameter": {"type", "required"}}}.
-* A message becomes one line of canonical JSON: sorted keys, no blanks, shortest numbers.
+* Arguments are checked against a JSON schema by tool: type, enum, const, properties, required,
+  additionalProperties, items, and bounds of numbers, lengths and counts, at any depth.
+* A message becomes one line of canonical JSON (RFC 8785): keys sorted by UTF-16, no blanks, shortest
+  numbers. Whole numbers keep all their digits, which that standard would round to a double.
 
 One row goes out per message, so no conversation, however long, is gathered in one place (but the
 calls, without texts, of one whose dependencies go deeper than ``depth``);
 (conv_id, order_turn, order_step, turn) sorts a conversation.
 
 Defined cases: null text is null content; null role stays null; malformed blocks stay in the
-content and count as malformed; calls without an id and results without a call are orphans;
+content and count as malformed (no JSON, not-a-number and infinite values, half surrogates, nesting over
+DEPTH levels); of equal keys of an object the last counts; calls without an id and results without a call are orphans;
 repeated rows give repeated messages, whose calls count once; other columns are left out.
 """
 
@@ -36,12 +39,88 @@ from pyspark.sql import functions as F
 from tessella.session import materialise
 
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
-KINDS = {"string": str, "number": (int, float), "integer": int, "boolean": bool, "array": list, "object": dict}
+#: Levels of nesting of a call or result, at most.
+DEPTH = 200
 EVENTS = "mid long, conv_id long, turn long, k int, kind string, id string, name string, arguments string, problems array<string>, depends array<string>"
 
 
-def canonical(value) -> str:
-    return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+def _number(x: float) -> str:
+    """The shortest decimal that reads back as ``x``, as ECMAScript writes it."""
+    if x == int(x) and abs(x) < 1e21:
+        return str(int(x))
+    digits, _, exponent = repr(x).partition("e")
+    if not exponent:
+        return digits
+    if -7 < int(exponent) < 0:
+        sign = "-" * (x < 0)
+        return f"{sign}0.{'0' * (-int(exponent) - 1)}{digits.lstrip('-').replace('.', '')}"
+    return f"{digits}e{int(exponent):+d}"
+
+
+def canonical(value, depth: int = DEPTH + 10) -> str:
+    if depth < 0:
+        raise ValueError("nested too deep")
+    if isinstance(value, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k], depth - 1)}" for k in sorted(value, key=lambda k: k.encode("utf-16-be"))) + "}"
+    if isinstance(value, list):
+        return "[" + ",".join(canonical(v, depth - 1) for v in value) + "]"
+    return _number(value) if isinstance(value, float) else json.dumps(value, ensure_ascii=False)
+
+
+def _no_number(name: str):
+    raise ValueError(name)
+
+
+def loads(text: str):
+    """The value of a JSON text; ValueError unless its canonical form is valid too."""
+    try:
+        value = json.loads(text, parse_constant=_no_number)
+        canonical(value, DEPTH).encode()
+    except (RecursionError, OverflowError) as e:
+        raise ValueError(str(e)) from None
+    return value
+
+
+def _is(value, kind: str) -> bool:
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    return {
+        "string": isinstance(value, str), "number": number, "integer": number and value == int(value), "boolean": isinstance(value, bool),
+        "array": isinstance(value, list), "object": isinstance(value, dict), "null": value is None,
+    }[kind]
+
+
+#: Bounds of a schema: what they measure, and whether a measure keeps the bound.
+BOUNDS = {
+    "minimum": ("number", lambda x, y: x >= y), "maximum": ("number", lambda x, y: x <= y), "exclusiveMinimum": ("number", lambda x, y: x > y), "exclusiveMaximum": ("number", lambda x, y: x < y),
+    "minLength": ("string", lambda x, y: len(x) >= y), "maxLength": ("string", lambda x, y: len(x) <= y), "minItems": ("array", lambda x, y: len(x) >= y), "maxItems": ("array", lambda x, y: len(x) <= y),
+}
+
+
+def problems_of(value, schema: dict, at: str = "") -> list[str]:
+    """What is wrong with a value by its schema, as ``path: problem``."""
+    out = []
+    kinds = [schema["type"]] if isinstance(schema.get("type"), str) else schema.get("type", [])
+    if kinds and not any(_is(value, k) for k in kinds):
+        return [f"{at}: no {' or '.join(kinds)}"]
+    allowed = schema.get("enum", [schema["const"]] if "const" in schema else None)
+    if allowed is not None and canonical(value) not in map(canonical, allowed):
+        out.append(f"{at}: not among the allowed values")
+    out += [f"{at}: breaks {name} {_number(float(schema[name]))}" for name, (kind, keeps) in BOUNDS.items() if name in schema and _is(value, kind) and not keeps(value, schema[name])]
+    if isinstance(value, dict):
+        inner, more = schema.get("properties", {}), schema.get("additionalProperties", True)
+        path = f"{at}." if at else ""
+        out += [f"{path}{k}: missing" for k in schema.get("required", []) if k not in value]
+        for k, v in value.items():
+            if k in inner:
+                out += problems_of(v, inner[k], path + k)
+            elif more is False:
+                out.append(f"{path}{k}: unknown")
+            elif isinstance(more, dict):
+                out += problems_of(v, more, path + k)
+    if isinstance(value, list) and "items" in schema:
+        for k, v in enumerate(value):
+            out += problems_of(v, schema["items"], f"{at}[{k}]")
+    return out
 
 
 def check(name: str | None, arguments, schemas: dict) -> list[str]:
@@ -52,13 +131,7 @@ def check(name: str | None, arguments, schemas: dict) -> list[str]:
         return ["arguments are no object"]
     if name not in schemas:
         return ["no schema"] if schemas else []
-    schema, out = schemas[name], []
-    for key, rule in schema.items():
-        if key not in arguments:
-            out += [f"missing {key}"] * bool(rule.get("required"))
-        elif not isinstance(arguments[key], KINDS[rule["type"]]) or (isinstance(arguments[key], bool) and rule["type"] in ("number", "integer")):
-            out.append(f"{key} is no {rule['type']}")
-    return sorted(out + [f"unknown {k}" for k in arguments if k not in schema])
+    return sorted(problems_of(arguments, schemas[name]))
 
 
 def parse(role: str | None, text: str | None, schemas: dict) -> tuple[str | None, list[tuple]]:
@@ -67,14 +140,14 @@ def parse(role: str | None, text: str | None, schemas: dict) -> tuple[str | None
         return None, []
     if role == "tool":
         try:
-            value = json.loads(text)
+            value = loads(text)
             return canonical(value["content"]) if not isinstance(value["content"], str) else value["content"], [(0, "result", _name(value.get("tool_call_id")), None, None, [], [])]
         except (ValueError, KeyError, TypeError, AttributeError):
             return text, [(0, "malformed", None, None, None, ["malformed"], [])]
     events, kept, at = [], [], 0
     for k, m in enumerate(CALL.finditer(text)):
         try:
-            value = json.loads(m[1])
+            value = loads(m[1])
             arguments = value.get("arguments", {})
             depends = [d for d in value.get("depends_on") or [] if isinstance(d, str)]
             events.append((k, "call", _name(value.get("id")), _name(value.get("name")), canonical(arguments), check(value.get("name"), arguments, schemas), sorted(set(depends))))
@@ -209,3 +282,55 @@ def format_messages(conversations: DataFrame, schemas: dict | None = None, depth
     own = own.withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text"))
     events = link(own, schemas, depth).groupBy("mid").agg(F.collect_list(F.struct("k", "kind", "id", "name", "arguments", "problems", "status", "order_turn", "step", "result_turn")).alias("events"))
     return own.join(events, "mid", "left").select("conv_id", "turn", "role", "text", "events").mapInArrow(_message_task, FORMATTED)
+
+
+#: Schemas of the tools of ``with_tool_calls``.
+EXAMPLE_SCHEMAS = {
+    "count_words": {
+        "type": "object", "required": ["turn", "words", "style"], "additionalProperties": False,
+        "properties": {"turn": {"type": "integer", "minimum": 0}, "words": {"type": "integer", "maximum": 60}, "style": {"enum": ["short", "long"]}, "parts": {"type": "array", "maxItems": 2, "items": {"type": "number"}}},
+    }
+}
+
+
+def with_tool_calls(conversations: DataFrame) -> DataFrame:
+    """The conversations (conv_id, turn, role, text) with a call and a result for what every assistant says, as an agent would leave them.
+
+    The table itself has plain messages. Turns are counted in fours to make room. A call of turn t has
+    the id ``ct`` and, if its text has an even number of characters, depends on the call two turns before; its
+    result follows, in every fourth turn it comes before its call, and if the characters are a
+    multiple of seven there is none.
+    """
+    chars, words, turn = F.length("text"), F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit(""))) + 1, F.col("turn")
+    style = F.when(words % 5 > 0, F.when(words < 30, '"short"').when(words < 90, '"long"').otherwise('"endless"'))
+    arguments = F.concat(
+        F.lit('{"words": '), words, F.lit(', "turn": '), turn, F.when(words % 3 == 0, F.lit(".0")).otherwise(F.lit("")), F.coalesce(F.concat(F.lit(', "style": '), style), F.lit("")),
+        F.when(chars % 4 == 0, F.lit(', "parts": [1e2, 0.50, true]')).otherwise(F.lit("")), F.lit("}"),
+    )
+    depends = F.when((chars % 2 == 0) & (turn >= 2), F.concat(F.lit('["c'), turn - 2, F.lit('"]'))).otherwise(F.lit("[]"))
+    call = F.concat(F.lit('<tool_call>{"id": "c'), turn, F.lit('", "name": "count_words", "arguments": '), arguments, F.lit(', "depends_on": '), depends, F.lit("}</tool_call>"))
+    said = conversations.select("conv_id", (turn * 4).alias("turn"), "role", F.when(F.col("role") == "assistant", F.concat("text", call)).otherwise(F.col("text")).alias("text"))
+    result = F.concat(F.lit('{"tool_call_id": "c'), turn, F.lit('", "content": {"words": '), words, F.lit(', "chars": '), chars, F.lit("}}"))
+    answered = conversations.where((F.col("role") == "assistant") & (chars % 7 > 0))
+    results = answered.select("conv_id", F.when(turn % 4 == 3, turn * 4 - 1).otherwise(turn * 4 + 1).alias("turn"), F.lit("tool").alias("role"), result.alias("text"))
+    return said.unionByName(results)
+
+
+def formatted_sql() -> str:
+    """``format_messages`` of ``with_tool_calls`` in SQL over the view ``conversations`` (one row for each conv_id and turn)."""
+    return """
+WITH RECURSIVE a AS (SELECT conv_id, turn, text, length(text) AS chars, length(text) - length(replace(text, ' ', '')) + 1 AS words, 'c' || turn AS id FROM conversations WHERE role = 'assistant'),
+calls AS (SELECT *, turn * 4 AS here, CASE WHEN chars % 7 > 0 THEN CASE WHEN turn % 4 = 3 THEN turn * 4 - 1 ELSE turn * 4 + 1 END END AS result_turn, CASE WHEN chars % 2 = 0 AND turn >= 2 THEN 'c' || (turn - 2) END AS need FROM a),
+linked AS (SELECT c.*, d.id AS before FROM calls c LEFT JOIN calls d ON d.conv_id = c.conv_id AND d.id = c.need),
+placed AS (SELECT conv_id, id, here AS order_turn, 0 AS step, result_turn FROM linked WHERE before IS NULL
+ UNION ALL SELECT l.conv_id, l.id, greatest(l.here, p.order_turn, coalesce(p.result_turn, p.order_turn)), p.step + 1, l.result_turn FROM linked l JOIN placed p ON l.conv_id = p.conv_id AND l.before = p.id),
+checked AS (SELECT l.*, p.order_turn, p.step, CASE WHEN l.result_turn IS NULL THEN 'unanswered' ELSE 'linked' END AS status,
+ list_filter(['style: ' || CASE WHEN words % 5 = 0 THEN 'missing' WHEN words >= 90 THEN 'not among the allowed values' END, CASE WHEN words > 60 THEN 'words: breaks maximum 60' END, CASE WHEN chars % 4 = 0 THEN 'parts: breaks maxItems 2' END, CASE WHEN chars % 4 = 0 THEN 'parts[2]: no number' END], lambda x: x IS NOT NULL) AS problems
+ FROM linked l JOIN placed p USING (conv_id, id)),
+rows AS (
+ SELECT conv_id, turn * 4 AS turn, turn * 4 AS order_turn, 0 AS order_step, 0 AS n_calls, 0 AS n_linked, 0 AS n_problems, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS message FROM conversations WHERE role IS DISTINCT FROM 'assistant'
+ UNION ALL SELECT conv_id, here, order_turn, step, 1, (status = 'linked')::INT, len(problems), '{"content":' || to_json(text) || ',"role":"assistant","tool_calls":[{"arguments":{' || CASE WHEN chars % 4 = 0 THEN '"parts":[100,0.5,true],' ELSE '' END
+  || CASE WHEN words % 5 > 0 THEN '"style":"' || CASE WHEN words < 30 THEN 'short' WHEN words < 90 THEN 'long' ELSE 'endless' END || '",' ELSE '' END || '"turn":' || turn || ',"words":' || words || '},"id":"' || id || '","name":"count_words","problems":' || to_json(list_sort(problems))
+  || CASE WHEN status = 'linked' THEN ',"result_turn":' || result_turn ELSE '' END || ',"status":"' || status || '"}]}' FROM checked
+ UNION ALL SELECT conv_id, result_turn, greatest(order_turn, result_turn), step + 1, 0, 1, 0, '{"content":"{\\"chars\\":' || chars || ',\\"words\\":' || words || '}","role":"tool","status":"linked","tool_call_id":"' || id || '"}' FROM checked WHERE status = 'linked')
+SELECT conv_id, turn, order_turn, order_step::INTEGER AS order_step, n_calls::INTEGER AS n_calls, n_linked::INTEGER AS n_linked, n_problems::INTEGER AS n_problems, message FROM rows"""

@@ -16,7 +16,8 @@ def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
-    return chat.format_messages(table(spark, folder, "conversations"))
+    """Every message, and the calls and results derived from the table; it holds none of its own."""
+    return chat.format_messages(chat.with_tool_calls(table(spark, folder, "conversations")), chat.EXAMPLE_SCHEMAS)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
@@ -79,4 +80,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality.verdicts_sql(), "op9_license_scans": licenses.scan_sql()}
+    return {"op1_quality_rules": quality.verdicts_sql(), "op2_chat_formatting": chat.formatted_sql(), "op9_license_scans": licenses.scan_sql()}

@@ -123,7 +123,7 @@ def test_licenses(spark):
     assert licenses.scan(df.limit(0)).count() == 0
 
 
-SCHEMAS = {"add": {"a": {"type": "number", "required": True}, "b": {"type": "integer", "required": False}}}
+SCHEMAS = {"add": {"type": "object", "required": ["a"], "additionalProperties": False, "properties": {"a": {"type": "number"}, "b": {"type": "integer"}}}}
 
 
 def call(id_, name="add", arguments=None, **more):
@@ -146,7 +146,7 @@ def test_chat_linking(spark):
     assert at[1, 2].message == '{"content":"{\\"a\\":2.5,\\"z\\":1}","role":"tool","status":"linked","tool_call_id":"c2"}'
     # c2 waits for the result of c1 in turn 3, so its result of turn 2 comes after it.
     assert (at[1, 2].order_turn, at[1, 3].order_turn) == (3, 3) and at[1, 2].order_step > at[1, 3].order_step
-    assert json.loads(at[1, 4].message)["tool_calls"][0]["problems"] == ["b is no integer", "missing a", "unknown q"] and json.loads(at[1, 4].message)["tool_calls"][0]["status"] == "unanswered"
+    assert json.loads(at[1, 4].message)["tool_calls"][0]["problems"] == ["a: missing", "b: no integer", "q: unknown"] and json.loads(at[1, 4].message)["tool_calls"][0]["status"] == "unanswered"
     assert json.loads(at[1, 5].message)["status"] == "orphan" and json.loads(at[1, 6].message)["content"] == "<tool_call>{bad</tool_call>"
     assert json.loads(at[1, 7].message)["tool_calls"][0]["status"] == "duplicate"
     assert {c["status"] for c in json.loads(at[2, 0].message)["tool_calls"]} == {"cyclic"}
@@ -168,3 +168,72 @@ def test_messages_without_calls_are_plain(spark, data):
     found = {(r.conv_id, r.turn): r for r in chat.format_messages(rows).collect()}
     for r in itertools.islice(rows.collect(), 200):
         assert found[r.conv_id, r.turn].message == json.dumps({"content": r.text, "role": r.role}, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+
+
+@pytest.mark.parametrize(("value", "text"), [
+    (1.0, "1"), (1e16, "10000000000000000"), (1e21, "1e+21"), (1e-7, "1e-7"), (0.000001, "0.000001"), (-0.0000125, "-0.0000125"), (-1.5e-9, "-1.5e-9"), (0.1, "0.1"), (-0.0, "0"), (12345678901234567890, "12345678901234567890"),
+    ({"b": [True, None], "a": 1.50}, '{"a":1.5,"b":[true,null]}'), ({"\ufb33": 1, "\U0001f600": 2, "z": 3}, '{"z":3,"\U0001f600":2,"\ufb33":1}'), ("a\"\\\x0b\n/é", '"a\\"\\\\\\u000b\\n/é"'),
+])
+def test_canonical_json(value, text):
+    assert chat.canonical(value) == text
+
+
+def test_nested_schemas():
+    schema = {"type": "object", "required": ["a"], "properties": {"a": {"type": "array", "minItems": 1, "items": {"type": ["string", "null"], "maxLength": 2}}, "o": {"properties": {"n": {"exclusiveMinimum": 0}}, "additionalProperties": {"type": "boolean"}}, "c": {"const": 1}}}
+    check = lambda arguments: chat.check("t", arguments, {"t": schema})
+    assert check({"a": ["x", None], "o": {"n": 1, "m": True}, "c": 1.0}) == []
+    assert check({"a": ["xyz", 1], "o": {"n": 0, "m": 0}, "c": 2}) == ["a[0]: breaks maxLength 2", "a[1]: no string or null", "c: not among the allowed values", "o.m: no boolean", "o.n: breaks exclusiveMinimum 0"]
+    assert check({"a": []}) == ["a: breaks minItems 1"] and check({}) == ["a: missing"] and check([]) == ["arguments are no object"]
+
+
+def test_damaged_calls_stay_in_the_content(spark):
+    bad = ['{"id": "\\ud800"}', "[" * 100_000, '{"id": "x", "arguments": {"a": NaN}}', '{"arguments": 1e999}', "[" * 300 + "]" * 300, "{" * 3, '{"id": 1' + "0" * 5000 + "}", ""]
+    rows = [(1, k, "assistant", f"a <tool_call>{b}</tool_call>") for k, b in enumerate(bad)] + [(2, k, "tool", b) for k, b in enumerate(bad)]
+    out = chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS).collect()
+    assert sorted((r.conv_id, r.turn, json.loads(r.message)["content"]) for r in out) == sorted((c, t, x) for c, t, _, x in rows)
+    assert all(r.n_calls == r.n_linked == 0 and r.n_problems == 1 for r in out)
+
+
+def ordered(calls):
+    """(order_turn, step) of calls (id: turn, result turn, needs), None in or after a cycle, one call at a time."""
+    done = {}
+    while True:
+        free = [k for k, (_, _, needs) in calls.items() if k not in done and all(n in done for n in needs if n in calls)]
+        if not free:
+            return {k: done.get(k) for k in calls}
+        turn, _, needs = calls[free[0]]
+        before = [done[n] for n in needs if n in calls]
+        after = [max(done[n][0], calls[n][1] if calls[n][1] is not None else -1) for n in needs if n in calls]
+        done[free[0]] = (max([turn, *after]), max([s + 1 for _, s in before], default=0))
+
+
+@pytest.mark.parametrize("depth", [1, 64])
+def test_linking_equals_brute_force(spark, depth):
+    rng = random.Random(depth)
+    rows, expected = [], {}
+    for conv in range(60):
+        ids = [f"c{k}" for k in range(rng.randint(1, 9))]
+        calls = {}
+        for i in rng.sample(ids, len(ids)):
+            needs = rng.sample([*ids, "nobody"], rng.choice((0, 0, 1, 2, 2 if len(ids) > 1 else 1)))
+            turn, result = rng.randrange(40), rng.choice((None, rng.randrange(40)))
+            calls[i] = (turn, result, needs)
+            rows.append((conv, turn, "assistant", f"{i} {call(i, depends_on=needs)}"))
+            if result is not None:
+                rows.append((conv, result, "tool", json.dumps({"tool_call_id": i, "content": i})))
+        expected |= {(conv, k): (v, *calls[k][:2]) for k, v in ordered(calls).items()}
+    out = chat.format_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), SCHEMAS, depth=depth).collect()
+    seen = 0
+    for r in out:
+        m = json.loads(r.message)
+        if m["role"] == "tool":
+            (order, turn, result) = expected[r.conv_id, m["tool_call_id"]]
+            assert m["status"] == "linked" and r.turn == result
+            assert order is None or (r.order_turn, r.order_step) == (max(order[0], result), order[1] + 1)
+            continue
+        (c,) = m["tool_calls"]
+        order, turn, result = expected[r.conv_id, c["id"]]
+        assert c["status"] == ("cyclic" if order is None else "unanswered" if result is None else "linked")
+        assert order is None or (r.order_turn, r.order_step) == order
+        seen += 1
+    assert seen == len(expected) and None in {v[0] for v in expected.values()} and len(out) == len(rows)
