@@ -19,9 +19,10 @@ than a window are one feature; null and empty texts have the empty digest, which
 to itself and unlike (0) any other.
 
 For the query of edits, a document is paired with the next one by descending doc_id. Documents
-are dealt by ranges of doc_id, and the first of every range goes to the range before as well,
-so each task sees the successor of its last row without one task seeing all. Null ids come
-last, of repeated ids the greater text is first; a lone document is its own successor.
+are dealt by ranges of doc_id that hold about as many bytes each, a range to a task, and the first of
+every range goes to the range before as well, so each task sees the successor of its last row
+without one task seeing all. Null ids come last, of repeated ids that of the greater hash of its text is
+first, however many ranges there are; a lone document is its own successor.
 """
 
 from __future__ import annotations
@@ -50,8 +51,9 @@ CAPACITY = 160
 LOWEST, HIGHEST = 100, 990
 #: The usual entropy of prose in such windows.
 USUAL = 720
-#: Ranges of doc_id, at most; a task reads its ranges in order and row by row, so they may be large.
-MOST_RANGES = 20_000
+#: Cells of doc_id, at most, of which ranges are made, and bytes of text of a range where cells allow; a task reads its range row by row.
+MOST_CELLS = 10_000
+RANGE_BYTES = 16 << 20
 #: Bytes worked on at a time, so that the comparisons stay in the processor's cache.
 STRIP = 1 << 16
 
@@ -232,31 +234,48 @@ def _edits_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
+def balanced(sizes: list[int], ranges: int) -> list[int]:
+    """The range of each cell: cells in order, ranges of about equal sums, none of them empty."""
+    total, out, seen = max(sum(sizes), 1), [], 0
+    for n in sizes:
+        now = min(ranges - 1, (2 * seen + n) * ranges // (2 * total))
+        out.append(min(max(now, out[-1]), out[-1] + 1) if out else 0)
+        seen += n
+    return out
+
+
 def edit_distances(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """EDITS of every document: its fingerprint against its edited text's and the next document's."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     spark = own.sparkSession
-    ranges = ranges or min(MOST_RANGES, max(2 * own.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    # Range 0 has the greatest ids; null ids are in the last. Boundaries and heads are one row a range.
-    cuts = own.select(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10000)).first()[0] or []
+    least = ranges or max(own.rdd.getNumPartitions(), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cells = min(MOST_CELLS, 8 * least)
+    cuts = own.select(F.percentile_approx("doc_id", [k / cells for k in range(1, cells)], 10 * MOST_CELLS)).first()[0] or []
     rising = spark.sparkContext.broadcast(np.array(sorted(set(cuts)), dtype=np.int64))
 
-    @F.pandas_udf(IntegerType())
-    def range_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(len(rising.value) - np.searchsorted(rising.value, ids.to_numpy(dtype=np.int64), side="right"), dtype="int32")
+    def cell_of(ids: pd.Series) -> np.ndarray:
+        """Cell 0 has the greatest ids; a null one counts as the least."""
+        return len(rising.value) - np.searchsorted(rising.value, ids.to_numpy(dtype=np.int64), side="right")
 
-    # Only ids go to Python; a null one counts as the least.
-    placed = own.withColumn("place", range_of(F.coalesce("doc_id", F.lit(-(1 << 63)))))
-    order = F.struct(F.col("doc_id").isNotNull().alias("o"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.sha2("text", 256).alias("t"))
-    heads = {r["place"]: (r["h"]["o"], r["h"]["d"], r["h"]["t"]) for r in placed.groupBy("place").agg(F.max(order).alias("h")).collect()}
-    used = sorted(heads)
-    if not used:
+    cell = F.pandas_udf(lambda ids: pd.Series(cell_of(ids), dtype="int32"), IntegerType())
+    known = own.withColumn("id", F.coalesce("doc_id", F.lit(-(1 << 63)))).withColumn("h", F.xxhash64("text"))
+    order = F.struct(F.col("doc_id").isNotNull().alias("o"), "id", "h")
+    # One row a cell comes to the driver.
+    rows = sorted(known.groupBy(cell(F.col("id")).alias("cell")).agg(F.max(order).alias("top"), F.sum(F.octet_length("text")).alias("n")).collect(), key=lambda r: r["cell"])
+    if not rows:
         return spark.createDataFrame([], EDITS)
-    before = {p: used[k - 1] for k, p in enumerate(used)}  # the range before; of the first it is the last
-    head = spark.createDataFrame([(p, before[p], *heads[p]) for p in used], "hp int, before int, ho boolean, hd long, ht string")
-    is_head = (F.col("place") == F.col("hp")) & (F.coalesce("doc_id", F.lit(0)) == F.col("hd")) & (F.col("doc_id").isNotNull() == F.col("ho"))
-    marked = placed.join(F.broadcast(head), is_head, "left")  # a row for each of the ``ranges``, so small
-    marked = marked.withColumn("guest_of", F.when(F.sha2("text", 256) == F.col("ht"), F.col("before")))
-    dealt = marked.withColumn("at", F.explode(F.array_compact(F.array(F.struct(F.col("place").alias("place"), F.lit(False).alias("guest")), F.when(F.col("guest_of").isNotNull(), F.struct(F.col("guest_of").alias("place"), F.lit(True).alias("guest")))))))
-    rows = dealt.select(F.col("at.place").alias("place"), "doc_id", "text", F.col("at.guest").alias("guest"))
-    return rows.repartition(ranges, "place").sortWithinPartitions("place", "guest", F.desc_nulls_last("doc_id"), F.desc("text")).mapInArrow(_edits_task, EDITS)
+    ranges = ranges or max(least, -(-sum(r["n"] for r in rows) // RANGE_BYTES))
+    of = balanced([r["n"] for r in rows], ranges)
+    place_of = spark.sparkContext.broadcast(dict(zip([r["cell"] for r in rows], of, strict=True)))
+    place = F.pandas_udf(lambda ids: pd.Series([place_of.value[c] for c in cell_of(ids).tolist()], dtype="int32"), IntegerType())
+    tops: dict[int, tuple] = {}
+    for r, p in zip(rows, of, strict=True):
+        tops.setdefault(p, tuple(r["top"]))
+    # The first of a range is a guest of the range before; that of range 0 is one of the last.
+    heads = spark.createDataFrame([(p, (p - 1) % len(tops), *top) for p, top in tops.items()], "hp int, before int, ho boolean, hi long, hh long")
+    is_head = (F.col("place") == F.col("hp")) & (F.col("id") == F.col("hi")) & (F.col("h") == F.col("hh")) & (F.col("doc_id").isNotNull() == F.col("ho"))
+    marked = known.withColumn("place", place(F.col("id"))).join(F.broadcast(heads), is_head, "left")  # a row for each of at most MOST_CELLS ranges
+    at = F.array_compact(F.array(F.struct("place", F.lit(False).alias("guest")), F.when(F.col("before").isNotNull(), F.struct(F.col("before").alias("place"), F.lit(True).alias("guest")))))
+    dealt = marked.select(F.explode(at).alias("at"), "doc_id", "h", "text").select("at.place", "doc_id", "h", "text", "at.guest")
+    ordered = dealt.repartitionById(len(tops), "place").sortWithinPartitions("place", "guest", F.desc_nulls_last("doc_id"), F.desc("h"))
+    return ordered.select("place", "doc_id", "text", "guest").mapInArrow(_edits_task, EDITS)

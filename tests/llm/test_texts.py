@@ -237,3 +237,62 @@ def test_linking_equals_brute_force(spark, depth):
         assert order is None or (r.order_turn, r.order_step) == order
         seen += 1
     assert seen == len(expected) and None in {v[0] for v in expected.values()} and len(out) == len(rows)
+
+
+def plainly_selected(raw):
+    """Starts of the selected windows of one text, span by span."""
+    w, n = fingerprints.WINDOW, len(raw) - fingerprints.WINDOW + 1
+    if n < 2:
+        return [0] if raw else []
+    scores = [round(1000 * entropy(raw[i : i + w]) / math.log2(w) + 1e-9) for i in range(n)]
+    usable = [fingerprints.LOWEST <= e <= fingerprints.HIGHEST for e in scores]
+    rank = [1000 - abs(e - fingerprints.USUAL) if ok else 1 << 20 for e, ok in zip(scores, usable, strict=True)]
+    wins = Counter(min(range(i, i + fingerprints.SPAN), key=lambda k: (rank[k], k)) for i in range(n - fingerprints.SPAN + 1))
+    chosen = [k for k in range(n) if wins[k] >= fingerprints.POPULAR and usable[k]]
+    return chosen or [min(range(n), key=lambda k: (rank[k], k))]
+
+
+def test_selection_equals_brute_force():
+    rng = random.Random(6)
+    texts = ["", "a", "x" * 32, "x" * 33, "y" * 200, *[cases.prose(rng, rng.randint(1, 60)) for _ in range(40)], "".join(chr(rng.randrange(32, 126)) for _ in range(400)), "ab" * 90]
+    raw = [t.encode() for t in texts]
+    offsets = np.cumsum([0, *map(len, raw)])
+    found = fingerprints.selected(np.frombuffer(b"".join(raw), dtype=np.uint8), offsets).tolist()
+    differ = sum([x - a for x in found if a <= x < b] != plainly_selected(r) for r, a, b in zip(raw, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True))
+    assert differ <= 1  # an entropy that lies between two thousandths may be rounded either way
+
+
+def test_chained_filters_equal_brute_force():
+    rng = np.random.default_rng(7)
+    hashes = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    hashes = np.concatenate([hashes, hashes[:300], hashes[650:], rng.integers(0, 1 << 63, 40, dtype=np.uint64)])
+    plain, held = [set()], [set()]
+    for h in hashes.tolist():
+        if h not in held[-1] and len(held[-1]) == fingerprints.CAPACITY:
+            plain.append(set())
+            held.append(set())
+        held[-1].add(h)
+        plain[-1] |= {(h >> (11 * k)) % fingerprints.BITS for k in range(fingerprints.HASHES)}
+    filters, counts = fingerprints.chain(hashes)
+    assert counts.tolist() == [len(h) for h in held]
+    assert [set(np.flatnonzero(np.unpackbits(f.view(np.uint8), bitorder="little")).tolist()) for f in filters] == plain
+
+
+def test_edits_do_not_depend_on_the_ranges(spark):
+    """Repeated ids with two texts each, null ids and clashing columns, for any number of ranges."""
+    rng = random.Random(9)
+    rows = [(k, cases.prose(rng, rng.randint(5, 60)), "x") for k in range(20) for _ in range(2)] + [(None, cases.prose(rng, 9), "y") for _ in range(3)] + [(5, None, "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, place string").withColumnRenamed("place", "h").repartition(4)
+    one, *others = (sorted(map(str, fingerprints.edit_distances(df, ranges=n).collect())) for n in (1, 3, 8, None))
+    assert len(one) == len(rows) and all(o == one for o in others)
+
+
+def test_ranges_are_balanced():
+    for sizes in ([5] * 40, [1, 1000, 1, 1, 1], [0, 0, 7], [3], list(range(200))):
+        for ranges in (1, 3, 8, 500):
+            of = fingerprints.balanced(sizes, ranges)
+            assert of[0] == 0 and all(b - a in (0, 1) for a, b in zip(of, of[1:], strict=False)) and max(of) < ranges
+    sums = Counter()
+    for n, r in zip([5] * 40, fingerprints.balanced([5] * 40, 8), strict=True):
+        sums[r] += n
+    assert set(sums.values()) == {25}
