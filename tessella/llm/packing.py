@@ -43,12 +43,17 @@ _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".,;:!?*#$%&|<>()[]{}/+=-\"_"]] = True
 
 
+#: Stands between words that are encoded together.
+MARK = b"\x01"
+
+
 class WordTokens:
     """Token ids of texts from a vocabulary that never joins text across ASCII white space.
 
     A text is cut there, and between a small ASCII letter and a mark, where the vocabulary's
     pattern always ends a match; every distinct piece goes through the tokenizer once. ASCII
-    capitals are made small first, as the vocabulary does itself.
+    capitals are made small first, as the vocabulary does itself. A text that holds one of the
+    vocabulary's special tokens, which it looks for before all that, is encoded whole.
     """
 
     def __init__(self, path: str):
@@ -56,33 +61,36 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        (self.mark,) = self.tokenizer.encode(MARK.decode(), add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.starts, self.sizes, self.pool = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype="<u4")
 
-    def learn(self, words: list[bytes], together: int = 500) -> None:
-        """Encode words, many to a call, told apart by the offsets of their tokens."""
-        starts, sizes, pool = [self.starts], [self.sizes], [self.pool]
-        at = len(self.pool)
-        for k in range(0, len(words), together):
-            texts = [w.decode("utf-8", "replace") for w in words[k : k + together]]
-            encoded = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            first = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
-            owner = np.searchsorted(first, [o[0] for o in encoded.offsets], side="right") - 1
-            n = np.bincount(owner, minlength=len(texts))
-            starts.append(at + np.cumsum(n) - n)
-            sizes.append(n)
-            pool.append(np.array(encoded.ids, dtype="<u4"))
-            at += len(owner)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words)), strict=True))
-        self.starts, self.sizes, self.pool = np.concatenate(starts), np.concatenate(sizes), np.concatenate(pool)
+    def learn(self, words: list[bytes], together: int = 50) -> None:
+        """Encode words, many to a call, told apart by a mark between them."""
+        odd = [w for w in words if MARK in w] if MARK in b"".join(words) else []
+        plain = [w for w in words if MARK not in w] if odd else words
+        lines = [(b" %b " % MARK).join(plain[k : k + together]).decode("utf-8", "replace") for k in range(0, len(plain), together)]
+        found = [np.array([*e.ids, self.mark]) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]
+        for w in odd:
+            own = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids)
+            found.append(np.append(np.where(own == self.mark, ~own, own), self.mark))  # its own marks turn negative and end no word
+        ids = np.concatenate(found)
+        ends = np.flatnonzero(ids == self.mark) - np.arange(len(words))
+        pool = ids[ids != self.mark]
+        sizes = np.diff(ends, prepend=0)
+        self.known.update(zip(plain + odd, range(len(self.known), len(self.known) + len(words)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.pool) + ends - sizes])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        self.pool = np.concatenate([self.pool, np.where(pool < 0, ~pool, pool).astype("<u4")])
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        split = [_spaced(t).split() for t in texts]
+        whole = {k: t for k, t in enumerate(texts) if any(x in t for x in self.special)}
+        split = [[] if k in whole else _spaced(t).split() for k, t in enumerate(texts)]
         new = set().union(*split).difference(self.known)
         if len(self.known) + len(new) > WORDS_KEPT:
             self.forget()
@@ -90,7 +98,10 @@ class WordTokens:
         if new:
             self.learn(list(new))
         out = []
-        for words in split:
+        for k, words in enumerate(split):
+            if k in whole:
+                out.append(np.array(self.tokenizer.encode(whole[k], add_special_tokens=False).ids, dtype="<u4"))
+                continue
             at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
             sizes = self.sizes[at]
             ends = np.cumsum(sizes)

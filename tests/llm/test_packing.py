@@ -19,15 +19,14 @@ MIXED = [_RNG.randint(1, 4096) for _ in range(3000)]
 @pytest.fixture(scope="module")
 def reference():
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
 
 
 def test_tokens_equal_the_library(reference, monkeypatch):
     monkeypatch.setattr(packing, "WORDS_KEPT", 200)
     rng = random.Random(3)
-    alphabet = "ab.,'s tl é…́İΣς1 2\t\n <|>#A\x1c\x85漢😀"
-    texts = ["", "it's don't. <|endoftext|> ὈΔΥΣΣΕΎΣ ΣΑΣ é", *["".join(rng.choice(alphabet) for _ in range(60)) for _ in range(1500)]]
+    alphabet = "ab.,'s tl é…́İΣς1 2\t\n <|>#A\x01\x1c\x85漢😀"
+    texts = ["", "a\x01b \x01 \x01\x01c", "<|startoftext|>", "x.<|ENDOFTEXT|> <|endoftext", "it's don't. <|endoftext|> ὈΔΥΣΣΕΎΣ ΣΑΣ é", *["".join(rng.choice(alphabet) for _ in range(60)) for _ in range(1500)]]
     tokens = packing.WordTokens(PATH)
     for at in range(0, len(texts), 100):
         for text, ids in zip(texts[at : at + 100], tokens.ids(texts[at : at + 100]), strict=True):

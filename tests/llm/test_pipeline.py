@@ -30,7 +30,6 @@ def test_pipeline_equals_brute_force(spark, data):
             assert all(rows[k] == kept[k] for k in set(kept) - cases.later_holders(sorted(kept.items())) if len(rows[k]) == len(kept[k]))
         kept = rows
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     lengths = {k: len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for k, t in kept.items()}
     out = corpus_pipeline.run(spark, data).collect()
     found = {}
