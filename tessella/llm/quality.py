@@ -1,13 +1,15 @@
 """Quality rules with controlled risk, in DataFrame functions alone.
 
 Base counts of every text feed a few ratio rules of the form "reject at or above a cutoff".
-The cutoffs come from labelled documents: within a stratum (a language, say) and for each
-rule, cutoffs are tried from lax to strict, each tested for "rejects more than ``alpha / rules``
-of the good documents" with the exact binomial tail, at the level ``delta / (strata * rules)``;
-the last cutoff of the unbroken run of passes is taken. Testing a fixed sequence needs no
-further correction, and the rest is Bonferroni's, so with probability ``1 - delta`` all strata
-together reject at most the share ``alpha`` of their good documents by these rules. Where
-labels are too few for any guarantee a rule stays silent.
+The cutoffs come from labelled documents. Within a stratum (a language, say) a rule has the share
+WEIGHTS of ``alpha`` and of the level: its cutoffs are tried from lax to strict, each tested for "rejects
+more than ``alpha * weight`` of the good documents" with the exact binomial tail, at the level
+``delta * weight / strata``, until one fails. Testing a fixed sequence needs no further correction, and
+the rest is Bonferroni's, so with probability ``1 - delta`` all strata together reject at most the share
+``alpha`` of their good documents by these rules, whichever cutoff is taken of those that pass. The
+labels choose it: a rule acts if its strictest safe cutoff rejects any document labelled bad, and halfway
+between that cutoff and the laxest that rejects as many. Where labels are too few for any guarantee, or
+none is bad, a rule stays silent.
 
 Defined cases: a null or empty text has no words and fails the base rule; a null label is no
 label; of several labels of a document the lowest counts; documents of an unlabelled or null
@@ -35,9 +37,10 @@ RULES = {
     "repeated_lines": ("n_dup_lines", "n_lines"),
     "repeated_words": ("n_repeat_words", "n_words"),
 }
-#: Scores are tested in steps of this many per mille, down to a floor: what ordinary text may have is never tested.
+#: Each rule's share of the risk and of the level; the first needs fewer labels than the others to act.
+WEIGHTS = {"symbols": 0.5, "capitals": 0.125, "marks": 0.125, "repeated_lines": 0.125, "repeated_words": 0.125}
+#: Scores are tested in steps of this many per mille.
 STEP = 20
-FLOORS = {"symbols": 100, "capitals": 200, "marks": 100, "repeated_lines": 200, "repeated_words": 200}
 
 
 def _drop(text: Column, characters: str) -> Column:
@@ -101,10 +104,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def binomial_tail(k: Column, n: Column, rate: float) -> Column:
+def binomial_tail(k: Column, n: Column, rate: Column | float) -> Column:
     """P(X <= k) of n trials at ``rate``, summed term by term in logarithms."""
-    odds = F.log(F.lit(rate / (1.0 - rate)))
-    first = F.struct((n * F.log(F.lit(1.0 - rate))).alias("term"), F.exp(n * F.log(F.lit(1.0 - rate))).alias("total"))
+    rate = F.lit(rate) if isinstance(rate, float) else rate
+    odds = F.log(rate / (1.0 - rate))
+    first = F.struct((n * F.log(1.0 - rate)).alias("term"), F.exp(n * F.log(1.0 - rate)).alias("total"))
 
     def add(state: Column, i: Column) -> Column:
         term = state["term"] + F.log((n - i + 1).cast("double") / i) + odds
@@ -115,31 +119,33 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 
 
 def cutoffs(counted: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, n_rejected): the strictest safe cutoff of each rule.
+    """(stratum, rule, cutoff, n_good, n_rejected, n_bad): the cutoff of each rule that acts, and what it rejects.
 
     ``counted`` has doc_id, the stratum and the base counts. What is gathered are counts by
     stratum, rule and score step, whatever the number of labelled documents.
     """
-    good = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("__quality")).where("__quality >= 1").select("doc_id")
+    known = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") >= 1).alias("__good"))
     scored = counted.where(~base_failed() & F.col(stratum).isNotNull()).select("doc_id", F.col(stratum).alias("stratum"), F.array(*[F.struct(F.lit(r).alias("rule"), F.ceil(score(r) / STEP).cast("int").alias("step")) for r in RULES]).alias("__s"))
     steps = materialise(
-        scored.join(good, "doc_id", "left_semi").select("stratum", F.explode("__s").alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.count("*").alias("n")), "steps"
+        scored.join(known, "doc_id").select("stratum", "__good", F.explode("__s").alias("s")).groupBy("stratum", "s.rule", "s.step").agg(F.count_if("__good").alias("n"), F.count_if(~F.col("__good")).alias("b")), "steps"
     )
     strata = max(1, steps.select("stratum").distinct().count())
-    # One row for every tested cutoff, 1000 / STEP at most, with the good documents at or above it.
+    # One row for every tested cutoff, 1000 / STEP at most, with the labelled documents at or above it.
     by = Window.partitionBy("stratum", "rule")
+    strict = by.orderBy(F.desc("step"))
     dense = (
-        steps.groupBy("stratum", "rule").agg(F.map_from_entries(F.collect_list(F.struct("step", "n"))).alias("m"), F.sum("n").alias("n_good"))
+        steps.groupBy("stratum", "rule").agg(F.map_from_entries(F.collect_list(F.struct("step", F.struct("n", "b")))).alias("m"), F.sum("n").alias("n_good"))
         .withColumn("step", F.explode(F.sequence(F.lit(1000 // STEP), F.lit(1), F.lit(-1))))
-        .withColumn("n", F.coalesce(F.try_element_at("m", "step"), F.lit(0)))
-        .withColumn("n_rejected", F.sum("n").over(by.orderBy(F.desc("step"))))
+        .withColumn("n_rejected", F.sum(F.coalesce(F.try_element_at("m", "step")["n"], F.lit(0))).over(strict))
+        .withColumn("n_bad", F.sum(F.coalesce(F.try_element_at("m", "step")["b"], F.lit(0))).over(strict))
     )
-    level = delta / (len(RULES) * strata)
-    tested = dense.withColumn("passes", binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha / len(RULES)) <= level)
-    floors = F.create_map(*[F.lit(x) for r in RULES for x in (r, FLOORS[r] // STEP + 1)])
-    run = tested.where(F.col("step") >= floors[F.col("rule")]).withColumn("unbroken", F.min(F.col("passes").cast("int")).over(by.orderBy(F.desc("step"))))
-    chosen = run.where("unbroken = 1").groupBy("stratum", "rule").agg(F.min("step").alias("step"), F.max("n_good").alias("n_good"), F.max("n_rejected").alias("n_rejected"))
-    return chosen.select("stratum", "rule", (F.col("step") * STEP - STEP + 1).alias("cutoff"), "n_good", "n_rejected")
+    weight = F.create_map(*[F.lit(x) for r in RULES for x in (r, WEIGHTS[r])])[F.col("rule")]
+    tested = dense.withColumn("passes", binomial_tail(F.col("n_rejected"), F.col("n_good"), alpha * weight) <= delta * weight / strata)
+    safe = tested.withColumn("unbroken", F.min(F.col("passes").cast("int")).over(strict)).where("unbroken = 1")
+    # Of the safe ones those that reject as many bad documents as the strictest does.
+    useful = safe.withColumn("most", F.max("n_bad").over(by)).where("most > 0 and n_bad = most")
+    middle = useful.withColumn("middle", F.floor((F.min("step").over(by) + F.max("step").over(by)) / 2)).where("step = middle")
+    return middle.select("stratum", "rule", (F.col("step") * STEP - STEP + 1).alias("cutoff"), "n_good", "n_rejected", "n_bad")
 
 
 #: Strata up to which the cutoffs are sent to every task; with more, a join by stratum is planned.
@@ -167,19 +173,17 @@ def verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: f
 def keep_good(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = 0.05, delta: float = 0.05) -> DataFrame:
     """The documents that all rules let pass, with the columns of ``docs``.
 
-    The texts are counted a second time for the verdict, which costs less than a shuffle of
-    whole texts to bring the counts of the first pass back to them.
+    The counts are written beside the whole rows, so each text is counted once and none is shuffled.
     """
-    chosen = cutoffs(with_counts(docs.select("doc_id", stratum, "text")).drop("text"), labels, stratum, alpha, delta)
-    marked = docs.select(F.struct(*docs.columns).alias("__row"), F.col(stratum).alias("__by"), F.col("text"))
-    return judge(with_counts(marked), chosen, "__by").where("kept").select("__row.*")
+    marked = docs.select(F.struct(*docs.columns).alias("__row"), F.col(stratum).alias("__by"), "doc_id", "text")
+    counted = materialise(with_counts(marked).drop("text"), "counted")
+    return judge(counted, cutoffs(counted, labels, "__by", alpha, delta), "__by").where("kept").select("__row.*")
 
 
 def verdicts_sql(alpha: float = 0.05, delta: float = 0.05) -> str:
     """The same verdicts in SQL over the views ``documents`` and ``labels``, by language."""
-    rate = alpha / len(RULES)
     scores = " UNION ALL ".join(
-        f"SELECT doc_id, lang, base_failed, '{r}' AS rule, {FLOORS[r] // STEP + 1} AS floor, CASE WHEN {b} > 0 THEN least(1000, floor(1000 * {a} / {b})) ELSE 0 END AS score FROM counted" for r, (a, b) in RULES.items()
+        f"SELECT doc_id, lang, base_failed, '{r}' AS rule, {WEIGHTS[r]!r}::DOUBLE AS weight, CASE WHEN {b} > 0 THEN least(1000, floor(1000 * {a} / {b})) ELSE 0 END AS score FROM counted" for r, (a, b) in RULES.items()
     )
     order = ", ".join(f"'{r}'" for r in RULES)
     return f"""
@@ -191,10 +195,11 @@ sizes AS (SELECT doc_id, lang, len(words) AS n_words, length(regexp_replace(text
  len(lines) AS n_lines, length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_capitals, length(text) - length(regexp_replace(text, '[!?;:]', '', 'g')) AS n_marks FROM split),
 counted AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM (SELECT s.*, coalesce(n_repeat_words, 0) AS n_repeat_words FROM sizes s LEFT JOIN covered USING (doc_id))),
 scores AS ({scores}),
-good AS (SELECT doc_id FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) >= 1),
-held AS (SELECT lang, rule, floor, ceil(score / {STEP}) AS step FROM scores WHERE NOT base_failed AND lang IS NOT NULL AND doc_id IN (SELECT doc_id FROM good)),
-tried AS (SELECT lang, rule, s AS step, count(*) AS n, count(*) FILTER (held.step >= s) AS k FROM held, range(1, {1000 // STEP + 1}) r(s) WHERE s >= floor GROUP BY ALL),
-tested AS (SELECT lang, rule, step, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({rate!r}) + (n - i) * ln({1 - rate!r}))) FROM range(0, k + 1) r(i)) <= {delta!r} / {len(RULES)} / (SELECT count(DISTINCT lang) FROM held) AS passes FROM tried),
-cutoffs AS (SELECT lang, rule, (min(step) - 1) * {STEP} + 1 AS cutoff FROM (SELECT *, bool_and(passes) OVER (PARTITION BY lang, rule ORDER BY step DESC) AS unbroken FROM tested) WHERE unbroken GROUP BY ALL),
+known AS (SELECT doc_id, min(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+held AS (SELECT lang, rule, weight, good, ceil(score / {STEP}) AS step FROM scores JOIN known USING (doc_id) WHERE NOT base_failed AND lang IS NOT NULL),
+tried AS (SELECT lang, rule, weight, s AS step, count(*) FILTER (good) AS n, count(*) FILTER (good AND held.step >= s) AS k, count(*) FILTER (NOT good AND held.step >= s) AS bad FROM held, range(1, {1000 // STEP + 1}) r(s) GROUP BY ALL),
+tested AS (SELECT *, (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({alpha!r} * weight) + (n - i) * ln(1 - {alpha!r} * weight))) FROM range(0, k + 1) r(i)) <= {delta!r} * weight / (SELECT count(DISTINCT lang) FROM held) AS passes FROM tried),
+safe AS (SELECT *, max(bad) OVER (PARTITION BY lang, rule) AS most FROM (SELECT *, bool_and(passes) OVER (PARTITION BY lang, rule ORDER BY step DESC) AS unbroken FROM tested) WHERE unbroken),
+cutoffs AS (SELECT lang, rule, (floor((min(step) + max(step)) / 2) - 1) * {STEP} + 1 AS cutoff FROM safe WHERE most > 0 AND bad = most GROUP BY ALL),
 broken AS (SELECT doc_id, string_agg(rule, ',' ORDER BY list_position([{order}], rule)) AS broken FROM scores JOIN cutoffs USING (lang, rule) WHERE score >= cutoff GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken IS NULL AS kept, coalesce(broken, '') AS broken FROM counted LEFT JOIN broken USING (doc_id)"""

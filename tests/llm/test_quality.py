@@ -61,9 +61,30 @@ def test_cutoffs_reject_bad_and_spare_good(spark):
 
 def test_every_cutoff_passes_its_own_test(spark):
     docs, labels, _ = labelled(spark)
-    for r in quality.cutoffs(quality.with_counts(docs), labels, "lang").collect():
-        tail = math.fsum(math.comb(r.n_good, i) * 0.01**i * 0.99 ** (r.n_good - i) for i in range(r.n_rejected + 1))
-        assert tail <= 0.05 / (len(quality.RULES) * 2) + 1e-12
+    found = quality.cutoffs(quality.with_counts(docs), labels, "lang").collect()
+    assert found
+    for r in found:
+        w = quality.WEIGHTS[r.rule]
+        tail = math.fsum(math.comb(r.n_good, i) * (0.05 * w) ** i * (1 - 0.05 * w) ** (r.n_good - i) for i in range(r.n_rejected + 1))
+        assert tail <= 0.05 * w / 2 + 1e-12 and r.n_bad > 0
+    assert sum(quality.WEIGHTS.values()) == 1 and set(quality.WEIGHTS) == set(quality.RULES)
+
+
+def test_rules_that_catch_nothing_bad_are_silent(spark):
+    docs, labels, _ = labelled(spark)
+    good = labels.where("quality = 1")
+    assert quality.cutoffs(quality.with_counts(docs), good, "lang").count() == 0
+    assert {r.rule for r in quality.cutoffs(quality.with_counts(docs), labels, "lang").collect()} == {"symbols"}
+
+
+def test_the_smallest_table_has_rules_that_act(spark):
+    """Some documents are rejected by a calibrated rule, and by far most good ones are not."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{x}.parquet") for x in ("documents", "labels"))
+    out = {r.doc_id: r for r in quality.verdicts(docs, labels).collect()}
+    quality_of = {r.doc_id: r.quality for r in labels.collect()}
+    calibrated = [k for k, r in out.items() if r.broken and not r.base_failed]
+    assert len(calibrated) > 10 and not [k for k in calibrated if quality_of.get(k) == 1]
 
 
 def test_odd_tables(spark):
