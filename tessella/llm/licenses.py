@@ -6,8 +6,9 @@ joined with the digests of known licence texts and notices. Looked up are the wh
 document and each of its lines by itself, so a notice of one line inside a document is found as
 well as a document that is a licence. All of it is DataFrame functions.
 
-The known texts are a table (license_id, kind, text); ``known_texts`` has short permissive licences
-in full and the usual one-line notices of common licences, built from a few patterns.
+The known texts are a table (license_id, kind, text) given at run time: ``read_texts`` makes one of a
+folder of licence files (such as a copy of a public licence list), to which ``known_texts`` adds short
+permissive licences in full, the notices that source files carry, and one-line notices built from a few patterns.
 
 Defined cases: null and empty texts and lines without a letter or digit match nothing; repeated
 rows of a document count once; documents without a match have no row; known texts of one
@@ -62,10 +63,61 @@ ISC_END = (
     "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, "
     "DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
 )
+BSD_START = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+BSD_SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BSD_BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+BSD_NAME = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; "
+    "OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+APACHE_NOTICE = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+    "See the License for the specific language governing permissions and limitations under the License."
+)
+MPL_NOTICE = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+GNU_NOTICE = (
+    "This {what} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+    "This {what} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the {name} for more details. "
+    "You should have received a copy of the {name} along with this {what}. If not, see <https://www.gnu.org/licenses/>."
+)
+ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, "
+    "including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. "
+    "If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+    "3. This notice may not be removed or altered from any source distribution."
+)
+UNLICENSE = (
+    "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. "
+    "We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. "
+    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+    "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org/>"
+)
+
+
+def _bsd(clauses: int) -> tuple[str, ...]:
+    """The licence with or without its title, its clauses numbered or starred."""
+    parts = [BSD_SOURCE, BSD_BINARY, BSD_NAME][:clauses]
+    bodies = [" ".join([BSD_START, *[f"{m} {p}" for m, p in zip(marks, parts)], BSD_END]) for marks in (("1.", "2.", "3."), ("*", "*", "*"))]
+    return tuple(f"{title}{b}" for b in bodies for title in (f"BSD {clauses}-Clause License\n\n", f"The {clauses}-Clause BSD License\n\n", ""))
+
+
 TEXTS = {
     "MIT": ("MIT License\n\n" + MIT_BODY, "The MIT License (MIT)\n\n" + MIT_BODY, MIT_BODY),
     "ISC": (f"ISC License\n\n{ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies. {ISC_END}", f"{ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies. {ISC_END}"),
     "0BSD": (f"BSD Zero Clause License\n\n{ISC_GRANT}. {ISC_END}", f"{ISC_GRANT}. {ISC_END}"),
+    "BSD-2-Clause": _bsd(2),
+    "BSD-3-Clause": _bsd(3),
+    "Apache-2.0": (APACHE_NOTICE,),
+    "MPL-2.0": (MPL_NOTICE,),
+    **{i: tuple(GNU_NOTICE.format(what=w, name=n, version=v) for w in ("program", "file", "software", "library")) for i, n, v in (
+        ("GPL-2.0-or-later", "GNU General Public License", 2), ("GPL-3.0-or-later", "GNU General Public License", 3), ("LGPL-3.0-or-later", "GNU Lesser General Public License", 3), ("AGPL-3.0-or-later", "GNU Affero General Public License", 3),
+    )},
+    "Zlib": (ZLIB, "zlib License\n\n" + ZLIB),
+    "Unlicense": (UNLICENSE,),
 }
 
 
@@ -76,6 +128,12 @@ def known_texts(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "license_id string, kind string, text string")
 
 
+def read_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """(license_id, kind, text) of a folder of licence texts, each named by its id (``GPL-3.0-only.txt``)."""
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.txt)?$", 1)
+    return spark.read.text(folder, wholetext=True).select(name.alias("license_id"), F.lit("text").alias("kind"), F.col("value").alias("text"))
+
+
 def canonical(text: Column) -> Column:
     """Most texts have no copyright line and none of the spellings; one look tells, and they skip the replacements."""
     small = F.lower(text)
@@ -141,7 +199,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct((i + 1).alias("line"), x.alias("text"))), lambda u: may(u["text"]))
     units = docs.where(may(F.col("text"))).select("doc_id", F.posexplode(F.concat(F.array(F.struct(F.lit(0).alias("line"), F.col("text"))), lines)).alias("p", "u"))
     hits = units.select("doc_id", F.col("u.line").alias("line"), digest(F.col("u.text")).alias("digest")).join(F.broadcast(digests) if small else digests, "digest")
-    # A document of one line is a whole text only.
+    # A document of one line matches as a whole and as that line.
     scope = F.when(F.col("line") == 0, F.lit("document")).otherwise(F.lit("line"))
     return (
         hits.withColumn("scope", scope).select("doc_id", "license_id", "kind", "scope", "line").distinct()

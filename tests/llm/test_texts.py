@@ -296,3 +296,17 @@ def test_ranges_are_balanced():
     for n, r in zip([5] * 40, fingerprints.balanced([5] * 40, 8), strict=True):
         sums[r] += n
     assert set(sums.values()) == {25}
+
+
+def test_licence_files_and_common_notices(spark, tmp_path):
+    """Texts of a folder read at run time; wrapped and decorated notices of source files."""
+    (tmp_path / "Own-1.0.txt").write_text("You may look at this work,\nbut not touch it, whilst it is warm.\n")
+    (tmp_path / "Other.txt").write_text("Copyright 2020 Some One. All rights reserved.\n")
+    known = licenses.known_texts(spark).unionByName(licenses.read_texts(spark, f"file://{tmp_path}"))
+    wrapped = lambda t: " *  " + t.replace(". ", ".\n * ").replace(" the ", "\n * the ")
+    rows = [
+        (1, "YOU MAY LOOK AT THIS WORK; BUT NOT TOUCH IT WHILE IT IS WARM"), (2, "Copyright 2024 A. Person\n\n" + wrapped(licenses.APACHE_NOTICE)), (3, wrapped(licenses.GNU_NOTICE.format(what="program", name="GNU General Public License", version=3))),
+        (4, "BSD 3-Clause License\n\nCopyright (c) 2021, A. Person\nAll rights reserved.\n\n" + licenses.TEXTS["BSD-3-Clause"][2]), (5, wrapped(licenses.MPL_NOTICE).replace("https", "http")), (6, licenses.UNLICENSE), (7, licenses.APACHE_NOTICE + " And more."), (8, "Copyright 2020 Some One. All rights reserved."),
+    ]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), known).where("scope = 'document'").collect()
+    assert {r.doc_id: r.license_id for r in found} == {1: "Own-1.0", 2: "Apache-2.0", 3: "GPL-3.0-or-later", 4: "BSD-3-Clause", 5: "MPL-2.0", 6: "Unlicense"}
