@@ -1,4 +1,4 @@
-"""Text rules as Column expressions; all of them stay inside the JVM but ``full_fold``."""
+"""Text rules as Column expressions; all of them stay inside the JVM but ``full_fold`` and ``composed``."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# Words that carry no topic.
+# Words that carry no topic, words that ask for a chart, kinds of files.
 STOPWORDS = (
     "the a an and or but in on at to for of with by from as is was are were be been being have has had do does did will would could should may might shall can not no nor so yet both either "
     "neither each few more most other some such than too very just that this these those there their they them what which who whom when where why how all any also into about after before "
@@ -23,13 +23,24 @@ MIME_TYPES = {"png": "image/png", "gif": "image/gif", "webp": "image/webp", "bmp
 _FOLDED = {chr(c): unicodedata.normalize("NFKD", chr(c))[0] for c in range(0xC0, 0x250) if len([x for x in unicodedata.normalize("NFKD", chr(c)) if not unicodedata.combining(x)]) == 1 and unicodedata.normalize("NFKD", chr(c)) != chr(c)}
 
 
-def sanitised(text: Column) -> Column:
+@F.pandas_udf(StringType())
+def composed(text: pd.Series) -> pd.Series:
+    """The canonical composition (NFC), which Spark has no function for."""
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
+def cleaned(text: Column) -> Column:
     """Without replacement characters, control characters (tab and line ends stay) and stray backslashes."""
-    out = F.regexp_replace(text, "�", "")
+    out = F.regexp_replace(text, "\ufffd", "")
     out = F.regexp_replace(out, "[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]", "")
     return F.regexp_replace(out, r"\\(?![\\ntbrfux])", "")
 
 
+def sanitised(text: Column) -> Column:
+    """Cleaned, and composed by a vectorised function."""
+    return composed(cleaned(text))
+
+
 def folded(text: Column) -> Column:
     """Small letters without accents, only letters, digits, dots and dashes, one space apart.
 
@@ -46,11 +57,6 @@ def full_fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not "̀" <= c <= "ͯ"))
 
 
-@F.pandas_udf(StringType())
-def composed(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
 def tokens(text: Column) -> Column:
     """Search tokens: folded words of more than two characters."""
     return F.filter(F.split(folded(F.coalesce(text, F.lit(""))), " "), lambda w: F.length(w) > 2)
@@ -65,6 +71,9 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
 
 
+# The patterns below are fixed values: they define what is a sentence, markup and a page.
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"""(?<=[.?!])\s+(?=[A-Z0-9"'(])""")
 
@@ -166,3 +175,72 @@ def finite(value: Column) -> Column:
     hexadecimal = F.conv(F.substring(t, 3, 16), 16, 10).try_cast("double")
     out = F.when(t == "", 0.0).when(t == "true", 1.0).when(t == "false", 0.0).when(F.rlike(t, F.lit("^0[xX][0-9a-fA-F]{1,15}$")), hexadecimal).when(F.rlike(t, F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")), number)
     return F.when(~F.isnan(out) & (F.abs(out) != float("inf")), out)
+
+
+def error_text(message: Column, size: int = 2000) -> Column:
+    return F.substring(message, 1, size)
+
+
+def image_text(description: Column, read: Column) -> Column:
+    """What is indexed of an uploaded image."""
+    return F.concat(F.lit("[Image Analysis]\n"), description, F.lit("\n\n[OCR Text]\n"), F.coalesce(F.nullif(F.trim(read), F.lit("")), F.lit("(no text detected)")))
+
+
+def storage_text(size: Column) -> Column:
+    """``512 MB`` below a gigabyte, else ``1.5 GB``; both rounded half up."""
+    mb = size / (1024 * 1024)
+    return F.when(mb < 1024, F.concat(F.floor(mb + 0.5).cast("string"), F.lit(" MB"))).otherwise(F.concat(F.format_string("%.1f", F.round(mb / 1024, 1)), F.lit(" GB")))
+
+
+# Icons by file ending.
+ICONS = {
+    "FileText": ("pdf", "doc", "docx", "txt"), "Sheet": ("csv", "xlsx", "xls"), "Image": ("jpg", "jpeg", "png", "gif", "webp", "bmp"), "Video": ("mp4", "avi", "mov"), "Music": ("mp3", "wav"),
+}
+
+
+def icon(name: Column) -> Column:
+    ending = F.lower(F.element_at(F.split(name, r"\."), -1))
+    return F.coalesce(*[F.when(ending.isin(*endings), name_) for name_, endings in ICONS.items()], F.lit("File"))
+
+
+def figure_key(user: Column, project: Column, document: Column, figure: Column) -> Column:
+    return F.concat(F.concat_ws("/", F.lit("uploads"), user, project, document, F.lit("figures"), figure), F.lit(".png"))
+
+
+def iso_time(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+
+
+def up_to_share(text: Column, page: Column, pages: Column) -> Column:
+    """The text up to a page where only the number of pages is known: that share of its characters, rounded up."""
+    return F.substr(text, F.lit(1), F.ceil(F.length(text) * F.least(page, pages) / pages).cast("int"))
+
+
+def cited_parts(answer: Column, names: Column) -> Column:
+    """The answer cut at the file names given: structs (part, cited), names kept as parts of their own.
+
+    Where several names begin at one place the first of the list counts. Names are taken
+    literally: each is replaced by a pair of marks around its place in the list.
+    """
+    pattern = F.concat(F.lit("("), F.array_join(F.transform(names, lambda n: F.concat(F.lit("\\Q"), n, F.lit("\\E"))), "|"), F.lit(")"))
+    marked = F.when(F.size(names) > 0, F.regexp_replace(answer, pattern, F.lit("\x02$1\x02"))).otherwise(answer)
+    return F.transform(F.split(marked, "\x02"), lambda part, k: F.struct(part.alias("part"), (k % 2 == 1).alias("cited")))
+
+
+def markdown_blocks(content: Column) -> Column:
+    """Blocks of light markup as structs (kind, items): lines that follow each other and are of one kind are one block.
+
+    Headings stand alone, blank lines only end a block, and a block of text is one item, its lines a space apart.
+    """
+    lines = F.transform(F.split(content, "\n"), lambda x: F.struct(line_kind(x).alias("kind"), F.trim(F.regexp_replace(x, r"^\s*(#{1,6}|[-*]|\d+\.)\s+", "")).alias("text"), F.trim(x).alias("raw")))
+    empty = F.array().cast("array<struct<kind:string,items:array<string>>>")
+
+    def step(done: Column, x: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        item = F.when(x["kind"] == "text", x["raw"]).otherwise(x["text"])
+        fresh = F.concat(done, F.array(F.struct(x["kind"].alias("kind"), F.array(item).alias("items"))))
+        joined = F.when(x["kind"] == "text", F.array(F.concat(last["items"][0], F.lit(" "), item))).otherwise(F.concat(last["items"], F.array(item)))
+        same = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.struct(x["kind"].alias("kind"), joined.alias("items"))))
+        return F.when((F.size(done) > 0) & (x["kind"] == last["kind"]) & ~x["kind"].isin("heading"), same).otherwise(fresh)
+
+    return F.filter(F.aggregate(lines, empty, step), lambda b: b["kind"] != "blank")

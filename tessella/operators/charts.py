@@ -19,6 +19,12 @@ def _short(text: Column, size: int) -> Column:
     return F.when(trimmed != "", F.substring(trimmed, 1, size))
 
 
+def _coordinate(point: Column, name: str) -> Column:
+    """A coordinate as a number: an explicit null is 0, a missing one or what is no number is null."""
+    named = F.array_contains(F.json_object_keys(point), name)
+    return F.when(named, finite(F.coalesce(F.get_json_object(point, f"$.{name}"), F.lit("0"))))
+
+
 def validated(rows: DataFrame, spec: str, question: str) -> DataFrame:
     """The rows with kind, title, x_label, y_label, categories and series (name, data, points); kind is null if the chart is void.
 
@@ -29,10 +35,9 @@ def validated(rows: DataFrame, spec: str, question: str) -> DataFrame:
     named = lambda s: F.coalesce(_short(s["name"], TITLE), F.lit("Series"))
     out = rows.withColumn("__c", c).withColumn("categories", F.transform(F.slice(F.coalesce("__c.categories", F.array().cast("array<string>")), 1, CATEGORIES), lambda x: F.coalesce(F.nullif(F.trim(x), F.lit("")), F.lit("—"))))
     raw = F.slice(F.coalesce("__c.series", F.array().cast("array<struct<name:string,data:array<string>>>")), 1, SERIES)
-    number = lambda x: finite(F.coalesce(x, F.lit("0")))
     aligned = F.filter(F.transform(raw, lambda s: F.struct(named(s).alias("name"), F.transform(F.col("categories"), lambda _, i: finite(F.get(s["data"], i))).alias("data"))), lambda s: F.exists(s["data"], lambda v: v.isNotNull()))
     points = F.filter(
-        F.transform(raw, lambda s: F.struct(named(s).alias("name"), F.filter(F.transform(s["data"], lambda p: F.struct(number(F.get_json_object(p, "$.x")).alias("x"), number(F.get_json_object(p, "$.y")).alias("y"))), lambda p: p["x"].isNotNull() & p["y"].isNotNull()).alias("points"))),
+        F.transform(raw, lambda s: F.struct(named(s).alias("name"), F.filter(F.transform(s["data"], lambda p: F.struct(_coordinate(p, "x").alias("x"), _coordinate(p, "y").alias("y"))), lambda p: p["x"].isNotNull() & p["y"].isNotNull()).alias("points"))),
         lambda s: F.size(s["points"]) > 0,
     )
     scatter = F.col("__c.type") == "scatter"
@@ -50,3 +55,9 @@ def pivoted(charts: DataFrame, key: str) -> DataFrame:
     """(key, place, category, series, value): one row per category and series."""
     one = charts.where("kind is not null and kind <> 'scatter'").select(key, "categories", F.explode("series").alias("s"))
     return one.select(key, F.posexplode(F.arrays_zip("categories", "s.data")).alias("place", "z"), F.col("s.name").alias("series")).select(key, "place", F.col("z.categories").alias("category"), "series", F.col("z.data").alias("value"))
+
+
+def pie_rows(charts: DataFrame, key: str) -> DataFrame:
+    """(key, place, name, value) of pie charts: the first series only, missing numbers as 0."""
+    pies = charts.where("kind = 'pie'").select(key, F.posexplode("categories").alias("place", "name"), F.get("series", F.lit(0))["data"].alias("d"))
+    return pies.select(key, "place", "name", F.coalesce(F.get("d", F.col("place")), F.lit(0.0)).alias("value"))

@@ -52,12 +52,13 @@ def chunked(docs: DataFrame, key: str, column: str = "text", size: int = PUBLIC_
 
     def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            chunks = [packed(list(u), size, overlap) or [whole or ""] for u, whole in zip(f["__units"], f["__whole"], strict=True)]
-            yield pd.DataFrame({key: f[key], "__chunks": chunks})
+            yield pd.DataFrame({key: f[key], "__chunks": [packed(list(u), size, overlap) for u in f["__units"]]})
 
     content = F.coalesce(text.sanitised(F.col(column)), F.lit(""))
-    rows = docs.select(key, units(content, size).alias("__units"), content.alias("__whole")).mapInPandas(fold, schema)
-    kept = rows.select(key, F.filter(F.transform("__chunks", lambda c: text.sanitised(c)), lambda c: F.trim(c) != "").alias("c"))
+    parts = units(content, size)
+    # A text without any unit is one, of white space at most, which is left out below.
+    rows = docs.select(key, parts.alias("__units")).mapInPandas(fold, schema)
+    kept = rows.select(key, F.filter(F.transform("__chunks", lambda c: text.cleaned(c)), lambda c: F.trim(c) != "").alias("c"))
     return kept.select(key, F.posexplode("c").alias("chunk_index", "text"))
 
 
@@ -67,24 +68,46 @@ def row_text(headers: list[str], values: Column) -> Column:
     return F.array_join(F.zip_with(F.array(*map(F.lit, named)), values, lambda h, v: F.concat(h, F.lit(": "), F.coalesce(v, F.lit("")))), " | ")
 
 
-def row_buckets(sizes: Column, limit: int) -> Column:
-    """Buckets (first, last, chars) of consecutive rows; row numbers start at 2, under the header.
+def row_buckets(rows: DataFrame, sheet: list[str], order: list[str], size: str, limit: int, *more: str) -> DataFrame:
+    """The rows of sheets with their bucket and place: a bucket closes when the next row would pass the limit.
 
-    ``sizes`` is an array of row lengths; a bucket closes when the next row would pass the limit.
+    Row numbers start at 2, under the header. The rows of a sheet stream through a task in order and
+    only counts are kept, so no sheet is gathered; which bucket a row is in depends on all rows before it.
+    Columns: the sheet's, ``more``, row, bucket and chars (of the bucket up to the row).
     """
-    empty = F.lit(0).cast("long")
-    start = F.struct(F.array().cast("array<struct<first:bigint,last:bigint,chars:bigint>>").alias("done"), F.lit(2).cast("long").alias("first"), F.lit(2).cast("long").alias("row"), empty.alias("chars"))
-
-    def closed(s: Column) -> Column:
-        return F.struct(s["first"].alias("first"), (s["row"] - 1).alias("last"), s["chars"].alias("chars"))
-
-    def step(s: Column, n: Column) -> Column:
-        full = (s["row"] > s["first"]) & (s["chars"] + n > limit)
-        return F.struct(
-            F.when(full, F.concat(s["done"], F.array(closed(s)))).otherwise(s["done"]).alias("done"),
-            F.when(full, s["row"]).otherwise(s["first"]).alias("first"),
-            (s["row"] + 1).alias("row"),
-            F.when(full, n.cast("long") + 1).otherwise(s["chars"] + n + 1).alias("chars"),
-        )
-
-    return F.aggregate(sizes, start, step, lambda s: F.when(s["row"] > s["first"], F.concat(s["done"], F.array(closed(s)))).otherwise(s["done"]))
+    schema = rows.select(*sheet, *more, F.lit(0).cast("long").alias("row"), F.lit(0).cast("long").alias("bucket"), F.lit(0).cast("long").alias("chars")).schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, number, bucket, chars = None, 0, 0, 0
+        for f in frames:
+            out = []
+            for key, n in zip(f[sheet].itertuples(index=False, name=None), f[size], strict=True):
+                if key != now:
+                    now, number, bucket, chars = key, 1, 0, 0
+                number += 1
+                if chars and chars + n > limit:
+                    bucket, chars = bucket + 1, 0
+                chars += n + 1
+                out.append((number, bucket, chars))
+            yield f[[*sheet, *more]].assign(**dict(zip(("row", "bucket", "chars"), zip(*out, strict=True), strict=True)) if out else {"row": [], "bucket": [], "chars": []})
+
+    return rows.repartition(*sheet).sortWithinPartitions(*sheet, *order).select(*sheet, *more, size).mapInPandas(run, schema)
+
+
+def sheet_chunks(sheets: DataFrame, limit: int = PUBLIC_SIZE) -> DataFrame:
+    """(path, place, chunk, text, row_range) of the rows of ``files.sheets``: each chunk repeats file, sheet and columns.
+
+    A sheet of a header alone gives one chunk that says so, an empty sheet none.
+    """
+    key = ["path", "place"]
+    columns = F.concat(F.lit("Columns: "), F.array_join("headers", ", "))
+    head = F.concat(F.lit("Workbook: "), "filename", F.lit("\nSheet: "), "sheet", F.lit("\n"), columns, F.lit("\n\n"))
+    header = sheets.where("row = 1").withColumn("headers", F.transform("values", lambda v: F.trim(v))).select(*key, "headers", head.alias("head"))
+    line = F.array_join(F.transform(F.arrays_zip("headers", "values"), lambda x, i: F.concat(F.coalesce(F.nullif(x["headers"], F.lit("")), F.concat(F.lit("Col"), (i + 1).cast("string"))), F.lit(": "), F.coalesce(x["values"], F.lit("")))), " | ")
+    body = sheets.where("row > 1").select(*key, F.col("row").alias("at"), "values").join(header.drop("head"), key).withColumn("line", line).withColumn("n", F.length("line"))
+    placed = row_buckets(body, key, ["at"], "n", limit, "line")
+    parts = placed.groupBy(*key, F.col("bucket").alias("chunk")).agg(F.min("row").alias("a"), F.max("row").alias("b"), F.sort_array(F.collect_list(F.struct("row", "line"))).alias("r"))
+    rows = F.concat(F.col("a").cast("string"), F.lit("-"), F.col("b").cast("string"))
+    full = parts.join(header, key).select(*key, "chunk", F.concat("head", F.lit("Rows "), rows, F.lit("\n\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n")).alias("text"), rows.alias("row_range"))
+    bare = header.join(sheets.where("row > 1").select(*key).distinct(), key, "left_anti")
+    return full.unionByName(bare.select(*key, F.lit(0).cast("long").alias("chunk"), F.concat("head", F.lit("(No data rows)")).alias("text"), F.lit(None).cast("string").alias("row_range")))

@@ -6,26 +6,32 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
+from tessella.session import materialise
 
 K1, B = 1.5, 0.75
 
 
-def token_table(chunks: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, token, tf, length): one row per distinct token of a chunk."""
+def matched(chunks: DataFrame, asked: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """(key, length, token, tf), written once: the asked tokens of each chunk, and a row with a null token for the chunk itself.
+
+    ``asked`` is a table of tokens. Texts are folded in one pass; tokens that nobody asks for go before the shuffle.
+    """
     words = chunks.select(key, text.tokens(F.col(column)).alias("__t"))
-    return words.select(key, F.size("__t").alias("length"), F.explode("__t").alias("token")).groupBy(key, "length", "token").agg(F.count("*").alias("tf"))
+    rows = words.select(key, F.size("__t").alias("length"), F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "__t")).alias("token"))
+    known = rows.join(asked.select("token", F.lit(True).alias("__known")), "token", "left").where(F.col("__known") | F.col("token").isNull())
+    return materialise(known.groupBy(key, "length", "token").agg(F.count("*").alias("tf")), "tokens")
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, key: str, query: str, k: int = 8) -> DataFrame:
     """The k best chunks of every question: (query, key, score, rank); ties by key.
 
-    Questions and chunks meet by token only. A term that a question repeats counts each time.
-    Lengths come from the chunks once; the question's terms are counted by an aggregate, so the
-    size of the question table does not matter.
+    Questions and chunks meet by token only. A term that a question repeats counts each time; terms
+    are counted by an aggregate, so the size of the question table does not matter.
     """
     asked = questions.select(query, F.explode(text.tokens(F.col("question"))).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qtf"))
-    lengths = chunks.select(F.size(text.tokens(F.col("text"))).alias("n")).agg(F.count("*").alias("chunks"), F.avg("n").alias("mean"))
-    rows = token_table(chunks, key).join(asked.select("token").distinct(), "token", "left_semi")
+    every = matched(chunks, asked.select("token").distinct(), key)
+    lengths = every.where("token is null").agg(F.sum("tf").alias("chunks"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean"))
+    rows = every.where("token is not null")
     seen = rows.groupBy("token").agg(F.count("*").alias("df"))
     scored = (
         rows.join(seen, "token").join(F.broadcast(lengths)).join(asked, "token")
@@ -35,3 +41,22 @@ def bm25(chunks: DataFrame, questions: DataFrame, key: str, query: str, k: int =
     )
     best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), key)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+#: File endings that names of uploads have.
+ENDINGS = "pdf|txt|docx|xlsx|xls|csv|png|jpe?g|gif|webp|bmp"
+
+
+def with_names(rows: DataFrame, column: str, files: DataFrame, name: str) -> DataFrame:
+    """The rows (without the text) with each file name that their text contains, once each.
+
+    Every stretch of the text that ends with a known file ending, and has the length of some name,
+    is a candidate, and candidates meet names by equality; no text is tried against all files.
+    Names need one of the ENDINGS, in any case.
+    """
+    lengths = files.select(F.length(name).alias("n")).agg(F.array_sort(F.collect_set("n")).alias("__lengths"))  # at most as many as the longest name has letters
+    ends = F.filter(F.sequence(F.lit(1), F.length(column)), lambda i: F.rlike(F.substr(F.col(column), F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6))), F.lit(rf"(?i)\.({ENDINGS})$")))
+    rest = [c for c in rows.columns if c != column]
+    placed = rows.where(F.rlike(F.col(column), F.lit(rf"(?i)\.({ENDINGS})"))).select(*rest, column, F.explode(ends).alias("__end")).join(F.broadcast(lengths), F.lit(True))
+    cut = F.transform(F.filter("__lengths", lambda n: n <= F.col("__end")), lambda n: F.substr(F.col(column), F.col("__end") - n + 1, n))
+    return placed.select(*rest, F.explode(cut).alias(name)).join(files.select(name).distinct(), name, "left_semi").distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -48,3 +48,38 @@ def bad_transitions(events: DataFrame, entity: str, order: list[str], state: str
     before = F.lag(state).over(Window.partitionBy(entity).orderBy(*order))
     good = F.struct(F.col("__before").alias("a"), F.col(state).alias("b")).isin(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in allowed])
     return events.withColumn("__before", before).where(F.col("__before").isNotNull() & ~good)
+
+
+#: Fixed value: chunks of figures are numbered from here, past all chunks of text.
+FIRST_FIGURE = 1_000_000
+
+
+def figure_index(figure: Column) -> Column:
+    return (F.lit(FIRST_FIGURE) + figure).cast("long")
+
+
+def inserted(now: DataFrame, new: DataFrame, defaults: dict) -> DataFrame:
+    """The rows with new ones at their end; columns that a new row leaves out take their defaults, or null."""
+    filled = new.select("*", *[F.lit(v).alias(c) for c, v in defaults.items() if c not in new.columns])
+    return now.unionByName(filled, allowMissingColumns=True)
+
+
+def appended(now: DataFrame, new: DataFrame, key: str, column: str, more: str) -> DataFrame:
+    """Lists with what is new at their end."""
+    none = F.array().cast(now.schema[column].dataType)
+    return now.join(new.select(key, more), key, "left").withColumn(column, F.concat(F.coalesce(column, none), F.coalesce(more, none))).drop(more)
+
+
+def first_take(attempts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Attempts to take what can be taken once, with ``taken``: only the first of a key gets it."""
+    return attempts.withColumn("taken", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) == 1)
+
+
+def transition_verdicts(events: DataFrame, entity: str, order: list[str], state: str, role: str, allowed: list[tuple[str, str, str]]) -> DataFrame:
+    """Every change of state with its verdict: start, ok, role (not for this role) or state (for none)."""
+    before = F.lag(state).over(Window.partitionBy(entity).orderBy(*order))
+    pair = lambda *cs: F.concat_ws("\x01", *cs)
+    good = pair("__before", state, role).isin(*{"\x01".join(a) for a in allowed})
+    known = pair("__before", state).isin(*{"\x01".join(a[:2]) for a in allowed})
+    verdict = F.when(F.col("__before").isNull(), "start").when(good, "ok").when(known, "role").otherwise("state")
+    return events.withColumn("__before", before).withColumn("verdict", verdict).drop("__before")

@@ -52,3 +52,19 @@ def cosine_topk(corpus: DataFrame, queries: DataFrame, key: str, vector: str, k:
     found = pairs.select("ids", "unit", "width", "asked", "questions").mapInArrow(_pair_task(k), "query long, id long, score double")
     order = Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def or_first(chunks: DataFrame, scored: DataFrame, k: int) -> DataFrame:
+    """(query, id, score) of the k best of ``scored``; a question without any gets its first k ``chunks`` (query, id) with score 0."""
+    best = scored.withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("__r") <= k).drop("__r")
+    rest = chunks.join(scored.select("query").distinct(), "query", "left_anti").withColumn("__r", F.row_number().over(Window.partitionBy("query").orderBy("id")))
+    return best.unionByName(rest.where(F.col("__r") <= k).select("query", "id", F.lit(0.0).alias("score")))
+
+
+def merged(sources: list[DataFrame], k: int) -> DataFrame:
+    """(query, id, score, rank) of the k best over several retrievals; what more than one finds counts once, at its best."""
+    every = sources[0]
+    for more in sources[1:]:
+        every = every.unionByName(more)
+    once = every.groupBy("query", "id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= k)

@@ -10,23 +10,39 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text, vectors
+from tessella.session import materialise
 
 ASSIGN, COSINE_WEIGHT, KEYWORD_WEIGHT = 0.60, 0.95, 0.05
 
 
-def keyword_weights(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, word, weight): the share of each topic word among the key's topic words."""
-    words = docs.select(key, F.explode(text.keywords(F.col(column))).alias("word")).groupBy(key, "word").agg(F.count("*").alias("n"))
-    return words.select(key, "word", (F.col("n") / F.sum("n").over(Window.partitionBy(key))).alias("weight"))
+def _counted(docs: DataFrame, key: str, column: str) -> DataFrame:
+    """(key, __total, c): the topic words of each row with their counts, without leaving the row.
+
+    Words are sorted and cut where the word changes. Each step is a column of its own: written
+    into one another, a step would be evaluated again for every word.
+    """
+    rows = docs.select(key, F.array_sort(text.keywords(F.col(column))).alias("__w"))
+    w = F.col("__w")
+    ends = F.filter(F.transform(w, lambda x, i: F.when(F.get(w, i + 1).isNull() | (F.get(w, i + 1) != x), F.struct(x.alias("word"), i.alias("i")))), lambda x: x.isNotNull())
+    e = F.col("__e")
+    rows = rows.select(key, F.size("__w").alias("__total"), ends.alias("__e"))
+    return rows.select(key, "__total", F.explode_outer(F.transform(e, lambda x, k: F.struct(x["word"].alias("word"), (x["i"] - F.coalesce(F.get(e, k - 1)["i"], F.lit(-1))).cast("long").alias("n")))).alias("c")).where("c is not null")
 
 
-def keyword_maps(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
-    return keyword_weights(docs, key, column).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("word", "weight"))).alias("keywords"))
+def keyword_weights(docs: DataFrame, key: str, column: str = "text") -> DataFrame:
+    """(key, word, weight): the share of each topic word among the topic words of the key's text; one row a key, no shuffle."""
+    return _counted(docs, key, column).select(key, "c.word", (F.col("c.n") / F.col("__total")).alias("weight"))
+
 
+def group_weights(docs: DataFrame, group: str, column: str = "text") -> DataFrame:
+    """(group, word, weight) of groups of texts, such as languages.
 
-def keyword_counts(words: Column) -> Column:
-    """Array of (count, word) of an array of words, without leaving the row."""
-    return F.transform(F.array_distinct(words), lambda w: F.struct(F.size(F.filter(words, lambda x: x == w)).alias("n"), w.alias("word")))
+    Counts are dealt by group and word, so a large group is many tasks' work; its total is a row of
+    a small table that comes from the same counts.
+    """
+    counts = materialise(_counted(docs, group, column).groupBy(group, "c.word").agg(F.sum("c.n").alias("n")), "word-counts")
+    totals = counts.groupBy(group).agg(F.sum("n").alias("total"))
+    return counts.join(totals, group).select(group, "word", (F.col("n") / F.col("total")).alias("weight"))
 
 
 def centroids(rows: DataFrame, topic: str, vector: str) -> DataFrame:
@@ -37,17 +53,45 @@ def centroids(rows: DataFrame, topic: str, vector: str) -> DataFrame:
     return ordered.join(size, topic)
 
 
+#: Topics that a document is held against at a time.
+TOPIC_BLOCK = 1000
+
+
+def offered(docs: DataFrame, topics: DataFrame) -> DataFrame:
+    """The documents with arrays ``offers`` of the topics, TOPIC_BLOCK at most to a row.
+
+    Topics are gathered in blocks, as many as their checked number needs, and blocks meet documents by
+    their number; a document is copied only for further blocks.
+    """
+    columns = F.struct(*topics.columns)
+    blocks = max(1, -(-topics.count() // TOPIC_BLOCK))
+    block = F.pmod(F.xxhash64("topic"), F.lit(blocks)).cast("int")
+    held = topics.groupBy(block.alias("__block")).agg(F.collect_list(columns).alias("offers"))
+    if blocks == 1:
+        return docs.join(F.broadcast(held.drop("__block")), F.lit(True))  # one row
+    return docs.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(held, "__block").drop("__block")
+
+
 def assigned(docs: DataFrame, topics: DataFrame, key: str, threshold: float = ASSIGN) -> DataFrame:
     """(key, topic, confidence): the most similar topic if at least the threshold, else none with confidence 0.
 
     Topics are offered by size, largest first, then by name; the first of equal scores wins.
-    ``topics`` is bounded by what a project shows; it is broadcast only by Spark's own size check.
     """
-    scored = docs.join(topics, F.lit(True)).select(key, "topic", F.col("n"), vectors.cosine(F.col("vector"), F.col("centroid")).alias("score"))
-    best = scored.groupBy(key).agg(F.max(F.struct(F.round("score", 9).alias("s"), "n", (-F.col("topic")).alias("t"))).alias("b"))
+    score = lambda o: F.struct(F.round(vectors.cosine(F.col("vector"), o["centroid"]), 9).alias("s"), o["n"].alias("n"), (-o["topic"]).alias("t"))
+    best = offered(docs, topics).select(key, F.array_max(F.transform("offers", score)).alias("b")).groupBy(key).agg(F.max("b").alias("b"))
     return best.select(key, F.when(F.col("b.s") >= threshold, -F.col("b.t")).alias("topic"), F.when(F.col("b.s") >= threshold, F.col("b.s")).otherwise(0.0).alias("confidence"), F.col("b.s").alias("best"))
 
 
+def blended(docs: DataFrame, topics: DataFrame, key: str, k: int) -> DataFrame:
+    """(key, topic, blended, rank) of the k best topics by vectors and keywords (``vector`` and ``p`` against ``centroid`` and ``q``)."""
+    score = lambda o: F.struct(
+        F.round(-(COSINE_WEIGHT * vectors.cosine(F.col("vector"), o["centroid"]) + KEYWORD_WEIGHT * vectors.bhattacharyya(F.col("p"), o["q"])), 9).alias("s"), o["topic"].alias("topic")
+    )
+    few = offered(docs, topics).select(key, F.explode(F.slice(F.array_sort(F.transform("offers", score)), 1, k)).alias("b"))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("b.s", "b.topic"))).where(F.col("rank") <= k)
+    return ranked.select(key, "b.topic", (-F.col("b.s")).alias("blended"), "rank")
+
+
 def online(docs: DataFrame, project: str, key: str, vector: str, threshold: float = ASSIGN) -> DataFrame:
     """(project, key, topic, confidence) of documents that arrive in the order of their key.
 
@@ -82,3 +126,21 @@ def online(docs: DataFrame, project: str, key: str, vector: str, threshold: floa
             yield pd.DataFrame(out, columns=[project, key, "topic", "confidence"])
 
     return docs.select(project, key, vector).repartition(project).sortWithinPartitions(project, key).mapInPandas(run, schema)
+
+
+def without_document(rows: DataFrame, words: Column) -> DataFrame:
+    """Topics (topic, centroid, n, keywords) after their document ``v`` left; one that had no other goes.
+
+    ``words`` are the document's keyword weights; where they are not known (null), what is left is
+    only scaled to the smaller number of documents.
+    """
+    known = F.coalesce(words, F.create_map().cast("map<string,double>"))
+    kept = rows.where("n > 1").select("topic", vectors.without_member(F.col("centroid"), F.col("n"), F.col("v")).alias("centroid"), vectors.unmerged(F.col("keywords"), known, F.col("n")).alias("keywords"), F.col("n") - 1)
+    return kept.toDF("topic", "centroid", "keywords", "n")
+
+
+def with_document(moves: DataFrame, rows: DataFrame, topic: str, vector: str) -> DataFrame:
+    """Moves of documents with their confidence in the new topic, and the topic's centroid and size after each."""
+    joined = moves.join(rows, topic)
+    v, c, n = F.col(vector), F.col("centroid"), F.col("n")
+    return joined.withColumns({"confidence": vectors.cosine(v, c), "centroid": vectors.with_member(c, n, v), "n": n + 1})

@@ -104,26 +104,28 @@ WEIGHTS = f"w AS (SELECT lang, unnest({KEYWORDS}) AS word FROM documents), k AS
 
 @query("bhattacharyya_languages", f"WITH {WEIGHTS} SELECT a.lang AS one, b.lang AS other, round(sum(sqrt(a.weight * b.weight)), 6) AS overlap FROM k a JOIN k b ON a.word = b.word AND a.lang < b.lang GROUP BY ALL")
 def _(t):
-    k = topics.keyword_weights(t.documents, "lang")
+    k = topics.group_weights(t.documents, "lang")
     other = k.select(F.col("lang").alias("other"), "word", F.col("weight").alias("v"))
     return k.join(other, "word").where("lang < other").groupBy(F.col("lang").alias("one"), "other").agg(F.round(F.sum(F.sqrt(F.col("weight") * F.col("v"))), 6).alias("overlap"))
 
 
-@query("keyword_merge", f"WITH {WEIGHTS}, p AS (SELECT * FROM k WHERE lang = 'en'), q AS (SELECT * FROM k WHERE lang = 'de') SELECT coalesce(p.word, q.word) AS word, round((coalesce(p.weight, 0) * 3 + coalesce(q.weight, 0)) / 4, 6) AS weight FROM p FULL JOIN q ON p.word = q.word")
+@query("keyword_merge", f"WITH {WEIGHTS}, o AS (SELECT 'de' AS target UNION ALL SELECT 'fr' UNION ALL SELECT 'es'), p AS (SELECT target, word, weight FROM k, o WHERE lang = 'en'), q AS (SELECT lang AS target, word, weight FROM k WHERE lang <> 'en') SELECT coalesce(p.target, q.target) AS target, coalesce(p.word, q.word) AS word, round((coalesce(p.weight, 0) * 3 + coalesce(q.weight, 0)) / 4, 6) AS weight FROM p FULL JOIN q ON p.word = q.word AND p.target = q.target")
 def _(t):
-    k = topics.keyword_weights(t.documents, "lang")
-    one, two = (k.where(F.col("lang") == x).select("word", F.col("weight").alias(x)) for x in ("en", "de"))
+    """The keywords of one language joined by those of each other, as a topic of three documents takes a fourth."""
+    k = topics.group_weights(t.documents, "lang")
+    own = k.where("lang = 'en'").select("word", F.col("weight").alias("p"), F.explode(F.array(*map(F.lit, ("de", "fr", "es")))).alias("target"))
+    new = k.where("lang <> 'en'").select("word", F.col("weight").alias("q"), F.col("lang").alias("target"))
     zero = F.lit(0.0)
-    return one.join(two, "word", "full").select("word", F.round((F.coalesce("en", zero) * 3 + F.coalesce("de", zero)) / 4, 6).alias("weight"))
+    return own.join(new, ["target", "word"], "full").select("target", "word", F.round((F.coalesce("p", zero) * 3 + F.coalesce("q", zero)) / 4, 6).alias("weight"))
 
 
 @query("blended_score", f"""WITH {MEANS}, e AS (SELECT vec_id, embedding, label FROM embeddings), s AS (SELECT e.vec_id, c.label AS topic, {COSINE.format(a='e.embedding', b='c.centroid')} AS cosine, CASE WHEN e.label = c.label THEN 1.0 ELSE 0.0 END AS words FROM e, c)
- SELECT vec_id, topic, round(0.95 * cosine + 0.05 * words, 6) AS blended FROM s""")
+, b AS (SELECT vec_id, topic, round(0.95 * cosine + 0.05 * words, 9) AS blended FROM s)
+ SELECT vec_id, topic, round(blended, 6) AS blended, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY blended DESC, topic) AS rank FROM b) WHERE rank <= 3""")
 def _(t):
     docs = t.embeddings.select("vec_id", vectors.doubles(F.col("embedding")).alias("vector"), F.create_map(F.col("label").cast("string"), F.lit(1.0)).alias("p"))
-    both = docs.join(_topics(t).withColumn("q", F.create_map(F.col("topic").cast("string"), F.lit(1.0))), F.lit(True))
-    score = topics.COSINE_WEIGHT * vectors.cosine(F.col("vector"), F.col("centroid")) + topics.KEYWORD_WEIGHT * vectors.bhattacharyya(F.col("p"), F.col("q"))
-    return both.select("vec_id", "topic", F.round(score, 6).alias("blended"))
+    named = _topics(t).withColumn("q", F.create_map(F.col("topic").cast("string"), F.lit(1.0)))
+    return topics.blended(docs, named, "vec_id", 3).select("vec_id", "topic", F.round("blended", 6).alias("blended"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("online_topics")
@@ -132,28 +134,39 @@ def _(t):
     return topics.online(docs, "project", "vec_id", "v", 0.3).withColumn("confidence", F.round("confidence", 6))
 
 
-ANSWERS = "answers AS (SELECT conv_id, turn, text || ' See file' || (conv_id * 7 % 1200) || '.' || (['pdf','txt','docx','xlsx','csv','png'])[1 + conv_id * 7 % 1200 % 6] || ' and FILE1.TXT.' AS answer FROM conversations WHERE role = 'assistant')"
-NAME = r"[^\s,;()\"']+\.(?:pdf|txt|docx|xlsx|xls|csv|png|jpe?g|gif|webp|bmp)"
+NAMED = "named AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Q' || doc_id % 4 || ' report (' || doc_id || '), final.' || split_part(filename, '.', 2) ELSE filename END AS filename, selected FROM files)"
+ANSWERS = """answers AS (SELECT conv_id, turn, text || ' See ' || CASE WHEN conv_id % 3 = 0 THEN 'Q' || conv_id % 4 || ' report (' || conv_id || '), final.' ELSE 'file' || conv_id || '.' END || (['pdf','txt','docx','xlsx','csv','png'])[1 + conv_id % 6] || ', file' || (conv_id * 7 % 1200) || '.' || (['pdf','txt','docx','xlsx','csv','png'])[1 + conv_id * 7 % 1200 % 6] || ' and FILE1.TXT.' AS answer
+ FROM conversations WHERE role = 'assistant')"""
+
+
+def named_files(t):
+    """Files of which every third has a name with blanks, commas and brackets."""
+    kind = F.element_at(F.split("filename", r"\."), -1)
+    long = F.concat(F.lit("Q"), F.col("doc_id") % 4, F.lit(" report ("), "doc_id", F.lit("), final."), kind)
+    return t.files.select("doc_id", F.when(F.col("doc_id") % 3 == 0, long).otherwise(F.col("filename")).alias("filename"), "selected")
 
 
 def answers(t):
-    n = F.col("conv_id") * 7 % 1200
-    kind = F.element_at(F.array(*map(F.lit, ("pdf", "txt", "docx", "xlsx", "csv", "png"))), (n % 6 + 1).cast("int"))
-    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.lit(" See file"), n, F.lit("."), kind, F.lit(" and FILE1.TXT.")).alias("answer"))
+    kind = lambda n: F.element_at(F.array(*map(F.lit, ("pdf", "txt", "docx", "xlsx", "csv", "png"))), (n % 6 + 1).cast("int"))
+    c, n = F.col("conv_id"), F.col("conv_id") * 7 % 1200
+    first = F.when(c % 3 == 0, F.concat(F.lit("Q"), c % 4, F.lit(" report ("), c, F.lit("), final."))).otherwise(F.concat(F.lit("file"), c, F.lit(".")))
+    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.lit(" See "), first, kind(c), F.lit(", file"), n, F.lit("."), kind(n), F.lit(" and FILE1.TXT.")).alias("answer"))
 
 
-@query("citations", f"WITH {FILES}, {ANSWERS} SELECT a.conv_id, a.turn, f.doc_id, f.filename FROM answers a JOIN files f ON regexp_matches(a.answer, '(^|\\s)' || regexp_escape(f.filename) || '(\\s|$)')")
+@query("citations", f"WITH {FILES}, {NAMED}, {ANSWERS} SELECT a.conv_id, a.turn, f.doc_id, f.filename FROM answers a JOIN named f ON contains(a.answer, f.filename)")
 def _(t):
-    """Names are cut out of the answer and joined by equality, instead of trying every file on every answer."""
-    quoted = answers(t).select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all("answer", F.lit(f"({NAME})")))).alias("filename"))
-    return quoted.join(t.files.select("doc_id", "filename"), "filename").select("conv_id", "turn", "doc_id", "filename")
+    """Files whose names an answer contains, by equality on stretches of the answer that end like a file name."""
+    quoted = lexical.with_names(answers(t), "answer", named_files(t), "filename")
+    return quoted.join(named_files(t).select("doc_id", "filename"), "filename").select("conv_id", "turn", "doc_id", "filename")
 
 
-@query("mention_guard", f"""WITH {FILES}, {ANSWERS}, m AS (SELECT a.conv_id, a.turn, f.selected FROM answers a JOIN files f ON regexp_matches(lower(a.answer), '(^|\\s)' || regexp_escape(f.filename) || '(\\s|$)|(^|\\s)' || regexp_escape(f.filename) || '\\.$'))
+@query("mention_guard", f"""WITH {FILES}, {NAMED}, {ANSWERS}, m AS (SELECT a.conv_id, a.turn, f.selected FROM answers a JOIN named f ON contains(lower(a.answer), lower(f.filename)))
  SELECT conv_id, turn, count(*) FILTER (selected = 1) AS n_selected, count(*) FILTER (selected <> 1) AS n_unselected, count(*) FILTER (selected = 1) = 0 AS refuse FROM m GROUP BY ALL""")
 def _(t):
-    named = answers(t).select("conv_id", "turn", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("answer"), F.lit(f"({NAME})")))).alias("filename"))
-    found = named.join(t.files.select("filename", "selected"), "filename").groupBy("conv_id", "turn").agg(F.count_if(F.col("selected") == 1).alias("n_selected"), F.count_if(F.col("selected") != 1).alias("n_unselected"))
+    """Small letters on both sides; an answer that names files, but none of those selected, is refused."""
+    files = named_files(t).withColumn("filename", F.lower("filename"))
+    named = lexical.with_names(answers(t).withColumn("answer", F.lower("answer")), "answer", files, "filename")
+    found = named.join(files.select("filename", "selected"), "filename").groupBy("conv_id", "turn").agg(F.count_if(F.col("selected") == 1).alias("n_selected"), F.count_if(F.col("selected") != 1).alias("n_unselected"))
     return found.withColumn("refuse", F.col("n_selected") == 0)
 
 

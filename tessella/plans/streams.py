@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.operators import chunking
 from tessella.streaming import stages
 
 from .base import Book
+from .texts import chunks_sql, clean_sql
 
 book = Book()
 query = book.query
@@ -19,7 +21,29 @@ def events(t):
 @query("stream_stage_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
     t.events  # ships the package
-    return stages.to_table(stages.stage_counts(events(t)), "stage-counts", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+    return stages.updates_to_table(stages.stage_counts(events(t)), ["start", "event_type"], "stage-counts").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_sliding_counts", """SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01'), time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') - INTERVAL '6 hours']) AS start FROM events) GROUP BY ALL""")
+def _(t):
+    t.events
+    counts = stages.stage_counts(events(t), "12 hours", "6 hours")
+    return stages.updates_to_table(counts, ["start", "event_type"], "sliding").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_sessions", """WITH s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL '30 minutes' THEN 0 ELSE 1 END AS fresh FROM events)),
+ e AS (SELECT user_id, min(ts) AS start, max(ts) + INTERVAL '30 minutes' AS ends, count(*) AS n FROM s GROUP BY user_id, k) SELECT user_id, start, n FROM e WHERE ends <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'""")
+def _(t):
+    t.events
+    return stages.to_table(stages.sessions(events(t)), "sessions").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("stream_billing", "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, count(*) AS n FROM events WHERE event_type IN ('signup', 'purchase', 'error') GROUP BY user_id")
+def _(t):
+    """Three kinds of change events; each user has the last."""
+    t.events
+    changes = events(t).where("event_type in ('signup', 'purchase', 'error')")
+    return stages.updates_to_table(stages.latest_status(changes), ["user_id"], "billing")
 
 
 @query("stream_dedup", "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY event_type")
@@ -33,10 +57,18 @@ def _(t):
  FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events) GROUP BY user_id""")
 def _(t):
     t.events
-    return stages.updates_to_table(stages.status_changes(events(t).select("user_id", "event_id", "ts", "event_type")), "user_id", "status")
+    return stages.updates_to_table(stages.status_changes(events(t).select("user_id", "event_id", "ts", "event_type")), ["user_id"], "status")
 
 
-@query("stream_ingest")
+@query("stream_ingest", f"""WITH {chunks_sql(chunking.PUBLIC_SIZE)}, g AS (SELECT doc_id, length(text) AS raw, length({clean_sql("text")}) < 50 AS short FROM documents)
+ SELECT g.doc_id, CASE WHEN any_value(short) THEN 'chunk_failed' ELSE 'chunked' END AS status, CASE WHEN any_value(short) THEN 0 ELSE count(c) END AS n_chunks, CASE WHEN any_value(short) THEN 0 ELSE coalesce(CAST(sum(length(c)) AS BIGINT), 0) END AS n_chars,
+ CASE WHEN any_value(short) THEN 'queued' END AS retry_status, CASE WHEN any_value(short) THEN 'only ' || any_value(raw) || ' characters of text' END AS last_error FROM g LEFT JOIN chunks USING (doc_id) GROUP BY g.doc_id""")
 def _(t):
     t.documents
     return stages.ingest(t.spark, f"{t.folder}/documents.parquet")
+
+
+@query("stream_fork", f"""SELECT doc_id, CASE WHEN length({clean_sql("text")}) < 50 THEN 'chunk_failed' ELSE 'chunked' END AS status, CASE WHEN doc_id % 6 = 5 THEN CASE WHEN length(trim(text)) = 0 THEN 'figure_failed' ELSE 'captioned' END END AS figure_status FROM documents""")
+def _(t):
+    t.documents
+    return stages.ingest_with_figures(t.spark, f"{t.folder}/documents.parquet")

@@ -17,10 +17,37 @@ FOLD = "trim(regexp_replace(regexp_replace(strip_accents(lower({})), '[^a-z0-9\\
 KEYWORDS = f"list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda w: length(w) > 3 AND w NOT IN ({quoted}))"
 
 
-@query("sanitize_text", r"""SELECT doc_id, md5(regexp_replace(regexp_replace(replace(t, chr(65533), ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\\([^\\ntbrfux]|$)', '\1', 'g')) AS digest
- FROM (SELECT doc_id, text || chr(1) || chr(65533) || 'a\qb' AS t FROM documents)""")
+def clean_sql(t: str) -> str:
+    """Sanitised text in SQL."""
+    return rf"nfc_normalize(regexp_replace(regexp_replace(replace({t}, chr(65533), ''), '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '\\([^\\ntbrfux]|$)', '\1', 'g'))"
+
+
+def units_sql(size: int) -> str:
+    """Tables ``plain`` (doc_id, t) and ``parts`` (doc_id, i, part): the units of every text, in order."""
+    return rf"""plain AS (SELECT doc_id, {clean_sql('text')} AS t FROM documents),
+paragraphs AS (SELECT doc_id, list_filter(list_transform(string_split_regex(t, '
+\s*
+'), lambda p: regexp_replace(p, '^\s+|\s+$', '', 'g')), lambda p: p <> '') AS ps FROM plain),
+units AS (SELECT doc_id, flatten(list_transform(ps, lambda p: CASE WHEN length(p) <= {size} THEN [p] ELSE flatten(list_transform(string_split(regexp_replace(p, '([.?!])\s+([A-Z0-9"''(])', '\1' || chr(1) || '\2', 'g'), chr(1)),
+ lambda s: CASE WHEN length(s) <= {size} THEN [s] ELSE list_transform(range(1, length(s) + 1, {size}), lambda i: substring(s, i, {size})) END)) END)) AS u FROM paragraphs),
+parts AS (SELECT doc_id, unnest(u) AS part, generate_subscripts(u, 1) AS i FROM units)"""
+
+
+def chunks_sql(size: int) -> str:
+    """Tables up to ``chunks`` (doc_id, chunk_index, c): the fold of units, one a step, over all documents at once."""
+    overlap = int(size * chunking.SHARE + 0.5)
+    return rf"""RECURSIVE {units_sql(size)},
+fold AS (SELECT doc_id, 1::BIGINT AS i, [part] AS open, length(part) AS n, NULL::VARCHAR AS done FROM parts WHERE i = 1
+ UNION ALL SELECT doc_id, i, list_append(CASE WHEN is_full THEN open[len(open) - carry + 1:] ELSE open END, part), CASE WHEN is_full THEN sums[carry] ELSE n END + room, CASE WHEN is_full THEN list_aggregate(open, 'string_agg', chr(10) || chr(10)) END
+ FROM (SELECT *, least(len(open), 1 + len(list_filter(sums, lambda x: x < {overlap}))) AS carry FROM (SELECT f.doc_id, p.i, f.open, f.n, p.part, length(p.part) + 2 AS room, f.n > 0 AND f.n + length(p.part) + 2 > {size} AS is_full,
+  list_transform(range(1, len(f.open) + 1), lambda k: list_sum(list_transform(f.open[len(f.open) - k + 1:], lambda x: length(x) + 2))::BIGINT) AS sums FROM fold f JOIN parts p ON p.doc_id = f.doc_id AND p.i = f.i + 1))),
+ends AS (SELECT doc_id, i, done AS c FROM fold WHERE done IS NOT NULL UNION ALL SELECT doc_id, max(i) + 1, arg_max(list_aggregate(open, 'string_agg', chr(10) || chr(10)), i) FROM fold GROUP BY doc_id),
+chunks AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS chunk_index, c FROM (SELECT doc_id, i, {clean_sql('c')} AS c FROM ends) WHERE trim(c) <> '')"""
+
+
+@query("sanitize_text", f"SELECT doc_id, md5({clean_sql('t')}) AS digest FROM (SELECT doc_id, text || chr(1) || chr(65533) || 'a\\qbe' || chr(769) || 'A' || chr(778) AS t FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", F.md5(text.sanitised(F.concat("text", F.lit("\x01�a\\qb")))).alias("digest"))
+    return t.documents.select("doc_id", F.md5(text.sanitised(F.concat("text", F.lit("\x01\ufffda\\qbe\u0301A\u030a")))).alias("digest"))
 
 
 @query("normalize_text", f"SELECT doc_id, md5({FOLD.format('text')}) AS digest FROM documents")
@@ -51,9 +78,9 @@ def _(t):
     return t.documents.groupBy("lang").agg(F.sum(text.read_minutes(F.col("text"))).alias("minutes"))
 
 
-@query("page_slices", r"SELECT doc_id, md5(list_aggregate(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:400], 'string_agg', ' ')) AS first_page FROM documents WHERE text <> ''")
+@query("page_slices", r"SELECT doc_id, md5(list_aggregate(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:400], 'string_agg', ' ')) AS first_page FROM documents WHERE regexp_matches(text, '\S') UNION ALL SELECT doc_id, md5('') FROM documents WHERE NOT regexp_matches(text, '\S')")
 def _(t):
-    return t.documents.where("text <> ''").select("doc_id", F.md5(text.up_to_page(F.col("text"), 1)).alias("first_page"))
+    return t.documents.where("text is not null").select("doc_id", F.md5(text.up_to_page(F.col("text"), 1)).alias("first_page"))
 
 
 @query("context_lines", r"SELECT doc_id, regexp_replace(substring(text, 1, 600), '\n+', ' ', 'g') AS line, length(substring(text, 1, 8000)) AS embed_chars, length(substring(text, 1, 1500)) AS topic_chars, length(substring(text, 1, 12000)) AS insight_chars FROM documents")
@@ -130,24 +157,28 @@ def _(t):
     return t.documents.select("doc_id").join(names, "doc_id", "left").withColumn("name", F.coalesce("name", F.lit("General Documents")))
 
 
-@query("chunk_lengths")
+@query("chunk_lengths", f"WITH {chunks_sql(chunking.PUBLIC_SIZE)} SELECT doc_id, chunk_index, length(c) AS n_chars, md5(c) AS digest FROM chunks")
 def _(t):
-    return chunking.chunked(t.documents, "doc_id").select("doc_id", "chunk_index", F.length("text").alias("n_chars"))
+    return chunking.chunked(t.documents, "doc_id").select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-@query("chunk_counts")
+@query("chunk_counts", f"WITH {chunks_sql(chunking.PRIVATE_SIZE)} SELECT doc_id, count(*) AS n_chunks, max(chunk_index) AS last_index FROM chunks GROUP BY doc_id")
 def _(t):
-    return chunking.chunked(t.documents, "doc_id", size=chunking.PRIVATE_SIZE).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_index").alias("last_index"))
+    return chunking.chunked(t.documents, "doc_id", size=chunking.PRIVATE_SIZE).groupBy("doc_id").agg(F.count("*").alias("n_chunks"), F.max("chunk_index").cast("long").alias("last_index"))
 
 
-@query("chunk_units", r"""SELECT doc_id, len(u) AS n_units FROM (SELECT doc_id, list_filter(string_split_regex(text, '\n\s*\n'), lambda p: trim(p) <> '') AS u FROM documents WHERE length(text) <= 2200)""")
+@query("chunk_units", f"WITH {units_sql(300)} SELECT doc_id, count(part) AS n_units, coalesce(max(length(part)), 0) AS longest, md5(coalesce(string_agg(part, '|' ORDER BY i), '')) AS digest FROM plain LEFT JOIN parts USING (doc_id) GROUP BY doc_id")
 def _(t):
-    return t.documents.where("length(text) <= 2200").select("doc_id", F.size(chunking.units(F.col("text"), 2200)).cast("long").alias("n_units"))
+    """Small units, so that sentences are sliced too."""
+    rows = t.documents.select("doc_id", chunking.units(text.sanitised(F.col("text")), 300).alias("u"))
+    return rows.select("doc_id", F.size("u").cast("long").alias("n_units"), F.coalesce(F.array_max(F.transform("u", F.length)), F.lit(0)).cast("long").alias("longest"), F.md5(F.array_join("u", "|")).alias("digest"))
 
 
-@query("text_gate", "SELECT doc_id, length(text) >= 50 AS passes FROM documents")
+@query("text_gate", f"SELECT doc_id, length({clean_sql('t')}) >= 50 AS passes FROM (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN left(text, 49) || repeat(chr(1), 20) ELSE text END AS t FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", (F.length(text.sanitised(F.col("text"))) >= 50).alias("passes"))
+    """Control characters do not help a text over the gate."""
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat(F.substring("text", 1, 49), F.repeat(F.lit("\x01"), 20))).otherwise(F.col("text"))
+    return t.documents.select("doc_id", (F.length(text.sanitised(raw)) >= 50).alias("passes"))
 
 
 @query("dedup_by_sha", "SELECT min(doc_id) AS doc_id, sha256(text) AS sha, count(*) AS copies FROM documents GROUP BY sha256(text)")
@@ -162,12 +193,15 @@ def _(t):
     return kept.withColumn("place", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).where("place <= 40").select("source", "doc_id", F.col("place").cast("long").alias("place"))
 
 
-@query("row_buckets")
+@query("row_buckets", """WITH RECURSIVE r AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, n) AS k, n FROM (SELECT *, length('Order: ' || l_orderkey || ' | Line: ' || l_linenumber || ' | Col3: ' || l_returnflag || ' | Part: ' || l_partkey) AS n FROM lineitem)),
+ s AS (SELECT l_suppkey, k, 0::BIGINT AS bucket, n + 1 AS chars FROM r WHERE k = 1
+ UNION ALL SELECT r.l_suppkey, r.k, s.bucket + (s.chars + r.n > 2200)::BIGINT, CASE WHEN s.chars + r.n > 2200 THEN 0 ELSE s.chars END + r.n + 1 FROM s JOIN r ON r.l_suppkey = s.l_suppkey AND r.k = s.k + 1)
+ SELECT l_suppkey, bucket, min(k) + 1 AS first, max(k) + 1 AS last, max(chars) AS chars FROM s GROUP BY ALL""")
 def _(t):
-    row = chunking.row_text(["Order", "Line", "", "Part"], F.array(*[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_quantity", "l_partkey")]))
+    row = chunking.row_text(["Order", "Line", "", "Part"], F.array(*[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_returnflag", "l_partkey")]))
     rows = t.lineitem.select("l_suppkey", "l_orderkey", "l_linenumber", F.length(row).alias("n"))
-    sheets = rows.groupBy("l_suppkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "n"))), lambda s: s["n"]).alias("sizes"))
-    return sheets.select("l_suppkey", F.posexplode(chunking.row_buckets(F.col("sizes"), 2200)).alias("bucket", "b")).select("l_suppkey", "bucket", "b.first", "b.last", "b.chars")
+    placed = chunking.row_buckets(rows, ["l_suppkey"], ["l_orderkey", "l_linenumber", "n"], "n", 2200)
+    return placed.groupBy("l_suppkey", "bucket").agg(F.min("row").alias("first"), F.max("row").alias("last"), F.max("chars").alias("chars"))
 
 
 @query("row_texts", "SELECT l_orderkey, l_linenumber, 'Order: ' || l_orderkey || ' | Line: ' || l_linenumber || ' | Col3: ' || l_returnflag AS line FROM lineitem")

@@ -6,14 +6,16 @@ format are small helpers on one file's bytes; a damaged file gives an empty resu
 
 from __future__ import annotations
 
+import csv
 import io
+import re
 import struct
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text
@@ -87,57 +89,215 @@ def docx_media(data: bytes) -> list[tuple[str, bytes]]:
     return [(n, archive.read(n)) for n in sorted(names, key=number)]
 
 
+SPACE_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+SPACE_R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+
+
+def _column(reference: str) -> int:
+    """Place of a cell's column, from 0: A, B, ..., Z, AA."""
+    n = 0
+    for c in reference:
+        if not c.isalpha():
+            break
+        n = 26 * n + ord(c.upper()) - 64
+    return n - 1
+
+
+def _cell(cell: ElementTree.Element, shared: list[str]) -> str:
+    kind, value = cell.get("t"), cell.findtext(f"{SPACE_S}v") or ""
+    if kind == "s":
+        return shared[int(value)] if value.isdigit() and int(value) < len(shared) else ""
+    if kind == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{SPACE_S}t"))
+    return {"1": "TRUE", "0": "FALSE"}.get(value, value) if kind == "b" else value
+
+
+def workbook_sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
+    """(name, rows) of a workbook's sheets in their order; rows without a value are left out, cells without one are ""."""
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(data))
+        shared = []
+        if "xl/sharedStrings.xml" in archive.namelist():
+            shared = ["".join(t.text or "" for t in item.iter(f"{SPACE_S}t")) for item in ElementTree.fromstring(archive.read("xl/sharedStrings.xml")).iter(f"{SPACE_S}si")]
+        targets = {r.get("Id"): r.get("Target", "") for r in ElementTree.fromstring(archive.read("xl/_rels/workbook.xml.rels"))}
+        out = []
+        for sheet in ElementTree.fromstring(archive.read("xl/workbook.xml")).iter(f"{SPACE_S}sheet"):
+            target = targets.get(sheet.get(f"{SPACE_R}id"), "")
+            rows = []
+            for row in ElementTree.fromstring(archive.read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")).iter(f"{SPACE_S}row"):
+                cells: dict[int, str] = {}
+                for k, cell in enumerate(row.iter(f"{SPACE_S}c")):
+                    cells[_column(cell.get("r", "")) if cell.get("r") else k] = _cell(cell, shared)
+                if any(cells.values()):
+                    rows.append([cells.get(k, "") for k in range(max(cells) + 1)])
+            width = max(map(len, rows), default=0)
+            out.append((sheet.get("name", ""), [r + [""] * (width - len(r)) for r in rows]))
+        return out
+    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError):
+        return []
+
+
+def sheets_of(name: str, data: bytes) -> list[tuple[str, list[list[str]]]]:
+    """Sheets of an uploaded workbook or CSV file, which is one sheet."""
+    if not name.lower().endswith(".csv"):
+        return workbook_sheets(data)
+    try:
+        rows = [r for r in csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"), newline="")) if any(r)]
+    except csv.Error:
+        return []
+    width = max(map(len, rows), default=0)
+    return [("Sheet1", [r + [""] * (width - len(r)) for r in rows])]
+
+
+def sheets(files: DataFrame) -> DataFrame:
+    """(path, filename, place, sheet, row, values) of all sheets; row 1 is the header.
+
+    A file is opened by one task; uploads are limited to some megabytes.
+    """
+    schema = "path string, filename string, place int, sheet string, row int, values array<string>"
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for path, name, data in zip(f["path"], f["filename"], f["content"], strict=True):
+                rows = [(path, name, k, sheet, n, values) for k, (sheet, body) in enumerate(sheets_of(name, bytes(data))) for n, values in enumerate(body, 1)]
+                yield pd.DataFrame(rows, columns=["path", "filename", "place", "sheet", "row", "values"])
+
+    return files.where("route = 'spreadsheet'").select("path", "filename", "content").mapInPandas(opened, schema)
+
+
+def workbook_text(name: str, data: bytes) -> str:
+    """What a search sees of a workbook: every sheet's name, columns and rows."""
+    parts = []
+    for sheet, rows in sheets_of(name, data):
+        if rows:
+            headers = [h.strip() for h in rows[0]]
+            parts.append(f"## Sheet: {sheet}\nColumns: {', '.join(headers)}")
+            parts += ["\n".join(" | ".join(f"{h or f'Col{k + 1}'}: {v}" for k, (h, v) in enumerate(zip(headers, r, strict=True))) for r in rows[1:])] * (len(rows) > 1)
+    return "\n\n".join(parts)
+
+
 def with_text(files: DataFrame) -> DataFrame:
     """(path, filename, route, content_text, needs_ocr): text files are decoded by Spark, documents by a helper.
 
-    Fewer than fifty characters of a PDF mean that it was scanned.
+    Bytes that are no UTF-8 become replacement characters. Fewer than fifty characters of a PDF mean
+    that it was scanned.
     """
 
     def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["content_text"] = [docx_text(c) if r == "docx" else pdf_text(c) for r, c in zip(f["route"], f["content"], strict=True)]
+            readers = {"docx": lambda _, c: docx_text(c), "pdf": lambda _, c: pdf_text(c), "spreadsheet": workbook_text}
+            f["content_text"] = [readers[r](n, bytes(c)) for n, r, c in zip(f["filename"], f["route"], f["content"], strict=True)]
             yield f[["path", "filename", "route", "content_text"]]
 
-    plain = files.where("route in ('text', 'spreadsheet')").select("path", "filename", "route", F.decode("content", "UTF-8").alias("content_text"))
-    packed = files.where("route in ('docx', 'pdf')").select("path", "filename", "route", "content").mapInPandas(opened, "path string, filename string, route string, content_text string")
+    plain = files.where("route = 'text'").select("path", "filename", "route", F.make_valid_utf8(F.col("content").cast("string")).alias("content_text"))
+    packed = files.where("route in ('docx', 'pdf', 'spreadsheet')").select("path", "filename", "route", "content").mapInPandas(opened, "path string, filename string, route string, content_text string")
     images = files.where("route = 'image'").select("path", "filename", "route", F.lit("").alias("content_text"))
     every = plain.unionByName(packed).unionByName(images)
     return every.withColumn("needs_ocr", (F.col("route") == "image") | ((F.col("route") == "pdf") & (F.length(F.trim("content_text")) < 50)))
 
 
+PDF_OBJECT = re.compile(rb"(\d+)\s+\d+\s+obj\b(.*?)\bendobj", re.S)
+PDF_REFERENCE = re.compile(rb"/([^\s/<>\[\]()]+)\s+(\d+)\s+\d+\s+R")
+
+
+def pdf_images(data: bytes, least: int = LEAST_JPEG) -> list[tuple[int, bytes]]:
+    """(page, JPEG) of a PDF's images in page order, then in the order of their names in the page's resources.
+
+    Pages come in the order of their objects in the file. Only plain objects are read; where
+    none names an image, the JPEG streams of the whole file are taken as of page 1.
+    """
+    objects = {int(m[1]): m[2] for m in PDF_OBJECT.finditer(data)}
+    out, page = [], 0
+    for body in objects.values():
+        if not re.search(rb"/Type\s*/Page\b(?!s)", body):
+            continue
+        page += 1
+        resources = re.search(rb"/Resources\s+(\d+)\s+\d+\s+R", body)
+        known = objects.get(int(resources[1]), b"") if resources else body
+        names = re.search(rb"/XObject\s*<<(.*?)>>", known, re.S)
+        for _, number in dict(PDF_REFERENCE.findall(names[1])).items() if names else ():
+            image = objects.get(int(number), b"")
+            if re.search(rb"/Subtype\s*/Image\b", image) and b"/DCTDecode" in image:
+                out += [(page, x) for x in carved_jpegs(image, least)[:1]]
+    return out or [(1, x) for x in carved_jpegs(data, least)]
+
+
+def ocr_text(images: DataFrame) -> DataFrame:
+    """(path, content) of scanned files from what was read on their images (path, page, place, width, height, text).
+
+    Of a page the largest image counts, the first of equals; empty pages are left out.
+    """
+    largest = images.groupBy("path", "page").agg(F.max_by("text", F.struct((F.col("width") * F.col("height")).alias("size"), F.struct(*[(-F.col(f"place.{c}")).alias(c) for c in images.schema["place"].dataType.names]))).alias("text"))
+    pages = largest.select("path", F.struct("page", F.regexp_replace("text", r"^\s+|\s+$", "").alias("text")).alias("p"))
+    found = pages.groupBy("path").agg(F.sort_array(F.collect_list("p")).alias("p"))
+    return found.select("path", F.array_join(F.transform(F.filter("p", lambda x: x["text"] != ""), lambda x: x["text"]), "\n\n").alias("content"))
+
+
+def refuse_empty(key: str, data: bytes | None) -> None:
+    """A put that keeps nothing, for tries: what holds no bytes is refused."""
+    if not data:
+        raise ValueError(f"nothing to put at {key}")
+
+
+def put_all(rows: DataFrame, row: str, key: str, data: str, put: Callable[[str, bytes], None]) -> DataFrame:
+    """(row, result): every object is put by its task; one that fails is skipped and the others go on.
+
+    A task that runs again puts the same objects at the same keys.
+    """
+    schema = rows.select(row, F.lit("").alias("result")).schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            results = []
+            for k, x in zip(f[key], f[data], strict=True):
+                try:
+                    put(k, x)
+                    results.append("put")
+                except Exception:  # one bad object must not lose the rest
+                    results.append("skipped")
+            yield pd.DataFrame({row: f[row], "result": results})
+
+    return rows.select(row, key, data).mapInPandas(run, schema)
+
+
 def figures(files: DataFrame, width: int = 100, height: int = 100, most: int = 40) -> DataFrame:
     """(path, figure, size): images of a file, big enough, each content once, the first ``most``."""
 
     def found(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for path, route, data in zip(f["path"], f["route"], f["content"], strict=True):
-                images = docx_media(data) if route == "docx" else [("", x) for x in carved_jpegs(data)] if route == "pdf" else [("", data)]
+                images = docx_media(data) if route == "docx" else pdf_images(bytes(data)) if route == "pdf" else [("", data)]
                 rows = [(path, k, *(image_size(x) or (0, 0)), x) for k, (_, x) in enumerate(images)]
                 yield pd.DataFrame(rows, columns=["path", "place", "width", "height", "image"])
 
-    from pyspark.sql import Window
-
     rows = files.where("route in ('docx', 'pdf', 'image')").select("path", "route", "content").mapInPandas(found, "path string, place int, width int, height int, image binary")
     big = rows.where((F.col("width") >= width) & (F.col("height") >= height)).withColumn("sha", F.sha2("image", 256))
     once = big.withColumn("nth", F.row_number().over(Window.partitionBy("path", "sha").orderBy("place"))).where("nth = 1")
     return once.withColumn("figure", F.row_number().over(Window.partitionBy("path").orderBy("place"))).where(F.col("figure") <= most).select("path", "figure", "width", "height", "sha")
 
 
-def sheet_rows(spark: SparkSession, path: str) -> DataFrame:
-    """(row, values) of a CSV file without blank rows; row 1 is the header, empty cells are ""."""
-    raw = spark.read.option("header", False).option("multiLine", True).csv(path).na.fill("")
-    values = F.array(*[F.col(c) for c in raw.columns])
-    place = F.monotonically_increasing_id()
-    kept = raw.select(values.alias("values"), place.alias("place")).where(F.exists("values", lambda v: F.trim(v) != ""))
-    from pyspark.sql import Window
+def record(header: Column, values: Column) -> Column:
+    """A map from header to value; of equal headers the later counts."""
+    last = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    put = lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["h"]), F.create_map(x["h"], x["v"]))
+    pairs = F.arrays_zip(F.transform(header, lambda h: h.cast("string")).alias("h"), F.transform(values, lambda v: v.cast("string")).alias("v"))
+    return F.aggregate(pairs, last, put)
+
 
-    # A sheet is one file and is read by one task already.
-    return kept.select(F.row_number().over(Window.orderBy("place")).alias("row"), "values")
+def preview(rows: DataFrame, sheet: str, row: str, limit: int = 1000) -> DataFrame:
+    """The first rows of each sheet, with total_rows, how many it has.
+
+    Rows past the limit are dropped by the window as it goes, and counts come from a partial aggregate.
+    """
+    totals = rows.groupBy(sheet).agg(F.count("*").alias("total_rows"))
+    first = rows.withColumn("__k", F.row_number().over(Window.partitionBy(sheet).orderBy(row))).where(F.col("__k") <= limit).drop("__k")
+    return first.join(totals, sheet)
 
 
 def sheet_preview(rows: DataFrame, limit: int = 1000) -> DataFrame:
-    """The first rows as maps from header to value; of equal headers the later counts."""
-    header = rows.where("row = 1").select(F.col("values").alias("header"))
+    """(path, place, sheet, row, record, total_rows) of the first ``limit`` data rows of ``sheets``, as maps from header to value."""
+    key = ["path", "place"]
+    header = rows.where("row = 1").select(*key, F.col("values").alias("header"))
+    totals = rows.groupBy(*key).agg((F.count("*") - 1).alias("total_rows"))
     body = rows.where((F.col("row") > 1) & (F.col("row") <= limit + 1))
-    later = lambda h, v: F.aggregate(F.arrays_zip(h.alias("h"), v.alias("v")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")), lambda m, x: F.map_concat(F.map_filter(m, lambda k, _: k != x["h"]), F.create_map(x["h"], x["v"])))
-    return body.join(F.broadcast(header), F.lit(True)).select("row", later(F.col("header"), F.col("values")).alias("record"))
+    return body.join(header, key).join(totals, key).select(*key, "sheet", "row", record(F.col("header"), F.col("values")).alias("record"), "total_rows")

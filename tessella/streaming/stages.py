@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions import text
 from tessella.operators import chunking, rules
 from tessella.session import scratch_path
 
@@ -36,29 +37,39 @@ def run_stage(stream: DataFrame, sink: str, mark: str, stage: Callable[[DataFram
     stream.writeStream.foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
 
 
-def to_table(stream: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """The whole result of a stream over what there is, as a table in the shared folder."""
+def to_table(stream: DataFrame, label: str) -> DataFrame:
+    """What an appending stream gives for what there is, as a table in the shared folder."""
     spark = stream.sparkSession
     sink, mark = scratch_path(spark, label), scratch_path(spark, f"{label}-mark")
-    if mode == "append":
-        stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    else:
-        # Complete results replace each other; the last stays.
-        stream.writeStream.outputMode(mode).foreachBatch(lambda b, _: b.write.mode("overwrite").parquet(sink)).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.format("parquet").option("path", sink).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(sink)
 
 
 def chunk_stage(files: DataFrame) -> DataFrame:
     """Gate and chunk a batch of documents: good ones give chunks, short ones a failure row."""
-    short = F.length(F.coalesce("text", F.lit(""))) < 50
+    short = F.length(text.cleaned(F.coalesce("text", F.lit("")))) < 50
     chunks = chunking.chunked(files.where(~short), "doc_id").select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.lit("chunked").alias("status"), F.lit(None).cast("string").alias("failed_stage"))
-    failed = files.where(short).select("doc_id", F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("text"), F.lit("chunk_failed").alias("status"), F.lit("chunk").alias("failed_stage"))
-    return chunks.unionByName(failed)
+    failed = files.where(short).select("doc_id", F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("text"), F.lit("chunk_failed").alias("status"), *failure("chunk", F.concat(F.lit("only "), F.length(F.coalesce("text", F.lit(""))), F.lit(" characters of text"))))
+    return chunks.unionByName(failed, allowMissingColumns=True)
+
+
+def failure(stage: str, message: Column) -> list[Column]:
+    """What is kept of a failure: its stage, the first 2000 characters of its message, and its time."""
+    return [F.lit(stage).alias("failed_stage"), text.error_text(message).alias("last_error"), F.current_timestamp().alias("failed_at")]
+
+
+def figure_stage(files: DataFrame) -> DataFrame:
+    """What a batch gives beside its chunks: a caption for every image, or a failure that is the figure's alone."""
+    images = files.where(F.col("doc_id") % 6 == 5)
+    empty = F.length(F.trim(F.coalesce("text", F.lit("")))) == 0
+    good = images.where(~empty).select("doc_id", F.lit("captioned").alias("status"), text.figure_text(F.substring("text", 1, 40), F.lit("")).alias("caption"))
+    bad = images.where(empty).select("doc_id", F.lit("figure_failed").alias("status"), *failure("figures", F.lit("nothing to see")))
+    return good.unionByName(bad, allowMissingColumns=True)
 
 
 def summary_stage(chunks: DataFrame) -> DataFrame:
     """What the later stages see of a batch: chunks, characters and where a retry would resume."""
-    by = chunks.groupBy("doc_id").agg(F.max("status").alias("status"), F.max("failed_stage").alias("failed_stage"), F.count("text").alias("n_chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+    by = chunks.groupBy("doc_id").agg(F.max("status").alias("status"), F.max("failed_stage").alias("failed_stage"), F.max("last_error").alias("last_error"), F.count("text").alias("n_chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
     return by.withColumn("retry_status", F.when(rules.may_retry(F.col("status")), rules.retry(F.col("failed_stage"))["status"]))
 
 
@@ -69,13 +80,41 @@ def ingest(spark: SparkSession, documents: str) -> DataFrame:
     run_stage(read_stream(spark, first).drop("batch"), second, scratch_path(spark, "mark"), summary_stage)
     # A document whose chunks came in several batches has a row in each.
     rows = spark.read.parquet(second)
-    return rows.groupBy("doc_id").agg(F.max("status").alias("status"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_chars").alias("n_chars"), F.max("retry_status").alias("retry_status"))
+    return rows.groupBy("doc_id").agg(F.max("status").alias("status"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_chars").alias("n_chars"), F.max("retry_status").alias("retry_status"), F.max("last_error").alias("last_error"))
+
+
+def ingest_with_figures(spark: SparkSession, documents: str) -> DataFrame:
+    """Documents through the chunk stage, and through the figure stage as a stream of its own: (doc_id, status, figure_status).
+
+    The two have marks and sinks of their own, so figures that fail or lag hold nothing up.
+    """
+    first, other = scratch_path(spark, "chunks"), scratch_path(spark, "figures")
+    run_stage(read_stream(spark, documents), first, scratch_path(spark, "mark"), chunk_stage)
+    run_stage(read_stream(spark, documents), other, scratch_path(spark, "mark"), figure_stage)
+    status = spark.read.parquet(first).groupBy("doc_id").agg(F.max("status").alias("status"))
+    figures = spark.read.parquet(other).groupBy("doc_id").agg(F.max("status").alias("figure_status"))
+    return status.join(figures, "doc_id", "left")
+
+
+def timed(events: DataFrame, late: str) -> DataFrame:
+    return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
+
+
+def stage_counts(events: DataFrame, window: str = "1 day", slide: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Events by window (sliding, if ``slide`` is given) and type; state goes when the watermark passes a window."""
+    counts = timed(events, late).groupBy(F.window("at", window, slide).alias("w"), "event_type").agg(F.count("*").alias("n"))
+    return counts.select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
+    """Sessions of users, each when the watermark passes its end: what is still open is not given out."""
+    found = timed(events, late).groupBy(F.session_window("at", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
+    return found.select("user_id", F.col("w.start").alias("start"), "n")
 
 
-def stage_counts(events: DataFrame, window: str = "1 day", late: str = "1 hour") -> DataFrame:
-    """Events by window and type, with a watermark."""
-    timed = events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
-    return timed.groupBy(F.window("at", window).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
+def latest_status(changes: DataFrame) -> DataFrame:
+    """(user_id, status, n): the last change of each user so far, one state a user, whatever the order of arrival."""
+    return changes.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("status"), F.count("*").alias("n"))
 
 
 def first_deliveries(events: DataFrame, late: str = "2 days") -> DataFrame:
@@ -86,29 +125,33 @@ def first_deliveries(events: DataFrame, late: str = "2 days") -> DataFrame:
 def status_changes(events: DataFrame) -> DataFrame:
     """(user_id, changes, last_type): changes of type a user has had, by state kept per user.
 
-    A batch's rows of a user come in any order and are sorted by time within the batch.
+    A batch's rows of a user come in any order and are sorted by time within the batch; the size of a
+    batch is bounded by the source (``maxFilesPerTrigger``), and only time and type of a row are held.
     """
 
     def step(key, frames: Iterator[pd.DataFrame], state):
         changes, last = state.get if state.exists else (0, None)
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"])
-        for kind in rows["event_type"]:
-            changes += last is not None and kind != last
-            last = kind
+        held: list[pd.DataFrame] = []
+        for f in frames:
+            held.append(f[["ts", "event_id", "event_type"]])
+        rows = pd.concat(held).sort_values(["ts", "event_id"])
+        kinds = rows["event_type"]
+        changes += int((kinds != kinds.shift()).iloc[1:].sum()) + int(last is not None and kinds.iloc[0] != last)
+        last = kinds.iloc[-1]
         state.update((int(changes), last))
         yield pd.DataFrame({"user_id": [key[0]], "changes": [int(changes)], "last_type": [last]})
 
     return events.groupBy("user_id").applyInPandasWithState(step, "user_id long, changes long, last_type string", "changes long, last_type string", "update", "NoTimeout")
 
 
-def updates_to_table(stream: DataFrame, key: str, label: str) -> DataFrame:
+def updates_to_table(stream: DataFrame, keys: list[str], label: str) -> DataFrame:
     """Updates of a stateful stream, batch by batch; the last of each key."""
     spark = stream.sparkSession
     sink = scratch_path(spark, label)
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/n={number}")
+        batch.withColumn("__batch", F.lit(number)).write.mode("overwrite").parquet(f"{sink}/update={number}")
 
     stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", scratch_path(spark, f"{label}-mark")).trigger(availableNow=True).start().awaitTermination()
-    rest = [c for c in stream.columns if c != key]
-    return spark.read.parquet(sink).groupBy(key).agg(*[F.max_by(c, "__batch").alias(c) for c in rest])
+    rest = [c for c in stream.columns if c not in keys]
+    return spark.read.parquet(sink).groupBy(*keys).agg(*[F.max_by(c, "__batch").alias(c) for c in rest])

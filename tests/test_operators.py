@@ -40,8 +40,10 @@ def test_row_buckets(spark, limit, ranges):
     rows = spark.createDataFrame([("North", "1"), ("South", "2"), ("East", "3")], "a string, b string")
     lines = [r.v for r in rows.select(chunking.row_text(["Region", ""], F.array("a", "b")).alias("v")).collect()]
     assert lines[0] == "Region: North | Col2: 1"
-    sizes = F.array(*[F.lit(len("Region: North | Q1: 1") - d) for d in (0, 0, 1)])
-    assert [f"{b['first']}-{b['last']}" for b in one(spark, chunking.row_buckets(sizes, limit))] == ranges
+    sizes = spark.createDataFrame([("s", k, len("Region: North | Q1: 1") - d) for k, d in enumerate((0, 0, 1))] + [("t", 0, 5), (None, 1, 7)], "sheet string, k int, n int")
+    placed = chunking.row_buckets(sizes, ["sheet"], ["k"], "n", limit).groupBy("sheet", "bucket").agg(F.min("row").alias("a"), F.max("row").alias("b"))
+    assert [f"{r.a}-{r.b}" for r in placed.where("sheet = 's'").orderBy("bucket").collect()] == ranges
+    assert [(r.a, r.b) for r in placed.where("sheet = 't' or sheet is null").collect()] == [(2, 2), (2, 2)]
 
 
 def test_keywords(spark):
@@ -163,8 +165,85 @@ def test_files(spark, tmp_path):
     texts = {r.filename: (r.content_text, r.needs_ocr) for r in files.with_text(found).collect()}
     assert texts["a.docx"] == ("Hello\tyou\n\n\n\n", False) and texts["b.TXT"] == ("plain é", False) and texts["c.pdf"] == ("", True)
     assert [(r.figure, r.width, r.height) for r in files.figures(found).orderBy("figure").collect()] == [(1, 120, 130), (2, 200, 150)]
-    rows = files.sheet_rows(spark, str(tmp_path / "d.csv"))
-    assert [(r.row, r["values"]) for r in rows.collect()] == [(1, ["Name", "Name", ""]), (2, ["x", "1", "2"]), (3, ["y", "3", ""])]
+    rows = files.sheets(found)
+    assert [(r.row, r["values"]) for r in rows.orderBy("row").collect()] == [(1, ["Name", "Name", ""]), (2, ["x", "1", "2"]), (3, ["y", "3", ""])]
+    assert {r.total_rows for r in files.sheet_preview(rows, 1).collect()} == {2} and files.sheet_preview(rows, 1).count() == 1
     assert {r.row: r.record for r in files.sheet_preview(rows).collect()} == {2: {"Name": "1", "": "2"}, 3: {"Name": "3", "": ""}}
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x0b\x08\x00\x20\x00\x40" + b"x" * 9000 + b"\xff\xd9"
     assert files.carved_jpegs(b"__" + jpeg + b"\xff\xd8\xffsmall\xff\xd9") == [jpeg] and files.image_size(jpeg) == (64, 32)
+
+
+def workbook():
+    """Two sheets and one of a header alone: shared, inline, logical and skipped cells, a blank row."""
+    main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    sheet = lambda rows: f'<worksheet xmlns="{main}"><sheetData>{rows}</sheetData></worksheet>'
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rel}"><sheets><sheet name="Sales" sheetId="1" r:id="rId2"/><sheet name="Bare" sheetId="2" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet2.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}"><si><t>Region</t></si><si><r><t>No</t></r><r><t>rth</t></r></si></sst>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet('<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1" t="inlineStr"><is><t>Open</t></is></c></row><row r="2"><c r="A2" t="s"><v>1</v></c><c r="B2"><v>12.5</v></c><c r="C2" t="b"><v>1</v></c></row><row r="3"><c r="A3"/></row><row r="5"><c r="B5"><v>7</v></c></row>'))
+        z.writestr("xl/worksheets/sheet2.xml", sheet('<row r="1"><c r="A1" t="inlineStr"><is><t> Only </t></is></c></row>'))
+    return out.getvalue()
+
+
+def test_workbooks_and_damaged_files(spark, tmp_path):
+    (tmp_path / "a.xlsx").write_bytes(workbook())
+    (tmp_path / "b.xlsx").write_bytes(b"PK broken")
+    (tmp_path / "c.txt").write_bytes("caf\xe9 au lait".encode("latin-1"))
+    (tmp_path / "d.csv").write_bytes(b"a\xff,b\n1,2\n")
+    found = files.read_files(spark, str(tmp_path))
+    texts = {r.filename: r.content_text for r in files.with_text(found).collect()}
+    assert texts["c.txt"] == "caf\ufffd au lait" and texts["b.xlsx"] == "" and texts["d.csv"] == "## Sheet: Sheet1\nColumns: a\ufffd, b\n\na\ufffd: 1 | b: 2"
+    assert texts["a.xlsx"] == "## Sheet: Sales\nColumns: Region, , Open\n\nRegion: North | Col2: 12.5 | Open: TRUE\nRegion:  | Col2: 7 | Open: \n\n## Sheet: Bare\nColumns: Only"
+    sheets = files.sheets(found)
+    chunks = {(r.path.rpartition("/")[2], r.place, r.chunk): (r.row_range, r.text) for r in chunking.sheet_chunks(sheets, 40).collect()}
+    head = "Workbook: a.xlsx\nSheet: Sales\nColumns: Region, , Open\n\nRows "
+    assert chunks["a.xlsx", 0, 0] == ("2-2", head + "2-2\n\nRegion: North | Col2: 12.5 | Open: TRUE") and chunks["a.xlsx", 0, 1] == ("3-3", head + "3-3\n\nRegion:  | Col2: 7 | Open: ")
+    assert chunks["a.xlsx", 1, 0] == (None, "Workbook: a.xlsx\nSheet: Bare\nColumns: Only\n\n(No data rows)") and len(chunks) == 4
+
+
+def test_pdf_images_come_in_page_order():
+    jpeg = lambda n: b"\xff\xd8\xff\xe0\x00\x04ab" + bytes([n]) * 9000 + b"\xff\xd9"
+    image = lambda k, n: b"%d 0 obj << /Type /XObject /Subtype /Image /Filter /DCTDecode >> stream\n" % k + jpeg(n) + b"\nendstream endobj\n"
+    page = lambda k, names: b"%d 0 obj << /Type /Page /Resources << /XObject << %b >> >> >> endobj\n" % (k, names)
+    data = b"%PDF-1.4\n" + image(9, 1) + image(8, 2) + image(7, 3) + page(1, b"/B 7 0 R /A 8 0 R") + b"2 0 obj << /Type /Pages >> endobj\n" + page(3, b"/C 9 0 R /B 7 0 R")
+    assert files.pdf_images(data) == [(1, jpeg(3)), (1, jpeg(2)), (2, jpeg(1)), (2, jpeg(3))]
+    assert files.pdf_images(b"%PDF" + jpeg(5)) == [(1, jpeg(5))]
+
+
+def test_names_are_found_wherever_they_stand(spark):
+    names = spark.createDataFrame([("a.pdf",), ("A.pdf",), ("Q3 report, (v2).PDF",), ("b.txt",)], "filename string")
+    rows = spark.createDataFrame([(1, "See a.pdf, and a.pdf."), (2, "in the Q3 report, (v2).PDF!"), (3, "no name .pdf"), (4, None), (5, "xb.txt")], "id long, answer string")
+    found = sorted(tuple(r) for r in lexical.with_names(rows, "answer", names, "filename").select("id", "filename").collect())
+    assert found == [(1, "a.pdf"), (2, "Q3 report, (v2).PDF"), (5, "b.txt")]
+
+
+def test_names_sort_by_language(spark):
+    """The order of a collation: accents and capitals do not part words of equal letters."""
+    from tessella.plans.relations import book
+
+    rows = book.queries["sorted_by_locale"](spark, "/root/testdata/sf0.001").collect()
+    key = lambda r: [str(v).casefold() for v in r if isinstance(v, str)]
+    assert rows and [key(r) for r in rows] == sorted(key(r) for r in rows)
+    words = spark.createDataFrame([("zebra",), ("\u00c9clair",), ("eclair",), ("apple",), ("Zoo",)], "w string")
+    assert [r.w for r in words.orderBy(F.collate("w", "fr"), "w").collect()][0] == "apple" and [r.w for r in words.orderBy(F.collate("w", "fr")).collect()][-1] == "Zoo"
+
+
+def test_online_topics_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = [(rng.randrange(3), k, [rng.gauss(0, 1) for _ in range(3)]) for k in range(150)]
+    found = {r.id: (r.topic, r.confidence) for r in topics.online(spark.createDataFrame(rows, "project long, id long, v array<double>"), "project", "id", "v", 0.6).collect()}
+    now = {}
+    for project, k, v in rows:
+        best = None
+        for name, members in now.setdefault(project, {}).items():
+            mean = [sum(x) / len(members) for x in zip(*members, strict=True)]
+            dot, a, b = sum(x * y for x, y in zip(mean, v, strict=True)), sum(x * x for x in mean) ** 0.5, sum(x * x for x in v) ** 0.5
+            if best is None or (dot / (a * b), len(members)) > best[:2]:
+                best = (dot / (a * b), len(members), name)
+        name, sure = (best[2], best[0]) if best and best[0] >= 0.6 else (k, 0.0)
+        now[project].setdefault(name, []).append(v)
+        assert found[k] == (name, pytest.approx(sure))
