@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the documents of the next. All but the last return the columns of documents.
+
+Defined cases: a document with a null or empty text fails the base rule and goes in the first stage;
+rows with a null doc_id pass the second and third stage as they are; repeated rows of a document
+become one in the second; an empty table gives empty tables; further columns pass through until the
+last stage, which returns pieces. Each stage judges its own input only.
 """
 
 from __future__ import annotations

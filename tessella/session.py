@@ -50,15 +50,21 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (one-machine tests) is a temporary one made and set.
+    Only on one machine, where driver and tasks are one process, does a temporary one stand in for it;
+    a cluster that names none is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _OWN.get(context.applicationId) or _OWN.setdefault(context.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return folder.rstrip("/")
 
 
@@ -74,13 +80,12 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def discard(df: DataFrame) -> None:
-    """Delete a table that ``materialise`` wrote and that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/tessella/" in name:
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete a table that ``materialise`` gave and that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written_at)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
