@@ -3,6 +3,9 @@
 Each step replaces the edges of a node by edges to the smallest neighbour, with one
 aggregation and one join; the number of rounds grows with the logarithm of the longest path.
 Every round is a written table, so a lost executor costs a re-read.
+
+Defined cases: edges of a node with itself and repeated edges count as none and one; an edge with a
+null end is left out; without edges there are no components; other columns are left out.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ similarity is at least ``percent`` / 100. The result is each document's componen
    documents last. Two linked sets share a shingle among the first ``n - ceil(t n) + 1`` of each,
    so only these are keys. A set with few very common shingles needs fewer: at 0.75 each of
    the first shingles of the union is shared with a chance of over 0.7, hashes being random,
-   so the first KEYS of both miss a link with a chance below 0.3 ** 24 < 1e-12.
+   so the first KEYS of both miss a link with a chance below 0.3 ** 24 < 1e-12. With ``exact`` every
+   set has all its keys, and no link can be missed (some three times the keys).
 3. In each key group the most central member, that with the most companions over all its
    keys, leads; every member is tested against its leaders. Groups of copies of one text, however
    large, are linked so by one pair a member.
@@ -98,12 +99,12 @@ def bitmap(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(out, bitorder="little").view(U64)
 
 
-def key_count(n: int, light: int, percent: int) -> int:
-    exact = n - -(-percent * n // 100) + 1
-    return KEYS if exact > KEYS and 10 * light >= 9 * n else exact
+def key_count(n: int, light: int, percent: int, exact: bool = False) -> int:
+    most = n - -(-percent * n // 100) + 1
+    return KEYS if most > KEYS and 10 * light >= 9 * n and not exact else most
 
 
-def _signatures(common, percent: int):
+def _signatures(common, percent: int, exact: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = common.value
         for whole in batches:
@@ -113,7 +114,7 @@ def _signatures(common, percent: int):
                     at = np.searchsorted(heavy, s)
                     is_heavy = (heavy[np.minimum(at, len(heavy) - 1)] == s) if len(heavy) else np.zeros(len(s), dtype=bool)
                     ordered = np.concatenate([s[~is_heavy], s[is_heavy]])
-                    keys = ordered[: key_count(len(s), int((~is_heavy).sum()), percent)] if len(s) else s
+                    keys = ordered[: key_count(len(s), int((~is_heavy).sum()), percent, exact)] if len(s) else s
                     out.append((len(s), *textcore.set_digest(s), keys.view(np.int64), bitmap(s).tobytes()))
                 columns = list(zip(*out, strict=True))
                 kinds = (pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary())
@@ -244,11 +245,11 @@ def with_texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return one.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").select("a", "b", "ta", "tb")
 
 
-def signatures(docs: DataFrame, percent: int = 75) -> DataFrame:
+def signatures(docs: DataFrame, percent: int = 75, exact: bool = False) -> DataFrame:
     """One row per document with a doc_id (SETS), a written table."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     common = docs.sparkSession.sparkContext.broadcast(very_common(own))
-    return materialise(own.where("doc_id is not null").mapInArrow(_signatures(common, percent), SETS), "signatures")
+    return materialise(own.where("doc_id is not null").mapInArrow(_signatures(common, percent, exact), SETS), "signatures")
 
 
 def links(classes: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -288,9 +289,9 @@ def links(classes: DataFrame, docs: DataFrame, percent: int = 75) -> DataFrame:
     return components.connected(first.unionByName(second))
 
 
-def join(docs: DataFrame, percent: int = 75) -> DataFrame:
+def join(docs: DataFrame, percent: int = 75, exact: bool = False) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
-    every = signatures(docs, percent)
+    every = signatures(docs, percent, exact)
     same = ["n_shingles", "d1", "d2"]
     classes = materialise(every.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "classes")
     reps = materialise(every.join(classes.select("rep").distinct(), every["doc_id"] == F.col("rep"), "inner").select("rep", "n_shingles", "keys", "bits").dropDuplicates(["rep"]), "representatives")
@@ -301,9 +302,9 @@ def join(docs: DataFrame, percent: int = 75) -> DataFrame:
     return out.unionByName(lost)
 
 
-def keep_one(docs: DataFrame, percent: int = 75) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = 75, exact: bool = False) -> DataFrame:
     """The documents of the smallest doc_id of their component, and those without a doc_id."""
-    kept = join(docs, percent).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+    kept = join(docs, percent, exact).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
     chosen = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
     return chosen.unionByName(docs.where("doc_id is null"))

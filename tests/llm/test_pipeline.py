@@ -36,3 +36,19 @@ def test_pipeline_equals_brute_force(spark, data):
     for r in out:
         found[r.doc_id] = found.get(r.doc_id, 0) + r.length
     assert found == lengths
+
+
+def test_stages_on_odd_tables(spark, data):
+    """Null ids and texts, repeated rows, a long text, clashing columns, and no rows at all."""
+    long = " ".join(f"word{k * k % 7919}" for k in range(9000))
+    plain = " ".join(f"text{k * k % 997}" for k in range(120))
+    rows = [(1, plain, "en", "s", 1, "x"), (1, plain, "en", "s", 1, "x"), (None, plain + " more", None, "s", 2, "y"), (3, None, "en", None, None, "z"), (4, "", "fr", "s", 0, None), (5, long, "de", "s", 3, "w")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, length string")
+    for table, left in ((docs, {"1", "None", "5"}), (docs.limit(0), set())):
+        state = table
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            state = stage(spark, state, data)
+            assert state.columns == table.columns
+        assert {str(r.doc_id) for r in state.collect()} == left
+        pieces = corpus_pipeline.STAGES[-1][1](spark, state, data)
+        assert {str(r.doc_id) for r in pieces.collect()} == left
