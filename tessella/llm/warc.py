@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import uuid
 import zlib
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from tessella.session import materialise, scratch_path
 
 DATE = "2024-01-01T00:00:00Z"
+INDEX_ROWS = 10_000
 PIECE = 1 << 20
 INDEX = "path string, offset long, length long, page_id long, record_type string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, intact boolean"
@@ -185,35 +187,39 @@ def archive(pages: DataFrame, folder: str, min_revisit_bytes: int = 0, level: in
 
 
 def normalise(paths: DataFrame, level: int = 5) -> DataFrame:
-    """Rewrite monolithic archives, one task a file; returns the index of all records, a written table.
+    """Rewrite monolithic archives, one task a file and record by record; returns the index of all records, a written table.
 
     Beside ``raw-n.warc.gz`` come ``n.warc.gz``, a gzip member for every record, and its
     sidecar ``n.idx``, a JSON line for each: offset, length, page and type.
     """
 
+    names, kinds = ["path", "offset", "length", "page_id", "record_type"], (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+
+    def rewritten(uri: str) -> Iterator[tuple]:
+        target = uri.replace("/raw-", "/")
+        with open_archive(uri) as source, SafeFile(target) as out, SafeFile(target.removesuffix(".warc.gz") + ".idx") as sidecar:
+            at = 0
+            for record in records_of(source):
+                fields = parse_head(record[: record.index(b"\r\n\r\n")])
+                deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
+                member = deflate.compress(record) + deflate.flush()
+                out.write(member)
+                page = fields.get("x-page-id")
+                page = int(page) if page else None
+                sidecar.write((json.dumps({"offset": at, "length": len(member), "page_id": page, "type": fields["warc-type"]}) + "\n").encode())
+                yield target, at, len(member), page, fields["warc-type"]
+                at += len(member)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uri in batch.column(0).to_pylist():
-                target = uri.replace("/raw-", "/")
-                lines = []
-                with open_archive(uri) as source, SafeFile(target) as out:
-                    at = 0
-                    for record in records_of(source):
-                        fields = parse_head(record[: record.index(b"\r\n\r\n")])
-                        deflate = zlib.compressobj(level, zlib.DEFLATED, 31)
-                        member = deflate.compress(record) + deflate.flush()
-                        out.write(member)
-                        page = fields.get("x-page-id")
-                        lines.append((target, at, len(member), int(page) if page else None, fields["warc-type"]))
-                        at += len(member)
-                with SafeFile(target.removesuffix(".warc.gz") + ".idx") as sidecar:
-                    for _, offset, length, page, kind in lines:
-                        sidecar.write((json.dumps({"offset": offset, "length": length, "page_id": page, "type": kind}) + "\n").encode())
-                columns = list(zip(*lines, strict=True)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["path", "offset", "length", "page_id", "record_type"])
-
-    files = paths.count()
-    return materialise(paths.repartition(max(1, files)).mapInArrow(run, INDEX), "index")
+                rows = rewritten(uri)
+                while some := list(itertools.islice(rows, INDEX_ROWS)):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
+
+    files = max(1, paths.count())
+    numbered = paths.select("path", (F.row_number().over(Window.orderBy("path")) - 1).alias("n"))  # one row an archive
+    return materialise(numbered.repartitionById(files, "n").select("path").mapInArrow(run, INDEX), "index")
 
 
 def read_back(index: DataFrame) -> DataFrame:
