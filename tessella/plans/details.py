@@ -255,7 +255,7 @@ def _(t):
     return mutations.inserted(now, t.supplier.select((F.col("s_suppkey") + 1000000).alias("id"), F.col("s_name").alias("name")), {"kind": "new"})
 
 
-@query("figure_chunks", "SELECT l_orderkey AS doc, 1000000 + l_linenumber AS chunk_index, CASE WHEN any_value(l_orderkey) % 2 = 0 THEN 'caption ' || max(l_partkey) ELSE 'old' END AS content FROM lineitem GROUP BY l_orderkey, l_linenumber")
+@query("figure_chunks", "SELECT l_orderkey AS doc, 1000000 + l_linenumber::BIGINT AS chunk_index, CASE WHEN any_value(l_orderkey) % 2 = 0 THEN 'caption ' || max(l_partkey) ELSE 'old' END AS content FROM lineitem GROUP BY l_orderkey, l_linenumber")
 def _(t):
     """Captions go to chunks of their own numbers; a caption that comes again replaces the one before."""
     place = ["doc", "chunk_index"]
