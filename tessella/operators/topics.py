@@ -92,6 +92,40 @@ def blended(docs: DataFrame, topics: DataFrame, key: str, k: int) -> DataFrame:
     return ranked.select(key, "b.topic", (-F.col("b.s")).alias("blended"), "rank")
 
 
+class _Topics:
+    """The topics of a project so far: sums and unit vectors in arrays that double when they are full."""
+
+    def __init__(self, width: int):
+        self.names: list = []
+        self.counts = np.zeros(16, dtype=np.int64)
+        self.sums, self.units = np.zeros((16, width)), np.zeros((16, width))
+
+    def add(self, key, x: np.ndarray, threshold: float) -> tuple:
+        """(topic, confidence) of a document, which joins the topic or makes one."""
+        n, size = len(self.names), float(np.linalg.norm(x))
+        if n and size:
+            score = self.units[:n] @ (x / size)
+        else:
+            score = np.zeros(n)
+        if n:
+            best = score.max()
+            first = max(np.flatnonzero(score == best).tolist(), key=lambda i: (self.counts[i], -i))
+            if score[first] >= threshold:
+                self._put(first, x)
+                return self.names[first], float(score[first])
+        if n == len(self.counts):
+            self.counts, self.sums, self.units = (np.concatenate([a, np.zeros_like(a)]) for a in (self.counts, self.sums, self.units))
+        self.names.append(key)
+        self._put(n, x)
+        return key, 0.0
+
+    def _put(self, i: int, x: np.ndarray) -> None:
+        self.sums[i] += x
+        self.counts[i] += 1
+        size = np.linalg.norm(self.sums[i])
+        self.units[i] = self.sums[i] / size if size else 0.0
+
+
 def online(docs: DataFrame, project: str, key: str, vector: str, threshold: float = ASSIGN) -> DataFrame:
     """(project, key, topic, confidence) of documents that arrive in the order of their key.
 
@@ -102,27 +136,14 @@ def online(docs: DataFrame, project: str, key: str, vector: str, threshold: floa
     schema = docs.select(project, key, F.col(key).alias("topic"), F.lit(0.0).alias("confidence")).schema
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, names, sums, counts = object(), [], np.zeros((0, 0)), np.zeros(0, dtype=np.int64)
+        now, topics = object(), None
         for f in frames:
             out = []
             for p, k, v in zip(f[project], f[key], f[vector], strict=True):
                 x = np.asarray(v, dtype=np.float64)
                 if p != now:
-                    now, names, sums, counts = p, [], np.zeros((0, len(x))), np.zeros(0, dtype=np.int64)
-                score = np.zeros(0)
-                if len(names):
-                    mean = sums / counts[:, None]
-                    scale = np.linalg.norm(mean, axis=1) * np.linalg.norm(x)
-                    score = np.divide(mean @ x, scale, out=np.zeros(len(names)), where=scale > 0)
-                    first = np.lexsort((np.arange(len(names)), -counts, -score))[0]
-                if len(names) and score[first] >= threshold:
-                    sums[first] += x
-                    counts[first] += 1
-                    out.append((p, k, names[first], float(score[first])))
-                else:
-                    names.append(k)
-                    sums, counts = np.vstack([sums, x]), np.append(counts, 1)
-                    out.append((p, k, k, 0.0))
+                    now, topics = p, _Topics(len(x))
+                out.append((p, k, *topics.add(k, x, threshold)))
             yield pd.DataFrame(out, columns=[project, key, "topic", "confidence"])
 
     return docs.select(project, key, vector).repartition(project).sortWithinPartitions(project, key).mapInPandas(run, schema)
