@@ -12,7 +12,7 @@ Paths at or above ``threshold`` of the greatest ratio, and at least FLOOR, are c
 main element is the lowest one that holds all text of the content paths, but none below an article or
 main element. The paths inside it that no name lowers count as content too (so headings, captions and
 short paragraphs stay), as does a first heading before it. Where the main element is the body itself, that goes for
-headings, and for what lies between content and is not mostly links.
+headings, and for what lies between the first heading or content and the last content and is not mostly links.
 
 A class or id names boilerplate if all parts of one of its words are boilerplate names or usual
 companions of them (``ad-box``, ``site-footer``), never with a word such as ``no`` or ``has``; it says nothing of
@@ -278,15 +278,16 @@ def main_text(source: str, limits: Limits | None = None) -> str:
     first = page.inherited([t == "h1" for t in page.tag])
     whole = page.article[main] or page.tag[main] not in ("#", "html", "body")
     content = [k for k, (e, _, _) in enumerate(page.texts) if paths.of[e] in paths.content]
-    titled = any(first[e] and inside[e] and not low[e] and not t.isspace() for e, _, t in page.texts)
+    titles = [k for k, (e, _, t) in enumerate(page.texts) if first[e] and inside[e] and not low[e] and not t.isspace()]
+    begin = min(content[0], titles[0]) if titles else content[0]
 
     def counts(k: int, e: int) -> bool:
         """Whether a text node that no name lowers belongs to the main text though its path's own ratio is small."""
-        if first[e] and not titled and k < content[0]:
+        if first[e] and not titles and k < content[0]:
             return True
         if not inside[e]:
             return False
-        return whole or heading[e] or (content[0] < k < content[-1] and paths.links.get(paths.of[e], 0.0) < 0.5)
+        return whole or heading[e] or (begin < k < content[-1] and paths.links.get(paths.of[e], 0.0) < 0.5)
 
     blocks: dict[int, list[str]] = {}
     for k, (element, block, text) in enumerate(page.texts):

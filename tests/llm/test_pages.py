@@ -111,6 +111,7 @@ def test_main_text_of_nested_pages(source, text):
     (f"<article><div class='article-header'><h1>Title</h1></div><p>{LONG}</p><p class='related-note'>A note, to keep.</p></article>", ["Title", LONG.strip(), "A note, to keep."]),
     (f"<body><div class='title'><h1>Title</h1></div><div class='text'><p>{LONG}</p></div><div class='site-footer'>All that, and more.</div></body>", ["Title", LONG.strip()]),
     (f"<body><ul><li><a href='/a'>One</a><li><a href='/b'>Two</a></ul><h1>Title</h1><p>{LONG}</p><ul><li>Short</li></ul><p>{LONG}</p><div class='cookie-notice'>We use them, too.</div></body>", ["Title", LONG.strip(), "Short", LONG.strip()]),
+    (f"<body><ul><li><a href='/a'>One</a></ul><h1>Title</h1><p><b>Brief lead</b></p><p>{LONG}</p><p>{LONG}</p></body>", ["Title", "Brief lead", LONG.strip(), LONG.strip()]),
     ("<body><nav><a href='/'>Home</a></nav><div class='comment-list'><p>Only readers, here.</p></div><footer>End.</footer></body>", []),
     (f"<body><div class='user-comments'><p>{LONG}</p></div><div><p>An article, and no long one.</p></div></body>", ["An article, and no long one."]),
     (f"<main><p>{LONG}</p><p><a href='/x'>A link to read, alone</a></p></main><div><p>Beside it, in a box.</p></div>", [LONG.strip(), "A link to read, alone"]),
