@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.session import table
 
-from . import chat, fingerprints, htmltext, jaccard, licenses, packing, pieces, quality, substrings, warc
+from . import chat, fingerprints, htmltext, jaccard, licenses, packing, pieces, quality, repair, substrings, warc
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +59,11 @@ def op10_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    conversations = table(spark, folder, "conversations")
+    return repair.report(conversations, repair.damage(conversations))
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
@@ -70,6 +75,7 @@ QUERIES = {
     "op8_html_extraction": op8_html_extraction,
     "op9_license_scans": op9_license_scans,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 
@@ -80,4 +86,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality.verdicts_sql(), "op2_chat_formatting": chat.formatted_sql(), "op9_license_scans": licenses.scan_sql()}
+    return {"op1_quality_rules": quality.verdicts_sql(), "op2_chat_formatting": chat.formatted_sql(), "op9_license_scans": licenses.scan_sql(), "op11_conversation_repair": repair.report_sql()}
