@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.session import table
 
-from . import chat, fingerprints, htmltext, jaccard, licenses, packing, pieces, quality, repair, substrings, warc
+from . import chat, fingerprints, htmltext, jaccard, kernel, licenses, packing, pieces, quality, repair, resample, substrings, warc
 
 
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +64,15 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     return repair.report(conversations, repair.damage(conversations))
 
 
+def op12_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return kernel.classify(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    out = resample.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_chat_formatting": op2_chat_formatting,
@@ -76,6 +85,8 @@ QUERIES = {
     "op9_license_scans": op9_license_scans,
     "op10_best_fit_packing": op10_best_fit_packing,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_quality_classifier": op12_quality_classifier,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 
@@ -86,4 +97,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_quality_rules": quality.verdicts_sql(), "op2_chat_formatting": chat.formatted_sql(), "op9_license_scans": licenses.scan_sql(), "op11_conversation_repair": repair.report_sql()}
+    return {"op1_quality_rules": quality.verdicts_sql(), "op2_chat_formatting": chat.formatted_sql(), "op9_license_scans": licenses.scan_sql(), "op11_conversation_repair": repair.report_sql(), "op13_importance_resampling": resample.resample_sql()}
