@@ -58,7 +58,7 @@ def test_equals_brute_force_whatever_the_layout(spark):
 
 
 def test_sql_equals_brute_force():
-    docs = [d for d in DOCS if "\0" not in (d[1] or "")]
+    docs = [(k, t and t.replace("w" * 69_000, "").replace("é" * 39_000, "")) for k, t in DOCS]  # SQL takes a step a byte
     con = duckdb.connect()
     con.register("d", pd.DataFrame(docs, columns=["doc_id", "text"]).astype({"doc_id": "Int64"}))
     con.register("b", pd.DataFrame({"text": TARGET}))
