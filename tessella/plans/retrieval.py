@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text, vectors
 from tessella.operators import charts, lexical, search, topics
+from tessella.operators.vector_index import VectorIndex, recall
 
 from .base import FILES, Book
 from .texts import FOLD, KEYWORDS
@@ -185,6 +186,30 @@ def _(t):
     return out.select("query", "id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def _asked(t):
+    return t.embeddings.where("vec_id % 100 = 0")
+
+
+@query("vector_index_top20")
+def _(t):
+    """Approximate neighbours from a written index of all vectors, of which a reader may see some."""
+    index = VectorIndex.build(t.embeddings, "vec_id", "embedding", ("label",))
+    return index.search(_asked(t), "vec_id", "embedding", 20, (F.col("label") % 2 == 0) | (F.col("id") % 5 == 0))
+
+
+@query("vector_index_recall", """SELECT (SELECT count(*) FROM embeddings) AS n_indexed, count(*) AS n_queries, true AS recalled, true AS only_allowed FROM embeddings WHERE vec_id % 100 = 0""")
+def _(t):
+    """Against the exact search: rows in the index, queries, whether nine of ten neighbours are found, and nothing that is not allowed."""
+    index = VectorIndex.build(t.embeddings, "vec_id", "embedding", ("label",))
+    plain = recall(index.search(_asked(t), "vec_id", "embedding", 20), search.cosine_topk(t.embeddings, _asked(t), "vec_id", "embedding", k=20))
+    allowed = t.embeddings.where("label % 2 = 0 or vec_id % 5 = 0")
+    seen = index.search(_asked(t), "vec_id", "embedding", 20, (F.col("label") % 2 == 0) | (F.col("id") % 5 == 0))
+    part = recall(seen, search.cosine_topk(allowed, _asked(t), "vec_id", "embedding", k=20)).select(F.col("recall").alias("part"))
+    strangers = seen.join(allowed.select(F.col("vec_id").alias("id")), "id", "left_anti").agg(F.count("*").alias("strangers"))
+    size = index.rows.agg(F.count_distinct("id").alias("n_indexed"))
+    return plain.crossJoin(part).crossJoin(strangers).crossJoin(size).select("n_indexed", F.col("queries").alias("n_queries"), ((F.col("recall") >= 0.9) & (F.col("part") >= 0.9)).alias("recalled"), (F.col("strangers") == 0).alias("only_allowed"))
+
+
 def specs(t):
     """A chart specification for every event type: events by day; some damaged on purpose."""
     days = t.events.groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))
