@@ -1,9 +1,14 @@
-"""Lexical search: token tables and BM25 top-k."""
+"""Lexical search: token tables, BM25 top-k, and names that texts contain."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions import text
 from tessella.session import materialise
@@ -43,20 +48,76 @@ def bm25(chunks: DataFrame, questions: DataFrame, key: str, query: str, k: int =
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-#: File endings that names of uploads have.
-ENDINGS = "pdf|txt|docx|xlsx|xls|csv|png|jpe?g|gif|webp|bmp"
+#: Names, and letters in all, up to which every task holds an automaton of all names; more meet the texts by rare stretches.
+NAMES, LETTERS = 200_000, 8_000_000
+#: Letters of a stretch by which a name of a larger table is found.
+GRAM = 6
 
 
-def with_names(rows: DataFrame, column: str, files: DataFrame, name: str) -> DataFrame:
-    """The rows (without the text) with each file name that their text contains, once each.
+def with_names(rows: DataFrame, column: str, files: DataFrame, name: str, most: int = NAMES) -> DataFrame:
+    """The rows (without the text) with each name of ``files`` that their text contains, once each.
 
-    Every stretch of the text that ends with a known file ending, and has the length of some name,
-    is a candidate, and candidates meet names by equality; no text is tried against all files.
-    Names need one of the ENDINGS, in any case.
+    A name is any text, found as it is; an empty or null one is in no text. Up to ``most`` names of LETTERS letters
+    in all go to every task as an automaton, which reads each text once. Beyond that, see ``_by_stretches``.
     """
-    lengths = files.select(F.length(name).alias("n")).agg(F.array_sort(F.collect_set("n")).alias("__lengths"))  # at most as many as the longest name has letters
-    ends = F.filter(F.sequence(F.lit(1), F.length(column)), lambda i: F.rlike(F.substr(F.col(column), F.greatest(i - 5, F.lit(1)), F.least(i, F.lit(6))), F.lit(rf"(?i)\.({ENDINGS})$")))
+    names = files.select(name).where(F.length(name) > 0).distinct()
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(name)), F.lit(0)).alias("letters")).first()
     rest = [c for c in rows.columns if c != column]
-    placed = rows.where(F.rlike(F.col(column), F.lit(rf"(?i)\.({ENDINGS})"))).select(*rest, column, F.explode(ends).alias("__end")).join(F.broadcast(lengths), F.lit(True))
-    cut = F.transform(F.filter("__lengths", lambda n: n <= F.col("__end")), lambda n: F.substr(F.col(column), F.col("__end") - n + 1, n))
-    return placed.select(*rest, F.explode(cut).alias(name)).join(files.select(name).distinct(), name, "left_semi").distinct()
+    if size["n"] > most or size["letters"] > LETTERS:
+        return _by_stretches(rows, column, names, name).select(*rest, name).distinct()
+    shared = rows.sparkSession.sparkContext.broadcast([r[0] for r in names.collect()])
+    schema = T.StructType([*[rows.schema[c] for c in rest], T.StructField(name, T.StringType())])
+    return rows.select(*rest, column).mapInArrow(_find_task(shared), schema).distinct()
+
+
+def _find_task(shared):
+    """The columns before the last, once for each name that the last holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = ahocorasick.Automaton()
+        for x in shared.value:
+            automaton.add_word(x, x)
+        automaton.make_automaton()
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column(batch.num_columns - 1).to_pylist() if len(automaton) else []):
+                held = sorted({x for _, x in automaton.iter(text)}) if text else []
+                at += [i] * len(held)
+                found += held
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.array(found, pa.string())], names=[*batch.schema.names[:-1], "name"])
+
+    return run
+
+
+def _stretch_task(lengths: list[int] | None):
+    """(key, stretch) of each row (key, text): all stretches of those lengths, or without any of GRAM letters or else the whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column(1).to_pylist()):
+                text = text or ""
+                held = list({text[at : at + n] for n in lengths or [min(GRAM, len(text))] for at in range(len(text) - n + 1)})
+                for at in range(0, len(held), 10_000):
+                    part = held[at : at + 10_000]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([i] * len(part), pa.int64())), pa.array(part, pa.string())], names=["key", "stretch"])
+
+    return run
+
+
+def _by_stretches(rows: DataFrame, column: str, names: DataFrame, name: str) -> DataFrame:
+    """The rows with the names that they hold, for names too many for one task.
+
+    A name's key is that stretch of GRAM letters (a shorter name's: all of it) which the fewest names have. Texts
+    and names meet by keys alone; each candidate is then looked for in its text, which travels once more.
+    """
+    grams = names.select(F.col(name).alias("key"), F.col(name).alias("text")).mapInArrow(_stretch_task(None), "key string, stretch string")
+    rare = grams.groupBy("stretch").agg(F.count("*").alias("n"))
+    keys = materialise(grams.join(rare, "stretch").groupBy("key").agg(F.min(F.struct("n", "stretch")).alias("k")).select(F.col("key").alias(name), "k.stretch"), "name-keys")
+    lengths = [r["n"] for r in keys.select(F.length("stretch").alias("n")).distinct().collect()]  # GRAM at most
+    numbered = materialise(rows.withColumn("__row", F.monotonically_increasing_id()), "named-texts")
+    if not lengths:
+        return numbered.withColumn(name, F.lit(None).cast("string")).limit(0)
+    held = numbered.select("__row", column).mapInArrow(_stretch_task(lengths), "key long, stretch string")
+    tried = held.join(keys, "stretch").select(F.col("key").alias("__row"), name).distinct()
+    return numbered.join(tried, "__row").where(F.contains(F.col(column), F.col(name)))

@@ -6,11 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import parse, text, vectors
-from tessella.operators import charts, mutations, rules, search, topics
+from tessella.operators import charts, lexical, mutations, rules, search, topics
 from tessella.sources import files
 
 from .base import FILES, Book
-from .retrieval import COSINE, MEANS
+from .retrieval import ANSWERS, COSINE, MEANS, NAMED, answers, named_files
 
 book = Book()
 query = book.query
@@ -191,10 +191,12 @@ def _(t):
     return search.merged([found("F"), found("O")], 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("citation_departments", f"WITH {FILES} SELECT c.conv_id, c.turn, f.filename, n.n_name AS department FROM conversations c JOIN files f ON f.doc_id = c.conv_id LEFT JOIN nation n ON n.n_nationkey = f.doc_id % 30 WHERE c.role = 'assistant'")
+@query("citation_departments", f"WITH {FILES}, {NAMED}, {ANSWERS} SELECT a.conv_id, a.turn, f.filename, n.n_name AS department FROM answers a JOIN named f ON contains(a.answer, f.filename) LEFT JOIN nation n ON n.n_nationkey = f.doc_id % 30")
 def _(t):
-    cited = t.conversations.where("role = 'assistant'").select("conv_id", "turn").join(t.files.select(F.col("doc_id").alias("conv_id"), "filename"), "conv_id")
-    return cited.join(t.nation, F.col("conv_id") % 30 == F.col("n_nationkey"), "left").select("conv_id", "turn", "filename", F.col("n_name").alias("department"))
+    """Each file that an answer cites, with the department it belongs to."""
+    files = named_files(t).select("doc_id", "filename").join(t.nation, F.col("doc_id") % 30 == F.col("n_nationkey"), "left")
+    cited = lexical.with_names(answers(t), "answer", files, "filename")
+    return cited.join(files, "filename").select("conv_id", "turn", "filename", F.col("n_name").alias("department"))
 
 
 @query("key_resolution", "SELECT c_custkey, CASE WHEN n_nationkey % 3 = 0 THEN 'org ' || n_name WHEN c_custkey % 2 = 0 THEN 'user ' || c_name END AS key FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")

@@ -135,38 +135,41 @@ def _(t):
     return topics.online(docs, "project", "vec_id", "v", 0.3).withColumn("confidence", F.round("confidence", 6))
 
 
-NAMED = "named AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Q' || doc_id % 4 || ' report (' || doc_id || '), final.' || split_part(filename, '.', 2) ELSE filename END AS filename, selected FROM files)"
-ANSWERS = """answers AS (SELECT conv_id, turn, text || ' See ' || CASE WHEN conv_id % 3 = 0 THEN 'Q' || conv_id % 4 || ' report (' || conv_id || '), final.' ELSE 'file' || conv_id || '.' END || (['pdf','txt','docx','xlsx','csv','png'])[1 + conv_id % 6] || ', file' || (conv_id * 7 % 1200) || '.' || (['pdf','txt','docx','xlsx','csv','png'])[1 + conv_id * 7 % 1200 % 6] || ' and FILE1.TXT.' AS answer
- FROM conversations WHERE role = 'assistant')"""
+NAMED = "named AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Q' || doc_id % 4 || ' report (' || doc_id || '), final.' || split_part(filename, '.', 2) WHEN 1 THEN 'Makefile' || doc_id WHEN 2 THEN 'Été deck_' || doc_id || '.pptx' ELSE filename END AS filename, selected FROM files)"
+ANSWERS = """answers AS (SELECT conv_id, turn, text || ' See ' || CASE WHEN conv_id % 5 = 0 THEN 'Q' || conv_id % 4 || ' report (' || conv_id || '), final.' ELSE 'file' || conv_id || '.' END || (['pdf','txt','docx','xlsx','csv','png'])[1 + conv_id % 6] || ', file' || (conv_id * 7 % 1200) || '.' || (['pdf','txt','docx','xlsx','csv','png'])[1 + conv_id * 7 % 1200 % 6]
+ || ', FILE1.TXT, Makefile' || (conv_id * 5 % 1000 + 1) || ' and Été deck_' || (conv_id * 5 + 2) || '.pptx' AS answer FROM conversations WHERE role = 'assistant')"""
 
 
 def named_files(t):
-    """Files of which every third has a name with blanks, commas and brackets."""
+    """Files with all kinds of names: plain ones, with blanks, commas and brackets, without an ending, with a foreign one."""
     kind = F.element_at(F.split("filename", r"\."), -1)
-    long = F.concat(F.lit("Q"), F.col("doc_id") % 4, F.lit(" report ("), "doc_id", F.lit("), final."), kind)
-    return t.files.select("doc_id", F.when(F.col("doc_id") % 3 == 0, long).otherwise(F.col("filename")).alias("filename"), "selected")
+    d = F.col("doc_id")
+    long = F.concat(F.lit("Q"), d % 4, F.lit(" report ("), d, F.lit("), final."), kind)
+    name = F.when(d % 5 == 0, long).when(d % 5 == 1, F.concat(F.lit("Makefile"), d)).when(d % 5 == 2, F.concat(F.lit("Été deck_"), d, F.lit(".pptx"))).otherwise(F.col("filename"))
+    return t.files.select("doc_id", name.alias("filename"), "selected")
 
 
 def answers(t):
     kind = lambda n: F.element_at(F.array(*map(F.lit, ("pdf", "txt", "docx", "xlsx", "csv", "png"))), (n % 6 + 1).cast("int"))
     c, n = F.col("conv_id"), F.col("conv_id") * 7 % 1200
-    first = F.when(c % 3 == 0, F.concat(F.lit("Q"), c % 4, F.lit(" report ("), c, F.lit("), final."))).otherwise(F.concat(F.lit("file"), c, F.lit(".")))
-    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.lit(" See "), first, kind(c), F.lit(", file"), n, F.lit("."), kind(n), F.lit(" and FILE1.TXT.")).alias("answer"))
+    first = F.when(c % 5 == 0, F.concat(F.lit("Q"), c % 4, F.lit(" report ("), c, F.lit("), final."))).otherwise(F.concat(F.lit("file"), c, F.lit(".")))
+    more = F.concat(F.lit(", FILE1.TXT, Makefile"), c * 5 % 1000 + 1, F.lit(" and Été deck_"), c * 5 + 2, F.lit(".pptx"))
+    return t.conversations.where("role = 'assistant'").select("conv_id", "turn", F.concat("text", F.lit(" See "), first, kind(c), F.lit(", file"), n, F.lit("."), kind(n), more).alias("answer"))
 
 
 @query("citations", f"WITH {FILES}, {NAMED}, {ANSWERS} SELECT a.conv_id, a.turn, f.doc_id, f.filename FROM answers a JOIN named f ON contains(a.answer, f.filename)")
 def _(t):
-    """Files whose names an answer contains, by equality on stretches of the answer that end like a file name."""
+    """Files whose names an answer contains, whatever a name looks like."""
     quoted = lexical.with_names(answers(t), "answer", named_files(t), "filename")
     return quoted.join(named_files(t).select("doc_id", "filename"), "filename").select("conv_id", "turn", "doc_id", "filename")
 
 
-@query("mention_guard", f"""WITH {FILES}, {NAMED}, {ANSWERS}, m AS (SELECT a.conv_id, a.turn, f.selected FROM answers a JOIN named f ON contains(lower(a.answer), lower(f.filename)))
+@query("mention_guard", f"""WITH {FILES}, {NAMED}, {ANSWERS}, f AS (SELECT {FOLD.format("filename")} AS filename, selected FROM named), m AS (SELECT a.conv_id, a.turn, f.selected FROM (SELECT conv_id, turn, {FOLD.format("answer")} AS answer FROM answers) a JOIN f ON contains(a.answer, f.filename))
  SELECT conv_id, turn, count(*) FILTER (selected = 1) AS n_selected, count(*) FILTER (selected <> 1) AS n_unselected, count(*) FILTER (selected = 1) = 0 AS refuse FROM m GROUP BY ALL""")
 def _(t):
-    """Small letters on both sides; an answer that names files, but none of those selected, is refused."""
-    files = named_files(t).withColumn("filename", F.lower("filename"))
-    named = lexical.with_names(answers(t).withColumn("answer", F.lower("answer")), "answer", files, "filename")
+    """Names and answers are folded alike; an answer that names files, but none of those selected, is refused."""
+    files = named_files(t).withColumn("filename", text.folded(F.col("filename")))
+    named = lexical.with_names(answers(t).withColumn("answer", text.folded(F.col("answer"))), "answer", files, "filename")
     found = named.join(files.select("filename", "selected"), "filename").groupBy("conv_id", "turn").agg(F.count_if(F.col("selected") == 1).alias("n_selected"), F.count_if(F.col("selected") != 1).alias("n_unselected"))
     return found.withColumn("refuse", F.col("n_selected") == 0)
 

@@ -212,11 +212,30 @@ def test_pdf_images_come_in_page_order():
     assert files.pdf_images(b"%PDF" + jpeg(5)) == [(1, jpeg(5))]
 
 
-def test_names_are_found_wherever_they_stand(spark):
-    names = spark.createDataFrame([("a.pdf",), ("A.pdf",), ("Q3 report, (v2).PDF",), ("b.txt",)], "filename string")
-    rows = spark.createDataFrame([(1, "See a.pdf, and a.pdf."), (2, "in the Q3 report, (v2).PDF!"), (3, "no name .pdf"), (4, None), (5, "xb.txt")], "id long, answer string")
-    found = sorted(tuple(r) for r in lexical.with_names(rows, "answer", names, "filename").select("id", "filename").collect())
-    assert found == [(1, "a.pdf"), (2, "Q3 report, (v2).PDF"), (5, "b.txt")]
+@pytest.mark.parametrize("most", [lexical.NAMES, 0])
+def test_names_are_found_wherever_they_stand(spark, most):
+    import random
+
+    rng = random.Random(2)
+    names = ["a.pdf", "A.pdf", "Q3 report, (v2).PDF", "b.txt", "Makefile", "deck.pptx", "a", "é", "aaaa", "aaaaaaaa", "", None, "a.pdf", "(.*)", "x" * 500, "Makefile.old"]
+    names += ["".join(rng.choice("abé.") for _ in range(rng.randrange(1, 12))) for _ in range(120)]
+    texts = ["See a.pdf, and a.pdf.", "in the Q3 report, (v2).PDF!", "no name .pdf", None, "", "xb.txt", "the Makefile.old of deck.pptx(.*)", "x" * 700, "a" * 30] + ["".join(rng.choice("abé. ") for _ in range(60)) for _ in range(80)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, answer string").withColumn("stretch", F.lit("clash"))
+    files_ = spark.createDataFrame([(n,) for n in names], "filename string")
+    found = [tuple(r) for r in lexical.with_names(rows, "answer", files_, "filename", most).select("id", "filename").collect()]
+    assert sorted(found) == sorted((i, n) for i, t in enumerate(texts) for n in {n for n in names if n} if t and n in t)
+    assert lexical.with_names(rows.limit(0), "answer", files_, "filename", most).collect() == [] == lexical.with_names(rows, "answer", files_.limit(0), "filename", most).collect()
+
+
+@pytest.mark.parametrize("most", [lexical.NAMES, 0])
+def test_names_in_a_very_long_text_take_linear_time(spark, most):
+    import time
+
+    rows = spark.createDataFrame([(1, "lorem ipsum " * 80_000 + "Makefile")], "id long, answer string")
+    names = spark.createDataFrame([("Makefile",), ("lorem",), ("dolor",)], "filename string")
+    start = time.perf_counter()
+    assert sorted(r.filename for r in lexical.with_names(rows, "answer", names, "filename", most).collect()) == ["Makefile", "lorem"]
+    assert time.perf_counter() - start < 20
 
 
 def test_names_sort_by_language(spark):
