@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessella.operators import chunking
+from tessella.session import scratch_path
 from tessella.streaming import stages
 
 from .base import Book
@@ -60,14 +61,27 @@ def _(t):
     return stages.updates_to_table(stages.status_changes(events(t).select("user_id", "event_id", "ts", "event_type")), ["user_id"], "status")
 
 
-@query("stream_ingest", f"""WITH {chunks_sql(chunking.PUBLIC_SIZE)}, g AS (SELECT doc_id, length(text) AS raw, length({clean_sql("text")}) < 50 AS short FROM documents)
+INGESTED = f"""WITH {chunks_sql(chunking.PUBLIC_SIZE)}, g AS (SELECT doc_id, length(text) AS raw, length({clean_sql("text")}) < 50 AS short FROM documents)
  SELECT g.doc_id, CASE WHEN any_value(short) THEN 'chunk_failed' ELSE 'chunked' END AS status, CASE WHEN any_value(short) THEN 0 ELSE count(c) END AS n_chunks, CASE WHEN any_value(short) THEN 0 ELSE coalesce(CAST(sum(length(c)) AS BIGINT), 0) END AS n_chars,
- CASE WHEN any_value(short) THEN 'queued' END AS retry_status, CASE WHEN any_value(short) THEN 'only ' || any_value(raw) || ' characters of text' END AS last_error FROM g LEFT JOIN chunks USING (doc_id) GROUP BY g.doc_id""")
+ CASE WHEN any_value(short) THEN 'queued' END AS retry_status, CASE WHEN any_value(short) THEN 'only ' || any_value(raw) || ' characters of text' END AS last_error FROM g LEFT JOIN chunks USING (doc_id) GROUP BY g.doc_id"""
+
+
+@query("stream_ingest", INGESTED)
 def _(t):
     t.documents
     return stages.ingest(t.spark, f"{t.folder}/documents.parquet")
 
 
+@query("stream_redelivered", INGESTED)
+def _(t):
+    """Every document comes three times: an older text, its text, and its text once more; the last version is there once."""
+    source = scratch_path(t.spark, "deliveries")
+    older = t.documents.withColumn("text", F.concat(F.lit("An older text. "), F.coalesce("text", F.lit("")), F.coalesce("text", F.lit(""))))
+    for docs in (older, t.documents, t.documents):
+        docs.write.mode("append").parquet(source)
+    return stages.ingest(t.spark, source, maxFilesPerTrigger="3")
+
+
 @query("stream_fork", f"""SELECT doc_id, CASE WHEN length({clean_sql("text")}) < 50 THEN 'chunk_failed' ELSE 'chunked' END AS status, CASE WHEN doc_id % 6 = 5 THEN CASE WHEN length(trim(text)) = 0 THEN 'figure_failed' ELSE 'captioned' END END AS figure_status FROM documents""")
 def _(t):
     t.documents

@@ -1,26 +1,31 @@
 """The staged ingestion pipeline on Structured Streaming.
 
-Stages are streams over files; each writes a table that the next reads. Delivery is at least
-once, so a stage is made idempotent: its rows are keyed and a batch is written under its own
-number, replacing what a failed attempt of the same batch has left.
+Stages are streams over files; each writes a table that the next reads. Delivery is at least once and
+documents come again, unchanged or changed, so a stage replaces by document: a batch writes the rows of its documents
+under the stream's generation and its own number, beside a list of the documents it was given. What counts of a
+document is what came of its last delivery (``current``); a batch that runs again replaces what a failed
+attempt has left, and a stream that lost its mark starts a new generation. ``compact`` drops what is out of date.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.operators import chunking, rules
-from tessella.session import scratch_path
+from tessella.session import materialise, scratch_path
 
 
-def read_stream(spark: SparkSession, path: str) -> DataFrame:
+def read_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
     """A stream over Parquet files: a folder, or one file."""
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).options(**options)
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
         return reader.parquet(path)
@@ -28,13 +33,81 @@ def read_stream(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
-def run_stage(stream: DataFrame, sink: str, mark: str, stage: Callable[[DataFrame], DataFrame]) -> None:
-    """Work off what there is. Batch n is the partition ``batch=n`` of the sink, written whole each time."""
+def delivered(spark: SparkSession, path: str, **options: str) -> DataFrame:
+    """A stream over Parquet files with ``delivered``: when its file came, the file, and the place in it; later is newer."""
+    stream = read_stream(spark, path, **options)
+    return stream.select("*", F.struct("_metadata.file_modification_time", "_metadata.file_path", "_metadata.row_index").alias("delivered"))
 
-    def write(batch: DataFrame, number: int) -> None:
-        stage(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
-    stream.writeStream.foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+def _generation(spark: SparkSession, mark: str) -> int:
+    """Milliseconds at which the stream of this mark first started, kept beside it."""
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(f"{mark}-generation")
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(place, str(int(time.time() * 1000))))
+    return int(fs.listStatus(place)[0].getPath().getName())
+
+
+def newest(batch: DataFrame, key: str) -> DataFrame:
+    """Of each key the rows of its last delivery in the batch."""
+    last = batch.groupBy(key).agg(F.max("delivered").alias("delivered"))
+    return batch.join(last, [key, "delivered"], "left_semi")
+
+
+def run_stage(stream: DataFrame, sink: str, mark: str, stage: Callable[[DataFrame], DataFrame], key: str = "doc_id", times: int = 1) -> None:
+    """Work off what there is: each batch's last delivery of every ``key`` through ``stage``.
+
+    ``stream`` has the key and ``delivered``; ``stage`` gets the rows without ``delivered`` and returns rows with the key. A
+    document's rows go to one file, so a stream over the sink never sees a part of them. A failed batch is tried ``times`` times.
+    """
+    spark = stream.sparkSession
+    generation = _generation(spark, mark)
+
+    def write(batch: DataFrame, number: int) -> None:
+        own = newest(batch, key).persist()
+        try:
+            place = f"generation={generation}/batch={number}"
+            came = own.select(key, "delivered").distinct()
+            rows = stage(own.drop("delivered")).join(came, key)
+            rows.repartition(key).write.mode("overwrite").parquet(f"{sink}/rows/{place}")
+            came.write.mode("overwrite").parquet(f"{sink}/came/{place}")
+        finally:
+            own.unpersist()
+
+    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", mark).trigger(availableNow=True)
+    for left in reversed(range(times)):
+        try:
+            query.start().awaitTermination()
+            return
+        except StreamingQueryException:
+            if not left:
+                raise
+
+
+def current(spark: SparkSession, sink: str, key: str = "doc_id") -> DataFrame:
+    """The rows of the last delivery of every key, without ``delivered``, generation and batch."""
+    at = F.struct("delivered", "generation", "batch")
+    last = spark.read.parquet(f"{sink}/came").groupBy(key).agg(F.max(at).alias("at")).select(key, "at.generation", "at.batch")
+    return spark.read.parquet(f"{sink}/rows").join(last, [key, "generation", "batch"], "left_semi").drop("delivered", "generation", "batch")
+
+
+def compact(spark: SparkSession, sink: str, key: str = "doc_id") -> str:
+    """The current rows and deliveries as a sink of their own; its path. The old one may go when nothing reads it."""
+    new = scratch_path(spark, "compacted")
+    at = F.struct("delivered", "generation", "batch")
+    last = materialise(spark.read.parquet(f"{sink}/came").groupBy(key).agg(F.max(at).alias("at")).select(key, "at.*"), "last-deliveries")
+    rows = spark.read.parquet(f"{sink}/rows").join(last.select(key, "generation", "batch"), [key, "generation", "batch"], "left_semi")
+    rows.repartition("generation", "batch", F.pmod(F.xxhash64(key), F.lit(16))).write.partitionBy("generation", "batch").parquet(f"{new}/rows")
+    last.repartition("generation", "batch").write.partitionBy("generation", "batch").parquet(f"{new}/came")
+    return new
+
+
+def following(spark: SparkSession, sink: str) -> DataFrame:
+    """The rows of a stage as the stream of the next; a later delivery, or a later attempt at it, is newer."""
+    stream = read_stream(spark, f"{sink}/rows")
+    again = F.struct(*[F.col(c).alias(c) for c in ("delivered", "generation", "batch")])
+    return stream.select(*[c for c in stream.columns if c not in ("delivered", "generation", "batch")], again.alias("delivered"))
 
 
 def to_table(stream: DataFrame, label: str) -> DataFrame:
@@ -46,11 +119,12 @@ def to_table(stream: DataFrame, label: str) -> DataFrame:
 
 
 def chunk_stage(files: DataFrame) -> DataFrame:
-    """Gate and chunk a batch of documents: good ones give chunks, short ones a failure row."""
+    """Gate and chunk a batch of documents: good ones give chunks (or a row without text, if only white space is left), short ones a failure row."""
     short = F.length(text.cleaned(F.coalesce("text", F.lit("")))) < 50
     chunks = chunking.chunked(files.where(~short), "doc_id").select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.lit("chunked").alias("status"), F.lit(None).cast("string").alias("failed_stage"))
     failed = files.where(short).select("doc_id", F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("text"), F.lit("chunk_failed").alias("status"), *failure("chunk", F.concat(F.lit("only "), F.length(F.coalesce("text", F.lit(""))), F.lit(" characters of text"))))
-    return chunks.unionByName(failed, allowMissingColumns=True)
+    bare = files.where(~short & (F.length(F.regexp_replace(text.cleaned(F.col("text")), "\\s", "")) == 0)).select("doc_id", F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("text"), F.lit("chunked").alias("status"), F.lit(None).cast("string").alias("failed_stage"))
+    return chunks.unionByName(failed, allowMissingColumns=True).unionByName(bare, allowMissingColumns=True)
 
 
 def failure(stage: str, message: Column) -> list[Column]:
@@ -73,29 +147,37 @@ def summary_stage(chunks: DataFrame) -> DataFrame:
     return by.withColumn("retry_status", F.when(rules.may_retry(F.col("status")), rules.retry(F.col("failed_stage"))["status"]))
 
 
-def ingest(spark: SparkSession, documents: str) -> DataFrame:
-    """Documents through both stages: one row per document."""
+def ingest(spark: SparkSession, documents: str, **options: str) -> DataFrame:
+    """Documents through both stages: one row per document, of its last delivery."""
     first, second = scratch_path(spark, "chunks"), scratch_path(spark, "summaries")
-    run_stage(read_stream(spark, documents), first, scratch_path(spark, "mark"), chunk_stage)
-    run_stage(read_stream(spark, first).drop("batch"), second, scratch_path(spark, "mark"), summary_stage)
-    # A document whose chunks came in several batches has a row in each.
-    rows = spark.read.parquet(second)
-    return rows.groupBy("doc_id").agg(F.max("status").alias("status"), F.sum("n_chunks").alias("n_chunks"), F.sum("n_chars").alias("n_chars"), F.max("retry_status").alias("retry_status"), F.max("last_error").alias("last_error"))
+    run_stage(delivered(spark, documents, **options), first, scratch_path(spark, "mark"), chunk_stage)
+    run_stage(following(spark, first), second, scratch_path(spark, "mark"), summary_stage)
+    return current(spark, second).select("doc_id", "status", "n_chunks", "n_chars", "retry_status", "last_error")
 
 
 def ingest_with_figures(spark: SparkSession, documents: str) -> DataFrame:
     """Documents through the chunk stage, and through the figure stage as a stream of its own: (doc_id, status, figure_status).
 
-    The two have marks and sinks of their own, so figures that fail or lag hold nothing up.
+    The two run at the same time, with marks and sinks of their own, so figures that fail or lag hold nothing up.
     """
     first, other = scratch_path(spark, "chunks"), scratch_path(spark, "figures")
-    run_stage(read_stream(spark, documents), first, scratch_path(spark, "mark"), chunk_stage)
-    run_stage(read_stream(spark, documents), other, scratch_path(spark, "mark"), figure_stage)
-    status = spark.read.parquet(first).groupBy("doc_id").agg(F.max("status").alias("status"))
-    figures = spark.read.parquet(other).groupBy("doc_id").agg(F.max("status").alias("figure_status"))
+    together([
+        lambda: run_stage(delivered(spark, documents), first, scratch_path(spark, "mark"), chunk_stage),
+        lambda: run_stage(delivered(spark, documents), other, scratch_path(spark, "mark"), figure_stage),
+    ])
+    status = current(spark, first).groupBy("doc_id").agg(F.max("status").alias("status"))
+    figures = current(spark, other).groupBy("doc_id").agg(F.max("status").alias("figure_status"))
     return status.join(figures, "doc_id", "left")
 
 
+def together(streams: list[Callable[[], None]]) -> None:
+    """Run streams at the same time and wait for all of them; the first failure is raised when the others are done."""
+    with ThreadPoolExecutor(len(streams)) as pool:
+        running = [pool.submit(s) for s in streams]
+    for r in running:
+        r.result()
+
+
 def timed(events: DataFrame, late: str) -> DataFrame:
     return events.withColumn("at", F.col("ts").cast("timestamp")).withWatermark("at", late)
 

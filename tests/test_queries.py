@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tessella.plans import catalogue
@@ -101,12 +102,73 @@ def test_late_rows_are_dropped_and_repeated_batches_replace(spark):
     stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(f"{folder}/*")
     counts = stages.updates_to_table(stages.stage_counts(stream()), ["start", "event_type"], "late").collect()
     assert sorted((r.start.day, r.n) for r in counts) == [(1, 1), (5, 2)]
-    sink, seen = scratch_path(spark, "sink"), []
+
+
+def deliver(spark, folder, rows):
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_the_last_delivery_of_a_document_counts_once(spark):
+    """Equal and changed redeliveries, in one batch or several, a failed batch, and a lost mark."""
+    from tessella.session import scratch_path
+    from tessella.streaming import stages
+
+    folder, sink, mark = (scratch_path(spark, x) for x in ("source", "sink", "mark"))
+    tries = []
 
     def stage(batch):
-        seen.append(1)
-        return batch.select("event_id")
+        tries.append(batch.count())
+        if len(tries) == 2:
+            raise ValueError("once")
+        return batch.where("text <> 'gone'").select("doc_id", F.explode(F.split("text", " ")).alias("word"))
+
+    deliver(spark, folder, [(1, "old words here"), (2, "two")])
+    deliver(spark, folder, [(1, "new words"), (3, "three"), (4, "gone soon")])
+    run = lambda mark, n: stages.run_stage(stages.delivered(spark, folder, maxFilesPerTrigger=str(n)), sink, mark, stage, times=2)
+    run(mark, 1)
+    assert len(tries) == 3  # the second batch failed once
+    words = lambda where: sorted((r.doc_id, r.word) for r in stages.current(spark, where).collect())
+    due = [(1, "new"), (1, "words"), (2, "two"), (3, "three"), (4, "gone"), (4, "soon")]
+    assert words(sink) == due
+    deliver(spark, folder, [(1, "new words"), (4, "gone")])
+    run(mark, 1)
+    due = due[:4]  # a document of which nothing is left is gone
+    assert words(sink) == due
+    run(scratch_path(spark, "mark"), 9)  # every delivery again, in one batch
+    assert words(sink) == due and words(stages.compact(spark, sink)) == due
+
+
+def test_both_stages_follow_a_redelivery(spark):
+    from tessella.session import scratch_path
+    from tessella.streaming import stages
+
+    folder = scratch_path(spark, "source")
+    long = "A sentence of some words. " * 100
+    for rows in ([(1, long * 3), (2, "short")], [(1, long), (2, long)], [(1, long)], [(2, "short"), (3, " " * 80)]):
+        deliver(spark, folder, rows)
+    for n in ("1", "9"):
+        out = {r.doc_id: r for r in stages.ingest(spark, folder, maxFilesPerTrigger=n).collect()}
+        assert {k: r.status for k, r in out.items()} == {1: "chunked", 2: "chunk_failed", 3: "chunked"}
+        once = stages.chunk_stage(spark.createDataFrame([(1, long)], "doc_id long, text string")).collect()
+        assert (out[1].n_chunks, out[1].n_chars, out[3].n_chunks) == (len(once), sum(len(r.text) for r in once), 0)
+
+
+def test_a_slow_fork_holds_nothing_up(spark):
+    import threading
+
+    from tessella.session import scratch_path
+    from tessella.streaming import stages
+
+    folder = scratch_path(spark, "source")
+    deliver(spark, folder, [(1, "x"), (2, "y")])
+    done = threading.Event()
+
+    def slow(batch):
+        assert done.wait(60), "the other stream waited for this one"
+        return batch
+
+    def quick():
+        stages.run_stage(stages.delivered(spark, folder), scratch_path(spark, "quick"), scratch_path(spark, "mark"), lambda b: b)
+        done.set()
 
-    stages.run_stage(stream(), sink, scratch_path(spark, "mark"), stage)
-    stages.run_stage(stream(), sink, scratch_path(spark, "mark"), stage)  # a lost mark: every batch comes again
-    assert len(seen) == 6 and sorted(r.event_id for r in spark.read.parquet(sink).collect()) == [1, 2, 3, 4]
+    stages.together([lambda: stages.run_stage(stages.delivered(spark, folder), scratch_path(spark, "slow"), scratch_path(spark, "mark"), slow), quick])
