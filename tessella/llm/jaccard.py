@@ -303,8 +303,22 @@ def join(docs: DataFrame, percent: int = 75, exact: bool = False) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, percent: int = 75, exact: bool = False) -> DataFrame:
-    """The documents of the smallest doc_id of their component, and those without a doc_id."""
-    kept = join(docs, percent, exact).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.lit(1)))
-    chosen = docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi").withColumn("__nth", nth).where("__nth = 1").drop("__nth")
-    return chosen.unionByName(docs.where("doc_id is null"))
+    """One document of each component: that of the smallest doc_id; and every row without a doc_id.
+
+    A document is a doc_id and a text: rows of one doc_id with other texts are other documents, of which only linked
+    ones go; of rows equal in both one stays. Where no doc_id comes twice, texts travel once, to meet the ids that stay.
+    """
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    named, digest = packed.where("doc_id is not null"), F.unhex(F.sha2("text", 256)).alias("digest")
+    held = named.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most")).first()["most"] or 0
+    if held <= 1:
+        kept = join(named, percent, exact).where("doc_id = component_id").select("doc_id")
+        chosen = named.join(kept, "doc_id", "left_semi")
+    else:
+        keys = materialise(named.select("doc_id", digest).distinct().withColumn("own", F.monotonically_increasing_id()), "text-keys")
+        every = materialise(named.withColumn("digest", digest).join(keys, ["doc_id", "digest"]).select("row", "own", "text"), "keyed")
+        parts = join(every.select(F.col("own").alias("doc_id"), "text"), percent, exact).select(F.col("doc_id").alias("own"), "component_id").distinct().join(keys, "own")
+        kept = parts.groupBy("component_id").agg(F.min(F.struct("doc_id", "digest", "own")).alias("k")).select("k.own")
+        nth = F.row_number().over(Window.partitionBy("own").orderBy(F.xxhash64(F.to_json("row"))))
+        chosen = every.join(kept, "own", "left_semi").withColumn("nth", nth).where("nth = 1")
+    return chosen.select("row.*").unionByName(docs.where("doc_id is null"))

@@ -132,3 +132,11 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
         stop = max(int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1, at + 1)
         yield batch.slice(at, min(stop, n) - at)
         at = min(stop, n)
+
+
+def unused(columns: list[str], name: str) -> str:
+    """``name``, longer by underscores if a column has it already."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

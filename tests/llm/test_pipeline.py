@@ -1,5 +1,7 @@
 import corpus_pipeline
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessella.llm import quality, registry
@@ -52,3 +54,24 @@ def test_stages_on_odd_tables(spark, data):
         assert {str(r.doc_id) for r in state.collect()} == left
         pieces = corpus_pipeline.STAGES[-1][1](spark, state, data)
         assert {str(r.doc_id) for r in pieces.collect()} == left
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_texts_that_share_a_doc_id_are_not_lost(spark, parts):
+    """Rows (1, A), (1, B), (2, B): A and one B stay, whatever the layout and the names of further columns."""
+    a, b = (" ".join(f"{x}{k * k % 907}" for k in range(90)) for x in "ab")
+    near = b.replace("b4 ", "zz ", 1)
+    rows = [(1, a, "en", 1, "p", 1), (1, b, "en", 1, "q", 2), (2, b, "en", 1, "r", 3), (2, b, "en", 1, "r", 3), (3, near, "de", 1, "s", 4), (3, a + " more", "de", 1, "s", 5), (4, None, "fr", 1, "t", 6), (4, "", "fr", 1, "t", 6), (None, a, "en", 1, "u", 7), (None, a, "en", 1, "u", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, n_chars long, __nth string, __id int").withColumn("row", F.lit("x")).withColumn("own", F.lit(1)).withColumn("spans", F.lit(2)).repartition(parts)
+    out = corpus_pipeline.STAGES[1][1](spark, docs, None)
+    assert out.columns == docs.columns
+    left = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert left == sorted([(1, a), (1, b), (4, left[-3][1] if left[-3][0] == 4 else ""), (None, a), (None, a)], key=str)
+    cut = corpus_pipeline.STAGES[2][1](spark, docs, None)
+    assert cut.columns == docs.columns and cut.count() == len(rows)
+
+
+def test_the_smallest_doc_id_stays_when_none_comes_twice(spark):
+    a = " ".join(f"a{k * k % 907}" for k in range(90))
+    docs = spark.createDataFrame([(5, a, "x"), (3, a + " b", "y"), (9, a, "z"), (7, "other words in this one here", "w"), (None, a, "n")], "doc_id long, text string, __id string")
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.STAGES[1][1](spark, docs, None).collect()) == ["3", "7", "None"]
