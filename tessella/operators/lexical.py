@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,35 +18,106 @@ K1, B = 1.5, 0.75
 
 
 def matched(chunks: DataFrame, asked: DataFrame, key: str, column: str = "text") -> DataFrame:
-    """(key, length, token, tf), written once: the asked tokens of each chunk, and a row with a null token for the chunk itself.
+    """(key, length, token, tf, word), written once: the asked tokens of each chunk, and a row (not ``word``) for the chunk itself.
 
     ``asked`` is a table of tokens. Texts are folded in one pass; tokens that nobody asks for go before the shuffle.
+    The chunk's own row has its key for a token, so that those rows are dealt like others.
     """
     words = chunks.select(key, text.tokens(F.col(column)).alias("__t"))
-    rows = words.select(key, F.size("__t").alias("length"), F.explode_outer(F.concat(F.array(F.lit(None).cast("string")), "__t")).alias("token"))
-    known = rows.join(asked.select("token", F.lit(True).alias("__known")), "token", "left").where(F.col("__known") | F.col("token").isNull())
-    return materialise(known.groupBy(key, "length", "token").agg(F.count("*").alias("tf")), "tokens")
+    own = F.concat(F.lit("\0"), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    rows = words.select(key, F.size("__t").alias("length"), F.posexplode(F.concat(F.array(own), "__t")).alias("__place", "token"))
+    known = rows.join(asked.select("token", F.lit(True).alias("__known")), "token", "left").where(F.col("__known") | (F.col("__place") == 0))
+    return materialise(known.groupBy(key, "length", "token", (F.col("__place") > 0).alias("word")).agg(F.count("*").alias("tf")), "tokens")
+
+
+#: Postings of a block; the best of a first round that are scored in full, for each of the k that are asked for.
+POSTINGS, PROBED = 256, 4
+#: Scores are compared at nine places, so a bound must miss by more than this.
+SLACK = 1e-6
+#: More unread means fewer postings read and more pairs scored in full; half does least of both together.
+UNREAD = 0.5
+
+
+def _block_task(key: str):
+    """Postings sorted by token and falling part, as blocks of at most POSTINGS with their largest part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = np.asarray(batch.column(0).dictionary_encode().indices)
+            cuts = [0, *(np.flatnonzero(tokens[1:] != tokens[:-1]) + 1).tolist(), len(tokens)]
+            starts = [at for a, b in zip(cuts[:-1], cuts[1:], strict=True) for at in range(a, b, POSTINGS)]
+            edges = pa.array([*starts, len(tokens)], pa.int32())
+            at = pa.array(starts, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(2).take(at), pa.ListArray.from_arrays(edges, batch.column(1)), pa.ListArray.from_arrays(edges, batch.column(2))], names=["token", "top", key, "parts"])
+
+    return run
+
+
+class Postings:
+    """What the questions ask of the chunks: postings by chunk and token, the same in blocks by falling score, weights of tokens."""
+
+    def __init__(self, chunks: DataFrame, questions: DataFrame, key: str, query: str):
+        self.key, self.query = key, query
+        asked = questions.select(query, F.explode(text.tokens(F.col("question"))).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qtf"))
+        every = matched(chunks, asked.select("token").distinct(), key)
+        lengths = every.where("not word").agg(F.sum("tf").alias("chunks"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean"))
+        share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+        self.rows = every.where("word").join(F.broadcast(lengths)).select(key, "token", share.alias("part"))
+        seen = every.where("word").groupBy("token").agg(F.count("*").alias("df")).join(F.broadcast(lengths)).select("token", "df", F.log((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
+        order = ["token", F.desc("part"), key]
+        blocks = self.rows.select("token", key, "part").repartitionByRange(*order).sortWithinPartitions(*order)
+        kind = T.StructType([T.StructField("token", T.StringType()), T.StructField("top", T.DoubleType()), T.StructField(key, T.ArrayType(chunks.schema[key].dataType)), T.StructField("parts", T.ArrayType(T.DoubleType()))])
+        self.blocks = materialise(blocks.mapInArrow(_block_task(key), kind), "posting-blocks")
+        most = self.blocks.groupBy("token").agg(F.max("top").alias("most"))
+        #: One row for each question and token: its weight, and the most that a chunk can have from it.
+        self.asked = materialise(asked.join(seen, "token").join(most, "token").select(query, "token", "df", (F.col("qtf") * F.col("idf")).alias("weight"), (F.col("qtf") * F.col("idf") * F.col("most")).alias("bound")), "asked")
+
+    def scored(self, pairs: DataFrame) -> DataFrame:
+        """Whole scores of pairs (query, key)."""
+        parts = pairs.join(self.asked.select(self.query, "token", "weight"), self.query).join(self.rows, [self.key, "token"])
+        return parts.groupBy(self.query, self.key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+
+def _ranked(scored: DataFrame, key: str, query: str, k: int) -> DataFrame:
+    best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), key)
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+
+def thresholds(postings: Postings, k: int) -> DataFrame:
+    """(query, floor): a score that k chunks reach; 0 where fewer than k were seen. From the best block of each token."""
+    key, query = postings.key, postings.query
+    first = postings.blocks.groupBy("token").agg(F.max_by(F.struct(key, "parts"), "top").alias("b")).select("token", F.arrays_zip(F.col(f"b.{key}").alias(key), F.col("b.parts").alias("parts")).alias("p"))
+    seen = postings.asked.join(first, "token").select(query, "weight", F.explode("p").alias("p")).select(query, F.col(f"p.{key}").alias(key), (F.col("weight") * F.col("p.parts")).alias("score"))
+    some = _ranked(seen.groupBy(query, key).agg(F.sum("score").alias("score")), key, query, PROBED * k)
+    full = _ranked(postings.scored(some.select(query, key)), key, query, k)
+    return full.groupBy(query).agg(F.count("*").alias("n"), F.min("score").alias("floor")).select(query, F.when(F.col("n") >= k, F.col("floor") - SLACK).otherwise(0.0).alias("floor"))
+
+
+def candidates(postings: Postings, k: int) -> DataFrame:
+    """(query, key): pairs that may be among the k best; a written table.
+
+    Tokens of a question are taken by rising bound, the commonest first, and stay unread while their bounds add up to
+    less than the share UNREAD of the question's floor. A chunk that has only such tokens is out. Of the others what was
+    read and all that the unread tokens could add must reach the floor.
+    """
+    key, query = postings.key, postings.query
+    rising = Window.partitionBy(query).orderBy("bound", "token")
+    limits = postings.asked.join(thresholds(postings, k), query).withColumn("read", F.sum("bound").over(rising) > UNREAD * F.col("floor"))
+    limits = materialise(limits, "limits")
+    rest = limits.groupBy(query).agg(F.max("floor").alias("floor"), F.sum(F.when(F.col("read"), 0.0).otherwise(F.col("bound"))).alias("rest"))
+    found = limits.where("read").select(query, "token", "weight").join(postings.rows, "token")
+    pairs = found.groupBy(query, key).agg(F.sum(F.col("weight") * F.col("part")).alias("so_far"))
+    return materialise(pairs.join(rest, query).where(F.col("so_far") + F.col("rest") >= F.col("floor")).select(query, key), "candidates")
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, key: str, query: str, k: int = 8) -> DataFrame:
     """The k best chunks of every question: (query, key, score, rank); ties by key.
 
-    Questions and chunks meet by token only. A term that a question repeats counts each time; terms
-    are counted by an aggregate, so the size of the question table does not matter.
+    Exact, but not every chunk that shares a token is scored: see ``candidates``. A term that a question repeats counts
+    each time; terms are counted by an aggregate, so the size of the question table does not matter.
     """
-    asked = questions.select(query, F.explode(text.tokens(F.col("question"))).alias("token")).groupBy(query, "token").agg(F.count("*").alias("qtf"))
-    every = matched(chunks, asked.select("token").distinct(), key)
-    lengths = every.where("token is null").agg(F.sum("tf").alias("chunks"), (F.sum(F.col("length") * F.col("tf")) / F.sum("tf")).alias("mean"))
-    rows = every.where("token is not null")
-    seen = rows.groupBy("token").agg(F.count("*").alias("df"))
-    scored = (
-        rows.join(seen, "token").join(F.broadcast(lengths)).join(asked, "token")
-        .withColumn("idf", F.log((F.col("chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-        .withColumn("part", F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean"))))
-        .groupBy(query, key).agg(F.sum("part").alias("score"))
-    )
-    best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), key)
-    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    postings = Postings(chunks, questions, key, query)
+    return _ranked(postings.scored(candidates(postings, k)), key, query, k)
 
 
 #: Names, and letters in all, up to which every task holds an automaton of all names; more meet the texts by rare stretches.

@@ -212,6 +212,37 @@ def test_pdf_images_come_in_page_order():
     assert files.pdf_images(b"%PDF" + jpeg(5)) == [(1, jpeg(5))]
 
 
+def test_bm25_with_bounds_equals_scoring_all(spark):
+    """Random texts with common and rare words, copies (ties), more of the k than there are chunks, and questions that nothing answers."""
+    import math
+    import random
+    from collections import Counter
+
+    rng = random.Random(6)
+    word = lambda: f"word{min(int(rng.paretovariate(0.5)), 400)}"
+    texts = [" ".join(word() for _ in range(rng.choice((3, 30, 300)))) for _ in range(700)] + ["word1 word2 word399"] * 30 + ["", None, "?!"]
+    asks = [" ".join(word() for _ in range(n)) for n in (1, 4, 12, 40)] + ["word1", "nothing here", "", "word399 word399 word1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    ask = spark.createDataFrame(list(enumerate(asks)), "query long, question string")
+    cut = [[w for w in (t or "").split(" ") if len(w) > 3] for t in texts]
+    mean = sum(map(len, cut)) / len(cut)
+    for k in (3, 50):
+        found = {}
+        for r in lexical.bm25(docs, ask, "doc_id", "query", k).collect():
+            found.setdefault(r["query"], []).append((r["rank"], r.doc_id, round(r.score, 6)))
+        for q, a in enumerate(asks):
+            due = []
+            for i, c in enumerate(cut):
+                tf = Counter(c)
+                s = sum(math.log((len(cut) - df + 0.5) / (df + 0.5) + 1) * tf[w] * 2.5 / (tf[w] + 1.5 * (0.25 + 0.75 * len(c) / mean)) for w in a.split() if tf[w] for df in [sum(w in x for x in cut)])
+                if s:
+                    due.append((-round(s, 9), i))
+            assert sorted(found.get(q, [])) == [(n + 1, i, round(-s, 6)) for n, (s, i) in enumerate(sorted(due)[:k])]
+    postings = lexical.Postings(docs, ask, "doc_id", "query")
+    sharing = postings.asked.join(postings.rows, "token").select("query", "doc_id").distinct().count()
+    assert lexical.candidates(postings, 3).count() < sharing / 3
+
+
 @pytest.mark.parametrize("most", [lexical.NAMES, 0])
 def test_names_are_found_wherever_they_stand(spark, most):
     import random
