@@ -92,7 +92,7 @@ def blended(docs: DataFrame, topics: DataFrame, key: str, k: int) -> DataFrame:
     return ranked.select(key, "b.topic", (-F.col("b.s")).alias("blended"), "rank")
 
 
-class _Topics:
+class Topics:
     """The topics of a project so far: sums and unit vectors in arrays that double when they are full."""
 
     def __init__(self, width: int):
@@ -113,12 +113,24 @@ class _Topics:
             if score[first] >= threshold:
                 self._put(first, x)
                 return self.names[first], float(score[first])
-        if n == len(self.counts):
-            self.counts, self.sums, self.units = (np.concatenate([a, np.zeros_like(a)]) for a in (self.counts, self.sums, self.units))
+        self._grow()
         self.names.append(key)
         self._put(n, x)
         return key, 0.0
 
+    def restore(self, name, n: int, sums: np.ndarray) -> None:
+        """A topic of an earlier run, in the order of their making."""
+        self._grow()
+        i = len(self.names)
+        self.names.append(name)
+        self.counts[i], self.sums[i] = n, sums
+        size = np.linalg.norm(sums)
+        self.units[i] = sums / size if size else 0.0
+
+    def _grow(self) -> None:
+        if len(self.names) == len(self.counts):
+            self.counts, self.sums, self.units = (np.concatenate([a, np.zeros_like(a)]) for a in (self.counts, self.sums, self.units))
+
     def _put(self, i: int, x: np.ndarray) -> None:
         self.sums[i] += x
         self.counts[i] += 1
@@ -142,7 +154,7 @@ def online(docs: DataFrame, project: str, key: str, vector: str, threshold: floa
             for p, k, v in zip(f[project], f[key], f[vector], strict=True):
                 x = np.asarray(v, dtype=np.float64)
                 if p != now:
-                    now, topics = p, _Topics(len(x))
+                    now, topics = p, Topics(len(x))
                 out.append((p, k, *topics.add(k, x, threshold)))
             yield pd.DataFrame(out, columns=[project, key, "topic", "confidence"])
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import chunking
 from tessella.session import scratch_path
-from tessella.streaming import stages
+from tessella.streaming import stages, state
 
 from .base import Book
 from .texts import chunks_sql, clean_sql
@@ -86,3 +86,49 @@ def _(t):
 def _(t):
     t.documents
     return stages.ingest_with_figures(t.spark, f"{t.folder}/documents.parquet")
+
+
+def timed(t):
+    return events(t).withColumn("at", F.col("ts").cast("timestamp"))
+
+
+@query("stream_taken_once", """SELECT user_id AS request, event_id AS id, before = 'stash' AND ts - since < INTERVAL '12 hours' AS taken, CASE WHEN before = 'stash' AND ts - since < INTERVAL '12 hours' THEN data END AS data
+ FROM (SELECT user_id, event_id, ts, kind, coalesce(lag(kind) OVER w, '-') AS before, lag(ts) OVER w AS since, lag(data) OVER w AS data FROM (SELECT *, CASE WHEN event_type IN ('click', 'view') THEN 'take' ELSE 'stash' END AS kind, 'call ' || event_id AS data FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE kind = 'take'""")
+def _(t):
+    """Clicks and views take what other events of their user stashed, once and within twelve hours."""
+    t.events
+    calls = timed(t).select(F.col("user_id").alias("request"), F.col("event_id").alias("id"), "at", (~F.col("event_type").isin("click", "view")).alias("stash"), F.concat(F.lit("call "), "event_id").alias("data"))
+    return state.worked_off(state.taken_once(calls, "12 hours"), "taken")
+
+
+@query("stream_subscriptions", """SELECT user_id, max(ts) AS changed_at, arg_max(status, (ts, event_id)) AS status, arg_max(plan, (ts, event_id)) FILTER (plan IS NOT NULL) AS plan, arg_max(ends, (ts, event_id)) FILTER (ends IS NOT NULL) AS ends
+ FROM (SELECT *, CASE event_type WHEN 'error' THEN 'canceled' ELSE 'active' END AS status, CASE WHEN event_type <> 'error' THEN CAST(floor(value) AS BIGINT) % 5 END AS plan, CASE WHEN event_type = 'purchase' THEN ts + INTERVAL '30 days' END AS ends FROM events WHERE event_type IN ('signup', 'purchase', 'error')) GROUP BY user_id""")
+def _(t):
+    """Signups send a plan, purchases also an end date, errors cancel; what a change doesn't send stays."""
+    t.events
+    kind = F.col("event_type")
+    sent = timed(t).where(kind.isin("signup", "purchase", "error")).select(
+        "user_id", "at", F.col("event_id").alias("id"), F.when(kind == "error", "canceled").otherwise("active").alias("status"),
+        F.when(kind != "error", F.floor("value").cast("long") % 5).alias("plan"), F.when(kind == "purchase", F.col("at") + F.expr("INTERVAL 30 days")).alias("ends"),
+    )
+    out = stages.updates_to_table(state.subscriptions(sent, ["status", "plan", "ends"]), ["user_id"], "subscriptions")
+    return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("changed_at", "ends")})
+
+
+@query("stream_overdue", """WITH s AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'click'), e AS (SELECT user_id, ts FROM events WHERE event_type = 'view'), w AS (SELECT least((SELECT max(ts) FROM s), (SELECT max(ts) FROM e)) - INTERVAL '1 hour' AS mark)
+ SELECT user_id AS job, event_id AS id, ts AS started_at FROM s, w WHERE ts + INTERVAL '6 hours' < mark AND NOT EXISTS (SELECT 1 FROM e WHERE e.user_id = s.user_id AND e.ts BETWEEN s.ts AND s.ts + INTERVAL '6 hours')""")
+def _(t):
+    """Clicks that no view of their user follows within six hours."""
+    t.events
+    started = timed(t).where("event_type = 'click'").select(F.col("user_id").alias("job"), F.col("event_id").alias("id"), "at")
+    ended = timed(t).where("event_type = 'view'").select(F.col("user_id").alias("job"), "at")
+    return stages.to_table(state.overdue(started, ended, "6 hours"), "overdue").withColumn("started_at", F.col("started_at").cast("timestamp_ntz"))
+
+
+@query("stream_topics")
+def _(t):
+    """Topics of four projects, formed by a stream; equal to ``online_topics``."""
+    vectors_ = stages.read_stream(t.spark, f"{t.folder}/embeddings.parquet")
+    t.embeddings
+    docs = vectors_.select((F.col("vec_id") % 4).alias("project"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
+    return state.worked_off(state.online_topics(docs, 0.3), "topics")

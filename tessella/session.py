@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +47,22 @@ def ship_package(spark: SparkSession) -> None:
         _SHIPPED.add(context.applicationId)
 
 
+@contextmanager
+def tagged(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Jobs that this thread starts inside bear the tag; ``cancel`` ends them."""
+    context = spark.sparkContext
+    context.addJobTag(tag)
+    try:
+        yield
+    finally:
+        context.removeJobTag(tag)
+
+
+def cancel(spark: SparkSession, tag: str) -> None:
+    """End the running jobs that bear the tag, wherever they were started; others go on."""
+    spark.sparkContext.cancelJobsWithTag(tag)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")
