@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed value: characters of precise data that go into a chart prompt.
@@ -19,9 +19,9 @@ def embedding(value: Column, width: int) -> Column:
 
 
 def summary(raw: Column) -> Column:
-    """(overview, key_points) of a summary; what is no JSON is its own overview."""
+    """(overview, key_points) of a summary; what is no JSON object is its own overview."""
     parsed = F.from_json(raw, "overview string, keyPoints array<string>")
-    good = F.try_parse_json(raw).isNotNull()
+    good = F.try_parse_json(raw).isNotNull() & F.startswith(F.ltrim(raw), F.lit("{"))
     none = F.array().cast("array<string>")
     return F.struct(F.when(good, parsed["overview"]).otherwise(F.trim(raw)).alias("overview"), F.when(good, F.coalesce(parsed["keyPoints"], none)).otherwise(none).alias("key_points"))
 
@@ -45,5 +45,15 @@ def sheet_metadata(value: Column) -> Column:
     return F.struct(m["sheetName"].alias("sheet"), F.try_element_at(rows, F.lit(1)).cast("long").alias("first_row"), F.try_element_at(rows, F.lit(2)).cast("long").alias("last_row"), m["columnHeaders"].alias("headers"))
 
 
-def prompt_data(value: Column) -> Column:
-    return F.substring(F.to_json(value), 1, PROMPT_DATA)
+def prompt_data(rows: DataFrame, key: str, order: str, columns: list[str], most: int = PROMPT_DATA) -> DataFrame:
+    """(key, data): the rows of each key as a JSON array of objects in order, cut at ``most`` characters.
+
+    What would be cut off is never gathered: a row takes three characters at least, so a running number drops most of a large key before
+    it is dealt, and a running length the rest.
+    """
+    own = Window.partitionBy(key).orderBy(order)
+    piece = rows.select(key, order, F.to_json(F.struct(*columns)).alias("__json"))
+    few = piece.withColumn("__n", F.row_number().over(own)).where(F.col("__n") <= most // 3 + 1)
+    placed = few.withColumn("__at", F.sum(F.length("__json") + 1).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.length("__json"))
+    kept = placed.where(F.col("__at") <= most).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__n", "__json"))).alias("__r"))
+    return kept.select(key, F.substring(F.concat(F.lit("["), F.array_join(F.transform("__r", lambda r: r["__json"]), ","), F.lit("]")), 1, most).alias("data"))

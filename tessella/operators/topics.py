@@ -172,8 +172,19 @@ def without_document(rows: DataFrame, words: Column) -> DataFrame:
     return kept.toDF("topic", "centroid", "keywords", "n")
 
 
-def with_document(moves: DataFrame, rows: DataFrame, topic: str, vector: str) -> DataFrame:
-    """Moves of documents with their confidence in the new topic, and the topic's centroid and size after each."""
-    joined = moves.join(rows, topic)
-    v, c, n = F.col(vector), F.col("centroid"), F.col("n")
-    return joined.withColumns({"confidence": vectors.cosine(v, c), "centroid": vectors.with_member(c, n, v), "n": n + 1})
+def moved(rows: DataFrame, moves: DataFrame) -> DataFrame:
+    """Topics (topic, centroid, n) after documents (id, source, target, v) went from one to another.
+
+    A document leaves its topic, a topic that has none left goes, and the new topic takes the vector in. All moves of a topic
+    are one sum of vectors, by place, so no topic is gathered; a document without a vector changes sizes only.
+    """
+    out = moves.select(F.col("source").alias("topic"), F.lit(-1).alias("sign"), "v")
+    come = moves.select(F.col("target").alias("topic"), F.lit(1).alias("sign"), "v")
+    both = out.unionByName(come)
+    sizes = both.groupBy("topic").agg(F.sum("sign").alias("more"), F.sum(F.when(F.col("v").isNotNull(), F.col("sign")).otherwise(0)).alias("weight"))
+    places = both.select("topic", "sign", F.posexplode("v").alias("place", "x")).groupBy("topic", "place").agg(F.sum(F.col("sign") * F.col("x")).alias("x"))
+    change = places.groupBy("topic").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "x"))), lambda s: s["x"]).alias("change"))
+    joined = rows.select("topic", "centroid", "n").join(sizes, "topic", "left").join(change, "topic", "left")
+    more, weight = F.coalesce("more", F.lit(0)), F.coalesce("weight", F.lit(0))
+    mean = F.when(F.col("change").isNull() | (F.col("n") + weight <= 0), F.col("centroid")).otherwise(F.zip_with("centroid", "change", lambda c, x: (c * F.col("n") + x) / (F.col("n") + weight)))
+    return joined.select("topic", mean.alias("centroid"), (F.col("n") + more).alias("n")).where("n > 0")

@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import parse, text, vectors
-from tessella.operators import charts, lexical, mutations, rules, search, topics
+from tessella.operators import charts, lexical, models, mutations, rules, search, topics
+from tessella.session import materialise, scratch_path
 from tessella.sources import files
 
 from .base import FILES, Book
@@ -20,6 +21,13 @@ def total(vector):
     return F.round(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x), 6)
 
 
+def counted_letters(texts: list[str]) -> list[list[float]]:
+    """A model that needs no network: how many letters, and how many of them e."""
+    if any(len(x) < 60 for x in texts):
+        raise ValueError("too short")
+    return [[float(len(x)), float(x.count("e"))] for x in texts]
+
+
 # Text and labels
 
 
@@ -57,11 +65,22 @@ def _(t):
     return t.documents.select("doc_id", F.md5(text.preview(F.concat(F.lit("## T\n- a **b** `c`\n1. d\n"), "text"))).alias("digest"))
 
 
-@query("markdown_blocks", """SELECT doc_id, place, kind, n_items FROM (SELECT doc_id, unnest([1, 2, 3, 4]) AS place, unnest(['heading', 'bullet', 'number', 'text']) AS kind, unnest([1, 2, 2, 1]) AS n_items FROM documents)""")
+MARKED = """lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+ kinds AS (SELECT doc_id, i, line, CASE i % 7 WHEN 1 THEN 'heading' WHEN 2 THEN 'bullet' WHEN 3 THEN 'bullet' WHEN 4 THEN 'number' WHEN 5 THEN 'blank' ELSE 'text' END AS kind FROM lines WHERE regexp_matches(line, '[\\w]'))"""
+
+
+@query("markdown_blocks", f"""WITH {MARKED}, starts AS (SELECT *, CASE WHEN kind = 'heading' OR kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY i), '') THEN 1 ELSE 0 END AS fresh FROM kinds),
+ blocks AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM starts), grouped AS (SELECT doc_id, b, any_value(kind) AS kind, count(*) AS n, sum(length(trim(line, ' ' || chr(9)))) AS letters FROM blocks GROUP BY doc_id, b)
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY b) AS BIGINT) AS place, kind, CASE WHEN kind = 'text' THEN 1 ELSE n END AS n_items, CAST(letters + CASE WHEN kind = 'text' THEN n - 1 ELSE 0 END AS BIGINT) AS letters FROM grouped WHERE kind <> 'blank'""")
 def _(t):
-    body = F.concat(F.lit("# Title\n- a\n- b\n\n1. c\n2. d\n\nx "), F.translate(F.coalesce("text", F.lit("")), "\n", " "))
+    """Every line of a text is marked by its place as heading, bullet, number, blank or plain, and read back as blocks."""
+    lines = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x, i: F.struct(x.alias("x"), (i + 1).alias("i")))
+    kept = F.filter(lines, lambda s: F.rlike(s["x"], F.lit(r"\w")))
+    mark = lambda s: F.when(s["i"] % 7 == 1, F.concat(F.lit("## "), s["x"])).when((s["i"] % 7).isin(2, 3), F.concat(F.lit("- "), s["x"])).when(s["i"] % 7 == 4, F.concat(F.lit("7. "), s["x"])).when(s["i"] % 7 == 5, F.lit("  ")).otherwise(s["x"])
+    body = F.array_join(F.transform(kept, mark), "\n")
     blocks = t.documents.select("doc_id", F.posexplode(text.markdown_blocks(body)).alias("place", "b"))
-    return blocks.select("doc_id", (F.col("place") + 1).alias("place"), "b.kind", F.size("b.items").alias("n_items"))
+    letters = F.aggregate("b.items", F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+    return blocks.select("doc_id", (F.col("place") + 1).cast("long").alias("place"), "b.kind", F.size("b.items").cast("long").alias("n_items"), letters.alias("letters"))
 
 
 @query("citation_parts", r"""SELECT conv_id, turn, k AS place, part, k % 2 = 0 AS cited FROM (SELECT conv_id, turn, unnest(p) AS part, generate_subscripts(p, 1) AS k FROM
@@ -101,9 +120,9 @@ def _(t):
     return found.select("vec_id", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
-@query("summary_json", """SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'Overview ' || item_id WHEN 1 THEN 'plain ' || item_id ELSE '{"overview": "cut ' || item_id END AS overview, CASE WHEN item_id % 3 = 0 THEN 2 ELSE 0 END AS n_points FROM benchmark""")
+@query("summary_json", """SELECT item_id, CASE item_id % 4 WHEN 0 THEN 'Overview ' || item_id WHEN 1 THEN 'plain ' || item_id WHEN 2 THEN '[' || item_id || ', "no object"]' ELSE '{"overview": "cut ' || item_id END AS overview, CASE WHEN item_id % 4 = 0 THEN 2 ELSE 0 END AS n_points FROM benchmark""")
 def _(t):
-    raw = F.when(F.col("item_id") % 3 == 0, F.concat(F.lit('{"overview": "Overview '), "item_id", F.lit('", "keyPoints": ["a", "b"]}'))).when(F.col("item_id") % 3 == 1, F.concat(F.lit(" plain "), "item_id")).otherwise(F.concat(F.lit('{"overview": "cut '), "item_id"))
+    raw = F.when(F.col("item_id") % 4 == 0, F.concat(F.lit('{"overview": "Overview '), "item_id", F.lit('", "keyPoints": ["a", "b"]}'))).when(F.col("item_id") % 4 == 1, F.concat(F.lit(" plain "), "item_id")).when(F.col("item_id") % 4 == 2, F.concat(F.lit(" ["), "item_id", F.lit(', "no object"]'))).otherwise(F.concat(F.lit('{"overview": "cut '), "item_id"))
     return t.benchmark.select("item_id", parse.summary(raw).alias("s")).select("item_id", "s.overview", F.size("s.key_points").alias("n_points"))
 
 
@@ -127,10 +146,11 @@ def _(t):
     return t.orders.select("o_orderkey", parse.sheet_metadata(meta).alias("m")).select("o_orderkey", "m.sheet", "m.first_row", "m.last_row", F.size("m.headers").alias("n_headers"))
 
 
-@query("prompt_data", "SELECT o_custkey, left('[' || string_agg('{\"id\":' || o_orderkey || ',\"p\":\"' || o_orderpriority || '\"}', ',' ORDER BY o_orderkey) || ']', 40000) AS data FROM orders GROUP BY o_custkey")
+@query("prompt_data", "SELECT o_orderstatus, left('[' || string_agg('{\"id\":' || o_orderkey || ',\"p\":\"' || o_orderpriority || '\"}', ',' ORDER BY o_orderkey) || ']', 40000) AS data FROM orders GROUP BY o_orderstatus")
 def _(t):
-    by = t.orders.groupBy("o_custkey").agg(F.sort_array(F.collect_list(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p")))).alias("rows"))
-    return by.select("o_custkey", parse.prompt_data(F.col("rows")).alias("data"))
+    """The orders of a status as JSON, which is longer than what is kept of it."""
+    rows = t.orders.select("o_orderstatus", F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("p"))
+    return parse.prompt_data(rows, "o_orderstatus", "id", ["id", "p"])
 
 
 @query("later_header_wins", "SELECT o_orderkey, o_orderpriority AS a, o_orderstatus AS b, 2 AS n FROM orders")
@@ -311,18 +331,31 @@ def _(t):
     return left.select("topic", "n", total(F.col("centroid")).alias("total"), *[F.round(F.col("keywords")[k], 6).alias(k) for k in ("a", "b")])
 
 
-@query("topic_move", FIRSTS + f""", o AS (SELECT label, n, {WITHOUT} AS centroid, v FROM r WHERE n > 1), mv AS (SELECT o.label, (SELECT min(label) FROM o x WHERE x.label > o.label) AS target, v FROM o)
- SELECT mv.label AS source, mv.target, round({COSINE.format(a='mv.v', b='c.centroid')}, 6) AS confidence, c.n + 1 AS n, round(list_sum(list_transform(list_zip(c.centroid, mv.v), lambda z: (z[1] * c.n + z[2]) / (c.n + 1))), 6) AS total FROM mv JOIN c ON c.label = mv.target""")
+@query("topic_move", """WITH e AS (SELECT vec_id, CASE WHEN vec_id % 50 = 7 THEN 1000 + vec_id ELSE label END AS topic, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT vec_id, topic AS source, CASE WHEN topic >= 1000 THEN vec_id % 10 ELSE (topic + 1) % 10 END AS target FROM e WHERE topic >= 1000 OR vec_id % 9 = 0),
+ after AS (SELECT coalesce(target, topic) AS topic, v FROM e LEFT JOIN m USING (vec_id)), p AS (SELECT topic, place, avg(x) AS x, count(*) AS n FROM (SELECT topic, unnest(v) AS x, generate_subscripts(v, 1) AS place FROM after) GROUP BY ALL)
+ SELECT topic, any_value(n) AS n, round(sum(x), 6) AS total FROM p GROUP BY topic""")
 def _(t):
-    """The first document of every topic would go to the next topic: what that one becomes, and how sure it is."""
-    now = _with_firsts(t).where("n > 1")
-    moves = now.select(F.col("topic").alias("source"), F.lead("topic").over(Window.orderBy("topic")).alias("target"), "v")
-    return topics.with_document(moves, now.select(F.col("topic").alias("target"), "centroid", "n"), "target", "v").select("source", "target", F.round("confidence", 6).alias("confidence"), "n", total(F.col("centroid")).alias("total"))
+    """Every ninth document goes to the next topic, and those that are topics of their own to a larger one, which ends theirs."""
+    every = t.embeddings.select(F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 50 == 7, F.col("vec_id") + 1000).otherwise(F.col("label").cast("long")).alias("topic"), vectors.doubles(F.col("embedding")).alias("v"))
+    alone = F.col("topic") >= 1000
+    moves = every.where(alone | (F.col("id") % 9 == 0)).select("id", F.col("topic").alias("source"), F.when(alone, F.col("id") % 10).otherwise((F.col("topic") + 1) % 10).alias("target"), "v")
+    return topics.moved(topics.centroids(every, "topic", "v"), moves).select("topic", F.col("n").cast("long").alias("n"), total(F.col("centroid")).alias("total"))
 
 
-@query("put_figures", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'skipped' ELSE 'put' END AS result FROM documents")
+@query("put_figures", "SELECT doc_id, CASE WHEN length(text) % 4 = 0 THEN 'skipped' ELSE 'put' END AS result, CASE WHEN length(text) % 4 <> 0 THEN octet_length(encode(text)) + 4 END AS n_bytes FROM documents")
 def _(t):
-    """Figures are put one by one; one that can't be is skipped and said to be, without losing the others."""
-    rows = t.documents.select("doc_id", F.concat(F.lit("figures/"), "doc_id").alias("key"), F.when(F.col("doc_id") % 4 > 0, F.lit(b"\x89PNG")).alias("image"))
-    return files.put_all(rows, "doc_id", "key", "image", files.refuse_empty)
+    """Figures are put into the shared folder one by one and read back; one that can't be is skipped and said to be, without losing the others."""
+    folder = scratch_path(t.spark, "figures")
+    image = F.when(F.length("text") % 4 != 0, F.concat(F.lit(b"\x89PNG"), F.encode("text", "UTF-8")))
+    done = materialise(files.put_all(t.documents.select("doc_id", F.concat(F.lit("doc-"), F.col("doc_id"), F.lit(".png")).alias("key"), image.alias("image")), "doc_id", "key", "image", files.into_folder(folder)), "puts")
+    there = t.spark.read.format("binaryFile").load(folder).select(F.regexp_extract("path", r"doc-(-?\d+)\.png$", 1).cast("long").alias("doc_id"), F.col("length").alias("n_bytes"))
+    return done.join(there, "doc_id", "left")
+
 
+@query("model_results", "SELECT doc_id, CASE WHEN length(text) >= 60 THEN length(left(text, 8000)) END AS letters, CASE WHEN length(text) >= 60 THEN length(left(text, 8000)) - length(replace(left(text, 8000), 'e', '')) END AS es, CASE WHEN length(text) < 60 AND trim(text) <> '' THEN 'ValueError: too short' END AS error FROM documents")
+def _(t):
+    """A stand-in model counts letters and refuses short texts; each text is sent once, and the second pass sends what failed only."""
+    path = scratch_path(t.spark, "model-table")
+    models.with_results(t.documents, "text", counted_letters, path).write.format("noop").mode("overwrite").save()
+    out = models.with_results(t.documents, "text", counted_letters, path)
+    return out.select("doc_id", F.col("result")[0].cast("long").alias("letters"), F.col("result")[1].cast("long").alias("es"), "error")

@@ -11,10 +11,12 @@ import io
 import re
 import struct
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,8 @@ from tessella.functions import text
 SPACE_W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 #: Embedded JPEGs of fewer bytes are decoration.
 LEAST_JPEG = 8192
+#: What a damaged, encrypted or strange archive raises; no error of the job.
+DAMAGED = (zipfile.BadZipFile, zlib.error, KeyError, ElementTree.ParseError, ValueError, RuntimeError, NotImplementedError, EOFError, OSError)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -36,7 +40,7 @@ def docx_text(data: bytes) -> str:
     """Paragraphs of a Word file, a blank line between them."""
     try:
         root = ElementTree.fromstring(zipfile.ZipFile(io.BytesIO(data)).read("word/document.xml"))
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
+    except DAMAGED:
         return ""
     mark = {f"{SPACE_W}t": lambda e: e.text or "", f"{SPACE_W}tab": lambda _: "\t", f"{SPACE_W}br": lambda _: "\n"}
     return "".join("".join(mark[e.tag](e) for e in p.iter() if e.tag in mark) + "\n\n" for p in root.iter(f"{SPACE_W}p"))
@@ -82,11 +86,18 @@ def docx_media(data: bytes) -> list[tuple[str, bytes]]:
     """Images of a Word file by the number in their name, without vector formats."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(data))
-    except zipfile.BadZipFile:
+    except DAMAGED:
         return []
+
+    def read(member: str) -> bytes:
+        try:
+            return archive.read(member)
+        except DAMAGED:
+            return b""
+
     number = lambda n: int("".join(c for c in n.rpartition("/")[2].rpartition(".")[0] if c.isdigit()) or 0)
     names = [n for n in archive.namelist() if n.startswith("word/media/") and n.rpartition(".")[2].lower() in text.IMAGE_TYPES]
-    return [(n, archive.read(n)) for n in sorted(names, key=number)]
+    return [(n, image) for n in sorted(names, key=number) if (image := read(n))]
 
 
 SPACE_S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -133,7 +144,7 @@ def workbook_sheets(data: bytes) -> list[tuple[str, list[list[str]]]]:
             width = max(map(len, rows), default=0)
             out.append((sheet.get("name", ""), [r + [""] * (width - len(r)) for r in rows]))
         return out
-    except (zipfile.BadZipFile, KeyError, ElementTree.ParseError, ValueError):
+    except DAMAGED:
         return []
 
 
@@ -165,6 +176,40 @@ def sheets(files: DataFrame) -> DataFrame:
     return files.where("route = 'spreadsheet'").select("path", "filename", "content").mapInPandas(opened, schema)
 
 
+#: Fixed value: the first bytes of the compound files that old Office formats are.
+COMPOUND = b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"
+
+
+def unreadable(route: str, name: str, data: bytes) -> str | None:
+    """Why nothing can be read of an upload; null if something can."""
+    if route not in ("docx", "spreadsheet") or name.lower().endswith(".csv"):
+        return None
+    if not data:
+        return "the file is empty"
+    if data.startswith(COMPOUND):
+        return "an old binary or encrypted Office file, which is not read"
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(data))
+        bad = archive.testzip()
+        if bad:
+            return f"damaged: {bad}"
+        main = "word/document.xml" if route == "docx" else "xl/workbook.xml"
+        return None if main in archive.namelist() else f"no {main} inside"
+    except DAMAGED as error:
+        return f"damaged or encrypted: {error}"
+
+
+def failures(files: DataFrame) -> DataFrame:
+    """(path, filename, failed_stage, last_error) of the uploads that nothing can be read of, such as .xls; they end as failures, not as empty texts."""
+
+    def tried(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            found = [(p, n, unreadable(r, n, bytes(c))) for p, n, r, c in zip(f["path"], f["filename"], f["route"], f["content"], strict=True)]
+            yield pd.DataFrame([(p, n, "extract", why[:2000]) for p, n, why in found if why], columns=["path", "filename", "failed_stage", "last_error"])
+
+    return files.where("route in ('docx', 'spreadsheet')").select("path", "filename", "route", "content").mapInPandas(tried, "path string, filename string, failed_stage string, last_error string")
+
+
 def workbook_text(name: str, data: bytes) -> str:
     """What a search sees of a workbook: every sheet's name, columns and rows."""
     parts = []
@@ -233,10 +278,18 @@ def ocr_text(images: DataFrame) -> DataFrame:
     return found.select("path", F.array_join(F.transform(F.filter("p", lambda x: x["text"] != ""), lambda x: x["text"]), "\n\n").alias("content"))
 
 
-def refuse_empty(key: str, data: bytes | None) -> None:
-    """A put that keeps nothing, for tries: what holds no bytes is refused."""
-    if not data:
-        raise ValueError(f"nothing to put at {key}")
+def into_folder(folder: str) -> Callable[[str, bytes | None], None]:
+    """A put that writes objects under a folder of any file system that pyarrow knows; what has no bytes is refused."""
+
+    def put(key: str, data: bytes | None) -> None:
+        if not data:
+            raise ValueError(f"nothing to put at {key}")
+        system, path = pyarrow.fs.FileSystem.from_uri(f"{folder}/{key}")
+        system.create_dir(path.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(path) as out:
+            out.write(bytes(data))
+
+    return put
 
 
 def put_all(rows: DataFrame, row: str, key: str, data: str, put: Callable[[str, bytes], None]) -> DataFrame:
