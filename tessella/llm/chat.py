@@ -11,8 +11,9 @@ result is a message of role ``tool``, a JSON object with ``tool_call_id`` and ``
   where calls still move after ``depth`` rounds are settled call by call: a call without open
   dependencies is ordered and frees those that wait for it. Calls that are never freed are in a
   cycle, or depend on one, and say so.
-* Arguments are checked against a JSON schema by tool: type, enum, const, properties, required,
-  additionalProperties, items, and bounds of numbers, lengths and counts, at any depth.
+* Arguments, an object or a string that holds one, are checked against a JSON schema by tool: the keywords of CHECKED and
+  BOUNDS, boolean schemas and references inside the schema, at any depth. A keyword, type, pattern or reference that is not
+  known is a problem of its own (``unsupported``), never passed over.
 * A message becomes one line of canonical JSON (RFC 8785): keys sorted by UTF-16, no blanks, shortest
   numbers. Whole numbers keep all their digits, which that standard would round to a double.
 
@@ -21,45 +22,59 @@ calls, without texts, of one whose dependencies go deeper than ``depth``);
 (conv_id, order_turn, order_step, turn) sorts a conversation.
 
 Defined cases: null text is null content; null role stays null; malformed blocks stay in the
-content and count as malformed (no JSON, not-a-number and infinite values, half surrogates, nesting over
-DEPTH levels); of equal keys of an object the last counts; calls without an id and results without a call are orphans;
+content and count as malformed (no JSON, not-a-number and infinite values, half surrogates), which for
+nesting over DEPTH levels is the problem's own name; of equal keys of an object the last counts; calls without an id and results without a call are orphans;
 repeated rows give repeated messages, whose calls count once; other columns are left out.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
+from decimal import Decimal
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.session import materialise
+from tessella.session import discard, materialise
 
 CALL = re.compile(r"<tool_call>(.*?)</tool_call>", re.S)
 #: Levels of nesting of a call or result, at most.
 DEPTH = 200
-EVENTS = "mid long, conv_id long, turn long, k int, kind string, id string, name string, arguments string, problems array<string>, depends array<string>"
+TOO_DEEP = f"nested over {DEPTH} levels"
+EVENTS = "mid binary, conv_id long, turn long, k int, kind string, id string, name string, arguments string, problems array<string>, depends array<string>"
 
 
 def _number(x: float) -> str:
     """The shortest decimal that reads back as ``x``, as ECMAScript writes it."""
-    if x == int(x) and abs(x) < 1e21:
-        return str(int(x))
-    digits, _, exponent = repr(x).partition("e")
-    if not exponent:
-        return digits
-    if -7 < int(exponent) < 0:
-        sign = "-" * (x < 0)
-        return f"{sign}0.{'0' * (-int(exponent) - 1)}{digits.lstrip('-').replace('.', '')}"
-    return f"{digits}e{int(exponent):+d}"
+    if x == 0:
+        return "0"
+    if not math.isfinite(x):
+        raise ValueError(repr(x))
+    mantissa, _, exponent = repr(abs(x)).partition("e")
+    whole, _, part = mantissa.partition(".")
+    part = "" if part == "0" else part
+    digits = (whole + part).lstrip("0")
+    point = len(whole) + int(exponent or 0) if whole != "0" else int(exponent or 0) - (len(part) - len(part.lstrip("0")))
+    digits = digits.rstrip("0")
+    n = len(digits)
+    if n <= point <= 21:
+        out = digits + "0" * (point - n)
+    elif 0 < point <= 21:
+        out = f"{digits[:point]}.{digits[point:]}"
+    elif -6 < point <= 0:
+        out = f"0.{'0' * -point}{digits}"
+    else:
+        out = f"{digits[0]}{'.' * (n > 1)}{digits[1:]}e{point - 1:+d}"
+    return "-" * (x < 0) + out
 
 
 def canonical(value, depth: int = DEPTH + 10) -> str:
     if depth < 0:
-        raise ValueError("nested too deep")
+        raise ValueError(TOO_DEEP)
     if isinstance(value, dict):
         return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical(value[k], depth - 1)}" for k in sorted(value, key=lambda k: k.encode("utf-16-be"))) + "}"
     if isinstance(value, list):
@@ -76,7 +91,9 @@ def loads(text: str):
     try:
         value = json.loads(text, parse_constant=_no_number)
         canonical(value, DEPTH).encode()
-    except (RecursionError, OverflowError) as e:
+    except RecursionError:
+        raise ValueError(TOO_DEEP) from None
+    except OverflowError as e:
         raise ValueError(str(e)) from None
     return value
 
@@ -89,6 +106,10 @@ def _is(value, kind: str) -> bool:
     }[kind]
 
 
+#: Types, keywords that are checked, and keywords that say nothing about a value.
+KINDS = ("string", "number", "integer", "boolean", "array", "object", "null")
+CHECKED = ("type", "enum", "const", "properties", "required", "additionalProperties", "items", "anyOf", "oneOf", "allOf", "not", "pattern", "uniqueItems", "multipleOf", "$ref")
+SILENT = ("title", "description", "default", "examples", "format", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment", "$defs", "definitions")
 #: Bounds of a schema: what they measure, and whether a measure keeps the bound.
 BOUNDS = {
     "minimum": ("number", lambda x, y: x >= y), "maximum": ("number", lambda x, y: x <= y), "exclusiveMinimum": ("number", lambda x, y: x > y), "exclusiveMaximum": ("number", lambda x, y: x < y),
@@ -96,30 +117,73 @@ BOUNDS = {
 }
 
 
-def problems_of(value, schema: dict, at: str = "") -> list[str]:
-    """What is wrong with a value by its schema, as ``path: problem``."""
-    out = []
-    kinds = [schema["type"]] if isinstance(schema.get("type"), str) else schema.get("type", [])
+def _referred(root, pointer) -> dict | bool | None:
+    """What a reference inside the schema (``#/...``) stands for; None if it is none."""
+    if not isinstance(pointer, str) or not pointer.startswith("#"):
+        return None
+    for part in [p.replace("~1", "/").replace("~0", "~") for p in pointer[1:].split("/")[1:]]:
+        if not isinstance(root, dict) or part not in root:
+            return None
+        root = root[part]
+    return root if isinstance(root, (dict, bool)) else None
+
+
+def _whole_times(value: float, step: float) -> bool:
+    return step > 0 and (Decimal(repr(value)) % Decimal(repr(step))) == 0
+
+
+def problems_of(value, schema: dict | bool, at: str = "", root: dict | bool | None = None, depth: int = DEPTH) -> list[str]:
+    """What is wrong with a value by its schema, as ``path: problem``; keywords that are not known say so."""
+    root = schema if root is None else root
+    if isinstance(schema, bool):
+        return [] if schema else [f"{at}: not allowed"]
+    if not isinstance(schema, dict) or depth < 0:
+        return [f"{at}: unsupported schema"]
+    inside = lambda v, s, where=at: problems_of(v, s, where, root, depth - 1)
+    out = [f"{at}: unsupported keyword {k}" for k in schema if k not in CHECKED and k not in SILENT and k not in BOUNDS]
+    kinds = schema.get("type", [])
+    kinds = kinds if isinstance(kinds, list) else [kinds]
+    out += [f"{at}: unsupported type {k}" for k in kinds if k not in KINDS]
+    kinds = [k for k in kinds if k in KINDS]
     if kinds and not any(_is(value, k) for k in kinds):
-        return [f"{at}: no {' or '.join(kinds)}"]
-    allowed = schema.get("enum", [schema["const"]] if "const" in schema else None)
-    if allowed is not None and canonical(value) not in map(canonical, allowed):
-        out.append(f"{at}: not among the allowed values")
+        return [*out, f"{at}: no {' or '.join(kinds)}"]
+    if "$ref" in schema:
+        target = _referred(root, schema["$ref"])
+        out += [f"{at}: unsupported reference {schema['$ref']}"] if target is None else inside(value, target)
+    for allowed in [schema[k] if k == "enum" else [schema[k]] for k in ("enum", "const") if k in schema]:
+        if canonical(value) not in map(canonical, allowed):
+            out.append(f"{at}: not among the allowed values")
     out += [f"{at}: breaks {name} {_number(float(schema[name]))}" for name, (kind, keeps) in BOUNDS.items() if name in schema and _is(value, kind) and not keeps(value, schema[name])]
+    if "multipleOf" in schema and _is(value, "number") and not _whole_times(value, schema["multipleOf"]):
+        out.append(f"{at}: breaks multipleOf {_number(float(schema['multipleOf']))}")
+    if "pattern" in schema and isinstance(value, str):
+        try:
+            out += [] if re.search(schema["pattern"], value) else [f"{at}: breaks pattern {schema['pattern']}"]
+        except re.error:
+            out.append(f"{at}: unsupported pattern {schema['pattern']}")
+    for part in schema.get("allOf", []):
+        out += inside(value, part)
+    for name, right in (("anyOf", lambda n: n > 0), ("oneOf", lambda n: n == 1)):
+        if name in schema and not right(sum(not inside(value, part) for part in schema[name])):
+            out.append(f"{at}: breaks {name}")
+    if "not" in schema and not inside(value, schema["not"]):
+        out.append(f"{at}: breaks not")
     if isinstance(value, dict):
         inner, more = schema.get("properties", {}), schema.get("additionalProperties", True)
         path = f"{at}." if at else ""
         out += [f"{path}{k}: missing" for k in schema.get("required", []) if k not in value]
         for k, v in value.items():
             if k in inner:
-                out += problems_of(v, inner[k], path + k)
+                out += inside(v, inner[k], path + k)
             elif more is False:
                 out.append(f"{path}{k}: unknown")
-            elif isinstance(more, dict):
-                out += problems_of(v, more, path + k)
-    if isinstance(value, list) and "items" in schema:
+            else:
+                out += inside(v, more, path + k)
+    if isinstance(value, list):
         for k, v in enumerate(value):
-            out += problems_of(v, schema["items"], f"{at}[{k}]")
+            out += inside(v, schema.get("items", True), f"{at}[{k}]")
+        if schema.get("uniqueItems") is True and len(set(map(canonical, value))) < len(value):
+            out.append(f"{at}: breaks uniqueItems")
     return out
 
 
@@ -142,22 +206,37 @@ def parse(role: str | None, text: str | None, schemas: dict) -> tuple[str | None
         try:
             value = loads(text)
             return canonical(value["content"]) if not isinstance(value["content"], str) else value["content"], [(0, "result", _name(value.get("tool_call_id")), None, None, [], [])]
-        except (ValueError, KeyError, TypeError, AttributeError):
-            return text, [(0, "malformed", None, None, None, ["malformed"], [])]
+        except (ValueError, KeyError, TypeError, AttributeError) as error:
+            return text, [(0, "malformed", None, None, None, [_reason(error)], [])]
     events, kept, at = [], [], 0
     for k, m in enumerate(CALL.finditer(text)):
         try:
             value = loads(m[1])
-            arguments = value.get("arguments", {})
+            arguments = _arguments(value.get("arguments", {}))
             depends = [d for d in value.get("depends_on") or [] if isinstance(d, str)]
             events.append((k, "call", _name(value.get("id")), _name(value.get("name")), canonical(arguments), check(value.get("name"), arguments, schemas), sorted(set(depends))))
             kept.append(text[at : m.start()])
             at = m.end()
-        except (ValueError, AttributeError, TypeError):
-            events.append((k, "malformed", None, None, None, ["malformed"], []))
+        except (ValueError, AttributeError, TypeError) as error:
+            events.append((k, "malformed", None, None, None, [_reason(error)], []))
     return "".join([*kept, text[at:]]), events
 
 
+def _arguments(value):
+    """Arguments as they are, or those that a string holds as JSON, which is how they are often sent."""
+    if isinstance(value, str):
+        try:
+            inner = loads(value)
+        except ValueError:
+            return value
+        return inner if isinstance(inner, dict) else value
+    return value
+
+
+def _reason(error: Exception) -> str:
+    return TOO_DEEP if str(error) == TOO_DEEP else "malformed"
+
+
 def _name(value) -> str | None:
     return value if isinstance(value, str) else None
 
@@ -166,7 +245,7 @@ def _events_task(schemas: dict):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = [(mid, conv, turn, *e) for mid, conv, turn, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) for e in parse(role, text, schemas)[1]]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
+            kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.list_(pa.string()))
             columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in EVENTS.split(", ")])
 
@@ -214,7 +293,8 @@ def settle(linked: DataFrame, depends: DataFrame, depth: int) -> DataFrame:
             "conv_id", "id", "turn", "result_turn", F.greatest("order_turn", F.coalesce("t", "order_turn")).alias("order_turn"), F.greatest("step", F.coalesce("s", "step")).alias("step"),
             (F.coalesce("s", "step") > F.col("step")).alias("cyclic"),
         )
-        now = materialise(after, "order")
+        before, now = now, materialise(after, "order")
+        discard(before)
         if now.where("cyclic").isEmpty():
             return now
     moving = now.where("cyclic").select("conv_id").distinct()
@@ -279,7 +359,8 @@ def _message_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def format_messages(conversations: DataFrame, schemas: dict | None = None, depth: int = 64) -> DataFrame:
     """One row per message (FORMATTED)."""
     own = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
-    own = own.withColumn("mid", F.xxhash64("conv_id", "turn", "role", "text"))
+    who = F.to_json(F.struct("conv_id", "turn", "role", F.col("text").isNull().alias("none")))
+    own = own.withColumn("mid", F.unhex(F.sha2(F.concat(who, F.coalesce("text", F.lit(""))), 256)))
     events = link(own, schemas, depth).groupBy("mid").agg(F.collect_list(F.struct("k", "kind", "id", "name", "arguments", "problems", "status", "order_turn", "step", "result_turn")).alias("events"))
     return own.join(events, "mid", "left").select("conv_id", "turn", "role", "text", "events").mapInArrow(_message_task, FORMATTED)
 
