@@ -53,7 +53,9 @@ STRONG = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored sidebar menu menubar nav navbar navigation breadcrumb breadcrumbs comment comments disqus replies respond "
     "cookie cookies consent gdpr footer newsletter pagination pager share sharing social".split()
 )
-WEAK = frozenset("promo promotion notice notification banner popup modal overlay related recommended subscribe subscription signup login header masthead logo widget toolbar copyright disclaimer skip".split())
+WEAK = frozenset("promo promotion notice notification banner popup modal overlay related recommended subscribe subscription signup login header masthead logo widget toolbar copyright disclaimer skip paywall regwall".split())
+#: Names of reader comments that may as well be a part of an article, where they say nothing.
+THREADS = frozenset("discussion discussions reactions responses talkback".split())
 COMPANIONS = frozenset(
     "site page global main top bottom left right upper lower primary secondary sub user reader blog post posts story stories entry article articles box bar list lists item items container wrapper wrap inner outer "
     "area section block panel group content body text title row column col link links button buttons icon icons form thread tree count meta media unit slot zone rail fixed sticky floating large small mini mobile desktop to "
@@ -85,7 +87,7 @@ def named(value: str, in_article: bool) -> int:
         parts = {x.lower() for x in NAME_PART.findall(word)}
         if in_article:
             parts -= {"header"} if len(parts) > 1 else set()
-        names = parts & (STRONG | WEAK)
+        names = parts & (STRONG | WEAK | (frozenset() if in_article else THREADS))
         if names and not parts & DENIALS and all(x in COMPANIONS or x in names or x.isdigit() for x in parts) and not (in_article and names == {"header"}):
             most = max(most, 2 if names & STRONG else 1)
     return most
@@ -126,8 +128,9 @@ class Page:
                     self._block += 1
 
         at, n = 0, len(source)
+        ends = source.rfind(">") + 1  # past it no markup can end, so none is looked for
         while at < n:
-            m = MARKUP.search(source, at)
+            m = MARKUP.search(source, at, ends) if at < ends else None
             self._text(source[at : m.start()] if m else self._tail(source, at), stack[-1])
             if not m:
                 break
@@ -136,7 +139,10 @@ class Page:
             if name:
                 tag, attributes = name.lower(), m[2] if m[1] else m[4]
                 if tag not in INLINE and opened.get("p"):
-                    close(max(k for k, e in enumerate(stack) if self.tag[e] == "p"))
+                    k = len(stack) - 1
+                    while self.tag[stack[k]] != "p":
+                        k -= 1
+                    close(k)
                 elif tag in ("li", "tr", "td", "th", "dt", "dd", "option") and self.tag[stack[-1]] == tag:
                     close(len(stack) - 1)
                 if tag == "br":

@@ -200,3 +200,21 @@ def blocks(source):
     parser = Blocks(convert_charrefs=True)
     parser.feed(source)
     return parser.out
+
+
+@pytest.mark.parametrize("part", ["<a", "<a '", "</", "<p><div>", "<div>", "<ul><li>a", '<a ">x', "<b><i>x</b>", "<!--", "<script>"])
+def test_odd_markup_takes_linear_time(part):
+    import time
+
+    start = time.perf_counter()
+    htmltext.main_text(part * (400_000 // len(part)))
+    assert time.perf_counter() - start < 10
+
+
+def test_threads_and_walls_outside_the_article_go():
+    body = "<p>" + "A sentence of the article, with some words in it. " * 8 + "</p>"
+    page = lambda inner: f"<html><body><article><h1>Title</h1>{body}{inner}</article><div class='discussion'><p>Nice read, thanks a lot, really.</p></div><div id='reactions'><p>I do not agree, not at all.</p></div><div class='paywall'>Sign in to read more.</div></body></html>"
+    text = htmltext.main_text(page(f"<section class='discussion'>{body}</section>"))
+    assert "Nice read" not in text and "agree" not in text and "Sign in" not in text and text.count("A sentence") == 16
+    bare = htmltext.main_text(f"<html><body><h1>Title</h1>{body}{body}<div class='discussion'><p>Nice read, thanks a lot, really.</p></div><div class='paywall'>Sign in to read more.</div></body></html>")
+    assert bare.count("A sentence") == 16 and "Nice read" not in bare and "Sign in" not in bare
