@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessella.functions import parse
 from tessella.operators import chunking
 from tessella.session import scratch_path
 from tessella.streaming import stages, state
@@ -132,3 +133,15 @@ def _(t):
     t.embeddings
     docs = vectors_.select((F.col("vec_id") % 4).alias("project"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     return state.worked_off(state.online_topics(docs, 0.3), "topics")
+
+
+@query("stream_queue", """SELECT doc_id, CASE WHEN length(trim(text)) >= 50 THEN 'embed' ELSE 'retry' END AS type FROM documents""")
+def _(t):
+    """Each document sends a job through a queue to the next stage, which reads what kind of job it is."""
+    t.documents
+    folder = scratch_path(t.spark, "queue")
+    kind = F.when(F.length(F.trim("text")) >= 50, "embed").otherwise("retry")
+    jobs = stages.read_stream(t.spark, f"{t.folder}/documents.parquet").select(F.to_json(F.struct(kind.alias("type"), F.col("doc_id").cast("string").alias("docId"))).alias("body"))
+    stages.enqueue(jobs, folder, scratch_path(t.spark, "mark"))
+    came = stages.to_table(stages.dequeue(t.spark, folder), "jobs").select(parse.job(F.col("body")).alias("j")).where("j is not null")
+    return came.select(F.col("j.docId").cast("long").alias("doc_id"), "j.type")

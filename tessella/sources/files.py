@@ -284,7 +284,8 @@ def into_folder(folder: str) -> Callable[[str, bytes | None], None]:
     def put(key: str, data: bytes | None) -> None:
         if not data:
             raise ValueError(f"nothing to put at {key}")
-        system, path = pyarrow.fs.FileSystem.from_uri(f"{folder}/{key}")
+        system, base = pyarrow.fs.FileSystem.from_uri(folder)
+        path = f"{base}/{key}"
         system.create_dir(path.rpartition("/")[0], recursive=True)
         with system.open_output_stream(path) as out:
             out.write(bytes(data))

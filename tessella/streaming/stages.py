@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text
 from tessella.operators import chunking, rules
 from tessella.session import materialise, scratch_path
+from tessella.sources.queue import MessageQueue
 
 
 def read_stream(spark: SparkSession, path: str, **options: str) -> DataFrame:
@@ -85,6 +86,20 @@ def run_stage(stream: DataFrame, sink: str, mark: str, stage: Callable[[DataFram
                 raise
 
 
+def enqueue(jobs: DataFrame, folder: str, mark: str) -> None:
+    """Work off a stream of messages (``body``) into the queue of a folder; each batch is there once, whatever fails."""
+    spark = jobs.sparkSession
+    spark.dataSource.register(MessageQueue)
+    sink = jobs.select("body").writeStream.format("message_queue").option("path", folder).option("generation", str(_generation(spark, mark)))
+    sink.option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+
+
+def dequeue(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of a queue as a stream."""
+    spark.dataSource.register(MessageQueue)
+    return spark.readStream.format("message_queue").option("path", folder).load()
+
+
 def current(spark: SparkSession, sink: str, key: str = "doc_id") -> DataFrame:
     """The rows of the last delivery of every key, without ``delivered``, generation and batch."""
     at = F.struct("delivered", "generation", "batch")
