@@ -15,6 +15,28 @@ def one(spark, column):
     return spark.range(1).select(column.alias("v")).first().v
 
 
+@pytest.mark.parametrize(("block", "parts"), [(1, 3), (7, 4), (64, 2), (4096, 1)])
+def test_row_buckets_of_large_sheets_in_slices(spark, block, parts):
+    """Sheets of every size, one of most rows, rows longer than the limit and empty ones, a null sheet."""
+    import random
+
+    rng = random.Random(block)
+    rows = [(s, k, rng.choice((0, 1, 9, 30, 40, 41, 130)), f"{s}-{k}") for s, n in ((1, 1), (2, 700), (None, 90), (4, 33), (5, 5)) for k in range(n)]
+    frame = spark.createDataFrame(rows, "sheet long, k long, n long, line string").repartition(parts)
+    found = {(r.line, r.row, r.bucket, r.chars) for r in chunking.row_buckets(frame, ["sheet"], ["k"], "n", 120, "line", block=block).collect()}
+    due = set()
+    for _, k, n, line in rows:
+        if k == 0:
+            number, bucket, chars = 1, 0, 0
+        number += 1
+        if chars and chars + n > 120:
+            bucket, chars = bucket + 1, 0
+        chars += n + 1
+        due.add((line, number, bucket, chars))
+    assert found == due
+    assert chunking.row_buckets(frame.limit(0), ["sheet"], ["k"], "n", 120, "line").collect() == []
+
+
 def test_packed_units():
     whole = ["aaaa", "bbbb", "cccc", "d"]
     assert chunking.packed(whole, 10, 4) == ["aaaa\n\nbbbb", "bbbb\n\ncccc", "cccc\n\nd"]
