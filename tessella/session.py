@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -63,6 +65,13 @@ def cancel(spark: SparkSession, tag: str) -> None:
     spark.sparkContext.cancelJobsWithTag(tag)
 
 
+def by_value(*modules: str) -> None:
+    """What these modules define is sent to workers whole: those that Spark starts beside the driver, for state
+    processors and data sources, don't get the package that ``ship_package`` sends to executors."""
+    for name in modules:
+        cloudpickle.register_pickle_by_value(sys.modules[name])
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{folder}/{name}.parquet")

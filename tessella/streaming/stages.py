@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text
 from tessella.operators import chunking, rules
-from tessella.session import materialise, scratch_path
+from tessella.session import by_value, materialise, scratch_path
 from tessella.sources.queue import MessageQueue
 
 
@@ -89,6 +89,7 @@ def run_stage(stream: DataFrame, sink: str, mark: str, stage: Callable[[DataFram
 def enqueue(jobs: DataFrame, folder: str, mark: str) -> None:
     """Work off a stream of messages (``body``) into the queue of a folder; each batch is there once, whatever fails."""
     spark = jobs.sparkSession
+    by_value(MessageQueue.__module__)
     spark.dataSource.register(MessageQueue)
     sink = jobs.select("body").writeStream.format("message_queue").option("path", folder).option("generation", str(_generation(spark, mark)))
     sink.option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
@@ -96,6 +97,7 @@ def enqueue(jobs: DataFrame, folder: str, mark: str) -> None:
 
 def dequeue(spark: SparkSession, folder: str) -> DataFrame:
     """The messages of a queue as a stream."""
+    by_value(MessageQueue.__module__)
     spark.dataSource.register(MessageQueue)
     return spark.readStream.format("message_queue").option("path", folder).load()
 

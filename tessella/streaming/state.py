@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessella.operators import topics
-from tessella.session import scratch_path
+from tessella.operators.topics import ASSIGN, Topics
+from tessella.session import by_value, scratch_path
 
 STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -26,6 +27,7 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 @contextmanager
 def keyed_state(spark: SparkSession):
     """Streams started inside keep their state in RocksDB; the session's own setting comes back."""
+    by_value(__name__, topics.__name__)
     before = spark.conf.get(STORE, None)
     spark.conf.set(STORE, ROCKSDB)
     try:
@@ -55,7 +57,7 @@ class _TopicStates(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         came = pd.concat([f[["id", "vector"]] for f in rows]).sort_values("id")
         known = sorted((v[0], k[0], v[1], v[2]) for k, v in self.held.iterator())
-        now = topics.Topics(len(came["vector"].iloc[0]))
+        now = Topics(len(came["vector"].iloc[0]))
         for _, name, n, sums in known:
             now.restore(name, n, np.asarray(sums))
         out, changed = [], set()
@@ -72,11 +74,12 @@ class _TopicStates(StatefulProcessor):
         pass
 
 
-def online_topics(docs: DataFrame, threshold: float = topics.ASSIGN) -> DataFrame:
+def online_topics(docs: DataFrame, threshold: float = ASSIGN) -> DataFrame:
     """(project, id, topic, confidence) of a stream (project long, id long, vector array<double>), as ``topics.online`` gives for all of it.
 
     Rows without a vector are left out.
     """
+    by_value(__name__, topics.__name__)
     known = docs.where(F.col("vector").isNotNull() & F.col("project").isNotNull() & F.col("id").isNotNull()).select("project", "id", "vector")
     return known.groupBy("project").transformWithStateInPandas(statefulProcessor=_TopicStates(threshold), outputStructType="project long, id long, topic long, confidence double", outputMode="Append", timeMode="None")
 
@@ -129,6 +132,7 @@ def taken_once(calls: DataFrame, keep: str = "10 minutes", late: str = "1 hour")
     A take gets what was stashed last under its request, if that is younger than ``keep`` and no take came between; a second or late
     take gets nothing. What is never taken leaves the state when the watermark passes its time.
     """
+    by_value(__name__)
     keep_ms = int(pd.Timedelta(keep).total_seconds() * 1000)
     rows = calls.select("request", "id", "at", "stash", "data", F.unix_millis("at").alias("at_ms")).withWatermark("at", late)
     return rows.groupBy("request").transformWithStateInPandas(statefulProcessor=_Pending(keep_ms), outputStructType="request long, id long, taken boolean, data string", outputMode="Append", timeMode="EventTime")
