@@ -57,6 +57,15 @@ def full_fold(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else "".join(c for c in unicodedata.normalize("NFKD", t.lower()) if not "̀" <= c <= "ͯ"))
 
 
+def search_folded(text: Column) -> Column:
+    """``folded``, of compatibility characters (ligatures, full-width letters, other scripts' marks) too.
+
+    Only texts with letters beyond Latin-1 and Latin Extended-A leave the JVM to be decomposed.
+    """
+    odd = F.when(text.rlike("[^\\x00-\\u017f]"), text)
+    return folded(F.coalesce(full_fold(odd), text))
+
+
 def tokens(text: Column) -> Column:
     """Search tokens: folded words of more than two characters."""
     return F.filter(F.split(folded(F.coalesce(text, F.lit(""))), " "), lambda w: F.length(w) > 2)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import details, relations, retrieval, streams, texts
+from . import details, layouts, relations, retrieval, streams, texts
 
-BOOKS = (texts.book, retrieval.book, relations.book, details.book, streams.book)
+BOOKS = (texts.book, retrieval.book, relations.book, details.book, streams.book, layouts.book)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -136,6 +136,8 @@ def test_text_rules(spark):
     assert [one(spark, text.finite(F.lit(x))) for x in ("", " 7 ", "0x10", "true", "x", "1e400", None)] == [0.0, 7.0, 16.0, 1.0, None, None, None]
     assert one(spark, text.preview(F.lit("# A\n- b\n1. **c**"))) == "A b c"
     assert one(spark, text.full_fold(F.lit("ﬁÉ"))) == "fie"
+    assert one(spark, text.search_folded(F.lit("Oﬃce Ｎｏ．１２ Ñandú Ⅳ"))) == "office no.12 nandu iv" and one(spark, text.search_folded(F.lit("Plain É"))) == "plain e"
+    assert one(spark, text.search_folded(F.lit(None).cast("string"))) is None
 
 
 def test_charts(spark):
