@@ -90,30 +90,34 @@ class WordTokens:
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
         whole = {k: t for k, t in enumerate(texts) if any(x in t for x in self.special)}
-        split = [[] if k in whole else _spaced(t).split() for k, t in enumerate(texts)]
-        new = set().union(*split).difference(self.known)
+        words, bounds = _words([b"" if k in whole else t.encode("utf-8", "replace") for k, t in enumerate(texts)])
+        coded = words.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        new = [w for w in distinct if w not in self.known]
         if len(self.known) + len(new) > WORDS_KEPT:
             self.forget()
-            new = set().union(*split)
+            new = distinct
         if new:
-            self.learn(list(new))
-        out = []
-        for k, words in enumerate(split):
-            if k in whole:
-                out.append(np.array(self.tokenizer.encode(whole[k], add_special_tokens=False).ids, dtype="<u4"))
-                continue
-            at = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-            sizes = self.sizes[at]
-            ends = np.cumsum(sizes)
-            out.append(self.pool[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)])
-        return out
-
-
-def _spaced(text: str) -> bytes:
-    """The UTF-8 of a text in small letters, a space put between letter and mark."""
-    data = np.frombuffer(text.encode("utf-8", "replace").lower(), dtype=np.uint8)
-    cuts = np.flatnonzero(_LETTER[data[:-1]] & _STOP[data[1:]]) + 1
-    return np.insert(data, cuts, 0x20).tobytes()
+            self.learn(new)
+        at = np.fromiter(map(self.known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[np.asarray(coded.indices)]
+        sizes = self.sizes[at]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        ids = self.pool[np.repeat(self.starts[at] - ends[:-1], sizes) + np.arange(ends[-1])]
+        parts = ends[bounds].tolist()
+        return [np.array(self.tokenizer.encode(whole[k], add_special_tokens=False).ids, dtype="<u4") if k in whole else ids[parts[k] : parts[k + 1]] for k in range(len(texts))]
+
+
+def _words(raw: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in small letters, cut at white space and between letter and mark, and the index of each text's first word (n + 1 values)."""
+    data = np.frombuffer(b" ".join([*raw, b""]).lower(), dtype=np.uint8) if raw else np.zeros(0, dtype=np.uint8)  # a space after each text
+    inside = ~textcore.SEPARATOR[data]
+    first = inside.copy()
+    first[1:] &= ~inside[:-1] | _LETTER[data[:-1]] & _STOP[data[1:]]
+    starts = np.flatnonzero(first)
+    kept = np.concatenate([[0], np.cumsum(inside)])  # the words without what parts them
+    offsets = np.append(kept[starts], kept[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[inside])])
+    return words, np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(r) + 1 for r in raw])]))
 
 
 def _pieces(path: str, capacity: int, closing: int, keep_ids: bool):

@@ -68,3 +68,11 @@ def test_packed_sequences(spark, reference):
         assert at <= 4096
     assert len(places) <= 1.05 * sum(r.length for r in out) / 4096 + 1
     assert packing.pack(docs.limit(0), PATH).count() == 0
+
+
+def test_words_of_a_batch_are_those_of_each_text():
+    texts = ["", "Ab. c,d\x0be", "x", " \t", "a.b.c é. É", "end", ""]
+    words, bounds = packing._words([t.encode() for t in texts])
+    own = [words.to_pylist()[bounds[k] : bounds[k + 1]] for k in range(len(texts))]
+    assert own == [[], [b"ab", b". c,d".split()[0], b"c", b",d", b"e"], [b"x"], [], [b"a", b".b", b".c", "é.".encode(), "É.".encode()[:-1]], [b"end"], []]
+    assert packing._words([])[1].tolist() == [0]
