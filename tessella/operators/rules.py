@@ -66,14 +66,14 @@ CODE_SECONDS = 600
 def checked_codes(rows: DataFrame, who: str, at: str, order: str) -> DataFrame:
     """Entries of codes with their result: none, expired, wrong or ok, by the last code issued before.
 
-    Rows with ``issued`` send a code, the others enter one. Times are kept as seconds since 1970.
+    Rows with ``issued`` send a code, the others enter one. A code ends CODE_SECONDS after the whole second (since 1970)
+    nearest to its time, the even one of two; rows without a time are the last.
     """
-    w = Window.partitionBy(who).orderBy(at, order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(who).orderBy(F.asc_nulls_last(at), F.asc_nulls_last(order)).rowsBetween(Window.unboundedPreceding, 0)
     seconds = F.unix_micros(F.col(at).cast("timestamp")) / 1_000_000
-    ends = F.timestamp_seconds(F.floor(seconds)) + F.expr(f"interval {CODE_SECONDS} seconds")
     last = lambda c: F.last(F.when(F.col("issued"), c), ignorenulls=True).over(w)
-    known = rows.withColumn("__ends", last(ends)).withColumn("__code", last(F.col("code"))).where(~F.col("issued"))
-    late = F.col(at).cast("timestamp") > F.col("__ends")
+    known = rows.withColumn("__ends", last(F.rint(seconds) + CODE_SECONDS)).withColumn("__code", last(F.col("code"))).where(~F.col("issued"))
+    late = seconds > F.col("__ends")
     return known.withColumn("result", F.when(F.col("__ends").isNull(), "none").when(late, "expired").when(F.col("__code") != F.col("code"), "wrong").otherwise("ok")).drop("__ends", "__code")
 
 

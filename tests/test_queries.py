@@ -68,6 +68,21 @@ def test_filters_and_columns_reach_the_scan(spark, data):
     assert "ReadSchema: struct<c_mktsegment:string>" in plan
 
 
+def test_codes_end_at_the_nearest_second(spark, tmp_path):
+    """Signups at half seconds and other fractions, entries around their ends, one row without a time; as SQL has it."""
+    at = datetime.datetime(2024, 1, 1)
+    rows, n = [], 0
+    for user, fraction in enumerate((0.0, 0.4, 0.5, 0.6, 1.5, 1.6)):
+        times = [("signup", fraction), *[("click", 600 + x / 4) for x in range(13)], ("signup" if user == 3 else "view", None)]
+        for kind, seconds in times:
+            n += 3
+            rows.append((n, None if seconds is None else at + datetime.timedelta(seconds=seconds), user, kind))
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    ours = sorted((r.event_id, r.result) for r in QUERIES["code_checks"](spark, str(tmp_path)).collect())
+    theirs = duckdb.sql(SQL["code_checks"].replace("FROM events", f"FROM '{tmp_path}/events.parquet/*.parquet'")).fetchall()
+    assert ours == sorted(theirs) and {r for _, r in theirs} >= {"ok", "expired"}
+
+
 def scans(plan, table):
     return plan.count(f"/{table}.parquet")
 
