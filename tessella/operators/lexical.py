@@ -77,6 +77,14 @@ class Postings:
         parts = pairs.join(self.asked.select(self.query, "token", "weight"), self.query).join(self.rows, [self.key, "token"])
         return parts.groupBy(self.query, self.key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
+    def sums(self, asked: DataFrame) -> DataFrame:
+        """(query, key, score): all pairs that share a token of ``asked`` (query, token, weight).
+
+        Postings are dealt by key, so that the pairs of a chunk arise and are summed in one task and don't travel.
+        """
+        parts = self.rows.repartition(self.key).join(asked.select(self.query, "token", "weight"), "token")
+        return parts.groupBy(self.query, self.key).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
 
 def _ranked(scored: DataFrame, key: str, query: str, k: int) -> DataFrame:
     best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), key)
@@ -93,27 +101,50 @@ def thresholds(postings: Postings, k: int) -> DataFrame:
     return full.groupBy(query).agg(F.count("*").alias("n"), F.min("score").alias("floor")).select(query, F.when(F.col("n") >= k, F.col("floor") - SLACK).otherwise(0.0).alias("floor"))
 
 
-def candidates(postings: Postings, k: int) -> DataFrame:
-    """(query, key): pairs that may be among the k best; a written table.
+def limits(postings: Postings, k: int) -> DataFrame:
+    """The asked tokens with the ``floor`` of their question and whether they are ``read``; a written table.
 
     Tokens of a question are taken by rising bound, the commonest first, and stay unread while their bounds add up to
-    less than the share UNREAD of the question's floor. A chunk that has only such tokens is out. Of the others what was
-    read and all that the unread tokens could add must reach the floor.
+    less than the share UNREAD of the question's floor.
+    """
+    rising = Window.partitionBy(postings.query).orderBy("bound", "token")
+    return materialise(postings.asked.join(thresholds(postings, k), postings.query).withColumn("read", F.sum("bound").over(rising) > UNREAD * F.col("floor")), "limits")
+
+
+def candidates(postings: Postings, k: int, known: DataFrame | None = None) -> DataFrame:
+    """(query, key): pairs that may be among the k best; a written table. ``known`` are the ``limits``, if they are there.
+
+    A chunk that has only unread tokens is out. Of the others what was read and all that the unread tokens could add
+    must reach the floor.
+    """
+    limits_ = limits(postings, k) if known is None else known
+    key, query = postings.key, postings.query
+    rest = limits_.groupBy(query).agg(F.max("floor").alias("floor"), F.sum(F.when(F.col("read"), 0.0).otherwise(F.col("bound"))).alias("rest"))
+    pairs = postings.sums(limits_.where("read"))
+    return materialise(pairs.join(rest, query).where(F.col("score") + F.col("rest") >= F.col("floor")).select(query, key), "candidates")
+
+
+def pairs_lost(postings: Postings, k: int) -> DataFrame:
+    """(query, sharing, lost): how many chunks share a token with a question, and of the k best of all how many ``candidates`` leaves out.
+
+    All pairs are scored, but only those that reach the question's floor are kept; the others are counted where they
+    arise. A floor that fewer than k pairs reach would hide a loss, so what is missing counts as lost.
     """
     key, query = postings.key, postings.query
-    rising = Window.partitionBy(query).orderBy("bound", "token")
-    limits = postings.asked.join(thresholds(postings, k), query).withColumn("read", F.sum("bound").over(rising) > UNREAD * F.col("floor"))
-    limits = materialise(limits, "limits")
-    rest = limits.groupBy(query).agg(F.max("floor").alias("floor"), F.sum(F.when(F.col("read"), 0.0).otherwise(F.col("bound"))).alias("rest"))
-    found = limits.where("read").select(query, "token", "weight").join(postings.rows, "token")
-    pairs = found.groupBy(query, key).agg(F.sum(F.col("weight") * F.col("part")).alias("so_far"))
-    return materialise(pairs.join(rest, query).where(F.col("so_far") + F.col("rest") >= F.col("floor")).select(query, key), "candidates")
+    known = limits(postings, k)
+    floors = known.groupBy(query).agg(F.max("floor").alias("floor"))
+    high = F.col("score") >= F.col("floor")
+    kept = postings.sums(postings.asked).join(floors, query, "left").select(query, F.col(key).isNotNull().cast("long").alias("n"), F.when(high, F.col(key)).alias(key), F.when(high, F.col("score")).alias("score"))
+    counted = materialise(kept.groupBy(query, key, "score").agg(F.sum("n").alias("n")), "scored")
+    sharing = counted.groupBy(query).agg(F.sum("n").alias("sharing"), F.least(F.lit(k), F.sum("n")).alias("due"))
+    best = _ranked(counted.where(F.col(key).isNotNull()), key, query, k).join(candidates(postings, k, known), [query, key], "left_semi")
+    return sharing.join(best.groupBy(query).agg(F.count("*").alias("held")), query, "left").select(query, "sharing", (F.col("due") - F.coalesce("held", F.lit(0))).alias("lost"))
 
 
 def bm25(chunks: DataFrame, questions: DataFrame, key: str, query: str, k: int = 8) -> DataFrame:
     """The k best chunks of every question: (query, key, score, rank); ties by key.
 
-    Exact, but not every chunk that shares a token is scored: see ``candidates``. A term that a question repeats counts
+    Exact, but not every chunk that shares a token is scored: see ``limits`` and ``candidates``. A term that a question repeats counts
     each time; terms are counted by an aggregate, so the size of the question table does not matter.
     """
     postings = Postings(chunks, questions, key, query)

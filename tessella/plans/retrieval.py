@@ -45,11 +45,8 @@ def _(t):
 def _(t):
     """For each question the documents that share a token with it, and whether the best of all of them are among the few that are scored in full."""
     ask = t.benchmark.select(F.col("item_id").alias("query"), F.col("text").alias("question"))
-    postings = lexical.Postings(t.documents, ask, "doc_id", "query")
-    every = postings.asked.select("query", "token").join(postings.rows, "token").select("query", "doc_id").distinct()
-    chosen = lexical.candidates(postings, 8)
-    best = lexical._ranked(postings.scored(every), "doc_id", "query", 8).join(chosen, ["query", "doc_id"], "left_anti").groupBy("query").agg(F.count("*").alias("lost"))
-    return every.groupBy("query").agg(F.count("*").alias("n_sharing")).join(best, "query", "left").select("query", "n_sharing", F.col("lost").isNull().alias("none_lost"))
+    checked = lexical.pairs_lost(lexical.Postings(t.documents, ask, "doc_id", "query"), 8)
+    return checked.select("query", F.col("sharing").alias("n_sharing"), (F.col("lost") == 0).alias("none_lost"))
 
 
 @query("context_by_document", bm25_sql(f"SELECT item_id AS query, unnest({TOKENS}) AS token FROM benchmark").replace("SELECT query, doc_id, round(score, 6) AS score, rank FROM (", "SELECT b.query, d.lang, string_agg('(' || b.rank || ') ' || regexp_replace(substring(d.text, 1, 600), '\\n+', ' ', 'g'), chr(10) ORDER BY b.rank) AS context FROM (SELECT query, doc_id, rank FROM (") + ") b JOIN documents d ON b.doc_id = d.doc_id GROUP BY b.query, d.lang")

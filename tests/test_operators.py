@@ -267,6 +267,21 @@ def test_bm25_with_bounds_equals_scoring_all(spark):
     assert lexical.candidates(postings, 3).count() < sharing / 3
 
 
+def test_pairs_are_counted_where_they_arise(spark, monkeypatch):
+    """Copies (ties), a text that nothing asks for, and fewer texts than are asked for; a floor that is too high is seen as a loss."""
+    texts = ["apple pear plum"] * 20 + ["apple pear", "plum", "cherry tree", "zebra", "", None]
+    asks = ["apple plum plum", "cherry", "nothing", "zebra tree"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    ask = spark.createDataFrame(list(enumerate(asks)), "query long, question string")
+    postings = lexical.Postings(docs, ask, "doc_id", "query")
+    assert {r["query"]: (r.sharing, r.lost) for r in lexical.pairs_lost(postings, 3).collect()} == {0: (22, 0), 1: (1, 0), 3: (2, 0)}
+    plan = postings.sums(postings.asked)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("Exchange hashpartitioning(doc_id") == 1
+    plain = lexical.limits
+    monkeypatch.setattr(lexical, "limits", lambda *a: plain(*a).withColumn("floor", F.when(F.col("query") == 0, 1e9).otherwise(F.col("floor"))))
+    assert {r["query"]: r.lost for r in lexical.pairs_lost(postings, 3).collect()} == {0: 3, 1: 0, 3: 0}
+
+
 @pytest.mark.parametrize("most", [lexical.NAMES, 0])
 def test_names_are_found_wherever_they_stand(spark, most):
     import random

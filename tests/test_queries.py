@@ -3,6 +3,7 @@
 import datetime
 import math
 import os
+import re
 
 import duckdb
 import pytest
@@ -101,6 +102,12 @@ def test_plans_read_texts_once_and_pair_nothing(spark, data):
         assert "CartesianProduct" not in plan and "BuildLeft" not in plan.partition("BroadcastNestedLoopJoin")[2][:20]
 
 
+def test_scored_pairs_do_not_travel(spark, data):
+    """Pairs of questions and documents are summed where a document's postings are."""
+    plan = plan_of(catalogue.queries()["bm25_pairs_scored"](spark, data))
+    assert "Exchange" in plan and not re.search(r"hashpartitioning\(query#\w+, doc_id", plan)
+
+
 def test_late_rows_are_dropped_and_repeated_batches_replace(spark):
     """A row behind the watermark counts no more; a batch that runs twice leaves its rows once."""
     import datetime
