@@ -36,6 +36,14 @@ def cleaned(text: Column) -> Column:
     return F.regexp_replace(out, r"\\(?![\\ntbrfux])", "")
 
 
+def plain(text: Column) -> Column:
+    """Whether a text holds nothing that cleaning or composition could change: below U+0300 nothing composes.
+
+    One range and a few letters, as a class of many ranges takes many times as long.
+    """
+    return ~(text.rlike("[^\\n\\t\\r\\x20-\\u02ff]") | F.contains(text, F.lit("\\")) | F.contains(text, F.lit("\x7f")))
+
+
 def sanitised(text: Column) -> Column:
     """Cleaned, and composed by a vectorised function."""
     return composed(cleaned(text))

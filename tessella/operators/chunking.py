@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,24 +47,33 @@ def packed(parts: list[str], size: int, overlap: int) -> list[str]:
     return [*out, "\n\n".join(open_)] if open_ else out
 
 
-def chunked(docs: DataFrame, key: str, column: str = "text", size: int = PUBLIC_SIZE) -> DataFrame:
-    """(key, chunk_index, text): sanitised chunks, empty ones left out, indexes without gaps.
+def chunk_lists(docs: DataFrame, key: str, column: str = "text", size: int = PUBLIC_SIZE, *more: str, plain: str | None = None) -> DataFrame:
+    """(key, ``more``, chunks): the sanitised chunks of each text, those of nothing but spaces left out.
 
-    Units are cut by Catalyst; only the fold, which goes back over what it has taken, is Python.
+    Units are cut by Catalyst; only the fold, which goes back over what it has taken, is Python. Texts that are
+    ``plain`` (a column, if it is known) are not cleaned, nor are their chunks.
     """
     overlap = int(size * SHARE + 0.5)
-    schema = docs.select(key, F.array(F.lit("")).alias("__chunks")).schema
+    known = docs.select(key, *more, F.coalesce(F.col(column), F.lit("")).alias("__text"), *([F.col(plain).alias("__plain")] if plain else []))
+    if not plain:
+        known = known.withColumn("__plain", text.plain(F.col("__text")))
+    schema = known.select(key, *more, "__plain", F.array(F.lit("")).alias("chunks")).schema
 
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame({key: f[key], "__chunks": [packed(list(u), size, overlap) for u in f["__units"]]})
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            chunks = [packed(u, size, overlap) for u in b.column(b.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(chunks, pa.list_(pa.string()))], names=schema.names)
 
-    content = F.coalesce(text.sanitised(F.col(column)), F.lit(""))
-    parts = units(content, size)
+    whole = F.coalesce(text.sanitised(F.when(~F.col("__plain"), F.col("__text"))), F.col("__text"))
     # A text without any unit is one, of white space at most, which is left out below.
-    rows = docs.select(key, parts.alias("__units")).mapInPandas(fold, schema)
-    kept = rows.select(key, F.filter(F.transform("__chunks", lambda c: text.cleaned(c)), lambda c: F.trim(c) != "").alias("c"))
-    return kept.select(key, F.posexplode("c").alias("chunk_index", "text"))
+    rows = known.select(key, *more, "__plain", units(whole, size).alias("__units")).mapInArrow(fold, schema)
+    again = F.when(F.col("__plain"), F.col("chunks")).otherwise(F.transform("chunks", lambda c: text.cleaned(c)))
+    return rows.select(key, *more, F.filter(again, lambda c: c.rlike(r"[^\p{Zs}]")).alias("chunks"))
+
+
+def chunked(docs: DataFrame, key: str, column: str = "text", size: int = PUBLIC_SIZE) -> DataFrame:
+    """(key, chunk_index, text): ``chunk_lists`` with a row for each chunk, indexes without gaps."""
+    return chunk_lists(docs, key, column, size).select(key, F.posexplode("chunks").alias("chunk_index", "text"))
 
 
 def row_text(headers: list[str], values: Column) -> Column:

@@ -136,12 +136,16 @@ def to_table(stream: DataFrame, label: str) -> DataFrame:
 
 
 def chunk_stage(files: DataFrame) -> DataFrame:
-    """Gate and chunk a batch of documents: good ones give chunks (or a row without text, if only white space is left), short ones a failure row."""
-    short = F.length(text.cleaned(F.coalesce("text", F.lit("")))) < 50
-    chunks = chunking.chunked(files.where(~short), "doc_id").select("doc_id", F.col("chunk_index").cast("int").alias("chunk_index"), "text", F.lit("chunked").alias("status"), F.lit(None).cast("string").alias("failed_stage"))
-    failed = files.where(short).select("doc_id", F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("text"), F.lit("chunk_failed").alias("status"), *failure("chunk", F.concat(F.lit("only "), F.length(F.coalesce("text", F.lit(""))), F.lit(" characters of text"))))
-    bare = files.where(~short & (F.length(F.regexp_replace(text.cleaned(F.col("text")), "\\s", "")) == 0)).select("doc_id", F.lit(0).alias("chunk_index"), F.lit(None).cast("string").alias("text"), F.lit("chunked").alias("status"), F.lit(None).cast("string").alias("failed_stage"))
-    return chunks.unionByName(failed, allowMissingColumns=True).unionByName(bare, allowMissingColumns=True)
+    """Gate and chunk a batch of documents, in one pass: good ones give chunks (or a row without text, if nothing is left), short ones a failure row."""
+    known = files.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("plain", text.plain(F.col("text")))
+    gated = known.withColumn("short", F.length(F.when(F.col("plain"), F.col("text")).otherwise(text.cleaned(F.col("text")))) < 50)
+    given = gated.select("doc_id", F.length("text").alias("n"), "short", "plain", F.when(~F.col("short"), F.col("text")).alias("text"))
+    lists = chunking.chunk_lists(given, "doc_id", "text", chunking.PUBLIC_SIZE, "n", "short", plain="plain")
+    rows = lists.select("doc_id", "n", "short", F.posexplode_outer("chunks").alias("at", "text"))
+    failed = failure("chunk", F.concat(F.lit("only "), F.col("n"), F.lit(" characters of text")))
+    status = F.when(F.col("short"), "chunk_failed").otherwise("chunked").alias("status")
+    names = ("failed_stage", "last_error", "failed_at")
+    return rows.select("doc_id", F.coalesce("at", F.lit(0)).alias("chunk_index"), "text", status, *[F.when(F.col("short"), c).alias(n) for n, c in zip(names, failed, strict=True)])
 
 
 def failure(stage: str, message: Column) -> list[Column]:
@@ -159,8 +163,8 @@ def figure_stage(files: DataFrame) -> DataFrame:
 
 
 def summary_stage(chunks: DataFrame) -> DataFrame:
-    """What the later stages see of a batch: chunks, characters and where a retry would resume."""
-    by = chunks.groupBy("doc_id").agg(F.max("status").alias("status"), F.max("failed_stage").alias("failed_stage"), F.max("last_error").alias("last_error"), F.count("text").alias("n_chunks"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"))
+    """What the later stages see of a batch: chunks, characters (``length`` of each) and where a retry would resume."""
+    by = chunks.groupBy("doc_id").agg(F.max("status").alias("status"), F.max("failed_stage").alias("failed_stage"), F.max("last_error").alias("last_error"), F.count("length").alias("n_chunks"), F.coalesce(F.sum("length"), F.lit(0)).alias("n_chars"))
     return by.withColumn("retry_status", F.when(rules.may_retry(F.col("status")), rules.retry(F.col("failed_stage"))["status"]))
 
 
@@ -168,7 +172,9 @@ def ingest(spark: SparkSession, documents: str, **options: str) -> DataFrame:
     """Documents through both stages: one row per document, of its last delivery."""
     first, second = scratch_path(spark, "chunks"), scratch_path(spark, "summaries")
     run_stage(delivered(spark, documents, **options), first, scratch_path(spark, "mark"), chunk_stage)
-    run_stage(following(spark, first), second, scratch_path(spark, "mark"), summary_stage)
+    # Texts stay where they are: the second stage deals lengths.
+    chunks = following(spark, first).select("doc_id", "status", "failed_stage", "last_error", F.length("text").alias("length"), "delivered")
+    run_stage(chunks, second, scratch_path(spark, "mark"), summary_stage)
     return current(spark, second).select("doc_id", "status", "n_chunks", "n_chars", "retry_status", "last_error")
 
 

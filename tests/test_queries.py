@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tessella.functions import text
 from tessella.plans import catalogue
+from tessella.streaming import stages
 
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
 
@@ -160,6 +162,26 @@ def test_the_last_delivery_of_a_document_counts_once(spark):
     assert words(sink) == due and words(stages.compact(spark, sink)) == due
 
 
+def test_odd_texts_through_the_chunk_stage(spark, data, tmp_path):
+    """Texts that cleaning or composition change, or leave nothing of, get what SQL gives them, and a batch is read once."""
+    words = "Some words of a sentence. " * 9
+    odd = ["\x00", "\x0b", "\x7f", "\ufffd", "\\q", "\\n", "e\u0301", "\u212b", "\u00a0", "\u02ff", "\u2028", "\U0001f600", "\n \n", "\t\r"]
+    texts = [words * n + o + words for o in odd for n in (1, 30)] + [o * 60 for o in odd] + ["\\\\" + " " * 60, "x" * 49 + "\x00\x00", "x" * 50, "", None, words * 200]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: tuple(r)[1:] for r in stages.summary_stage(stages.chunk_stage(docs).withColumn("length", F.length("text"))).select("doc_id", "status", "n_chunks", "n_chars", "last_error").collect()}
+    assert set(got) == set(range(len(texts)))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    due = {r[0]: r[1:] for r in con.execute(f"SELECT doc_id, status, n_chunks, n_chars, last_error FROM ({SQL['stream_redelivered']})").fetchall()}
+    assert {i: (got[i], due[i]) for i, t in rows if t is not None and got[i] != due[i]} == {}
+    changed = {r[0] for r in docs.where(~text.plain(F.col("text"))).select("doc_id").collect()}
+    same = docs.where(text.sanitised(F.col("text")) == F.col("text")).select("doc_id").collect()
+    assert {i for i, t in rows if t is not None} - {r[0] for r in same} <= changed
+    assert scans(plan_of(stages.chunk_stage(spark.read.parquet(f"{data}/documents.parquet"))), "documents") == 1
+
+
 def test_both_stages_follow_a_redelivery(spark):
     from tessella.session import scratch_path
     from tessella.streaming import stages
