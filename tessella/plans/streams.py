@@ -75,12 +75,15 @@ def _(t):
 
 @query("stream_redelivered", INGESTED)
 def _(t):
-    """Every document comes three times: an older text, its text, and its text once more; the last version is there once."""
+    """Every document comes three times: an older text, its text, and its text once more; the last version is there once.
+
+    The files of the deliveries are the query's own and go when their batch is done.
+    """
     source = scratch_path(t.spark, "deliveries")
     older = t.documents.withColumn("text", F.concat(F.lit("An older text. "), F.coalesce("text", F.lit("")), F.coalesce("text", F.lit(""))))
     for docs in (older, t.documents, t.documents):
-        docs.write.mode("append").parquet(source)
-    return stages.ingest(t.spark, source, maxFilesPerTrigger="3")
+        docs.write.mode("append").option("compression", "zstd").parquet(source)
+    return stages.ingest(t.spark, source, maxFilesPerTrigger="3", cleanSource="delete")
 
 
 @query("stream_fork", f"""SELECT doc_id, CASE WHEN length({clean_sql("text")}) < 50 THEN 'chunk_failed' ELSE 'chunked' END AS status, CASE WHEN doc_id % 6 = 5 THEN CASE WHEN length(trim(text)) = 0 THEN 'figure_failed' ELSE 'captioned' END END AS figure_status FROM documents""")

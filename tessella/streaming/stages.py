@@ -71,7 +71,7 @@ def run_stage(stream: DataFrame, sink: str, mark: str, stage: Callable[[DataFram
             place = f"generation={generation}/batch={number}"
             came = own.select(key, "delivered").distinct()
             rows = stage(own.drop("delivered")).join(came, key)
-            rows.repartition(key).write.mode("overwrite").parquet(f"{sink}/rows/{place}")
+            rows.repartition(key).write.mode("overwrite").option("compression", "zstd").parquet(f"{sink}/rows/{place}")
             came.write.mode("overwrite").parquet(f"{sink}/came/{place}")
         finally:
             own.unpersist()
